@@ -49,38 +49,46 @@ def drop_first(col: Column, pattern: str) -> Column:
     return F.regexp_replace(col, f"{flags}^(.*?)(?:{body})", "$1")
 
 
-def _zoned(text: Column, stamp: str, zone: str, fmt: str, width: int) -> Column:
-    hit = first_match(text, f"{stamp}(?:{zone})?")
-    suffix = F.coalesce(first_match(hit, f"({zone})$"), F.lit("Z"))
-    suffix = F.regexp_replace(F.trim(suffix), r"^([+-]\d{2})(\d{2})$", "$1:$2")
-    return F.try_to_timestamp(F.concat(F.substring(hit, 1, width), suffix), F.lit(fmt))
+def _zoned(hit: Column, fmt: str, width: int) -> Column:
+    """Parse a hit whose zone may be missing: a spare ``Z`` is used up or dropped."""
+    spare = F.concat(hit, F.lit("Z"))
+    zone = r"(Z|[+-]\d{2}:\d{2})"
+    text = F.regexp_replace(spare, rf"^(.{{{width}}})(?:\.\d+)?{zone}Z?$", "$1$2")
+    return F.try_to_timestamp(text, F.lit(fmt))
 
 
 def parse_timestamp(text: Column, ingest_time: Column) -> Column:
     """First of the four known timestamp forms that parses, else null."""
-    zone = r"Z|[+-]\d{2}:\d{2}"
-    syslog = F.regexp_replace(first_match(text, K.SYSLOG_STAMP), r"\s+", " ")
-    syslog = F.concat(F.date_format(ingest_time, "yyyy "), syslog, F.lit("Z"))
+    def hit(pattern: str) -> Column:
+        return F.regexp_extract(text, pattern, 0)
+
+    colon = F.regexp_replace(hit(K.CLF_STAMP + r"(?: [+-]\d{4})?"), r" ([+-]\d{2})(\d{2})$", "$1:$2")
+    syslog = F.concat(
+        F.date_format(ingest_time, "yyyy "), F.regexp_replace(hit(K.SYSLOG_STAMP), r"\s+", " ")
+    )
     return F.coalesce(
-        _zoned(text, K.ISO_STAMP, zone, "yyyy-MM-dd'T'HH:mm:ssXXX", 19),
-        _zoned(text, K.SPACE_STAMP, zone, "yyyy-MM-dd HH:mm:ssXXX", 19),
-        _zoned(text, K.CLF_STAMP, r" [+-]\d{4}", "dd/MMM/yyyy:HH:mm:ssXXX", 20),
-        F.try_to_timestamp(syslog, F.lit("yyyy MMM d HH:mm:ssXXX")),
+        _zoned(hit(K.ISO_STAMP), "yyyy-MM-dd'T'HH:mm:ssXXX", 19),
+        _zoned(hit(K.SPACE_STAMP + r"(?:Z|[+-]\d{2}:\d{2})?"), "yyyy-MM-dd HH:mm:ssXXX", 19),
+        _zoned(colon, "dd/MMM/yyyy:HH:mm:ssXXX", 20),
+        F.try_to_timestamp(syslog, F.lit("yyyy MMM d HH:mm:ss")),
     )
 
 
+def iso_timestamp(value: Column) -> Column:
+    """ISO-8601 date or time with its zone and fraction, else null."""
+    return F.when(value.rlike(r"^\d{4}-\d{2}-\d{2}"), F.try_to_timestamp(value))
+
+
 def parse_json_timestamp(value: Column, ingest_time: Column) -> Column:
     """ISO-8601 with its zone and fraction, else the four text forms (P5)."""
-    iso = F.when(value.rlike(r"^\d{4}-\d{2}-\d{2}"), F.try_to_timestamp(value))
-    return F.coalesce(iso, parse_timestamp(value, ingest_time))
+    return F.coalesce(iso_timestamp(value), parse_timestamp(value, ingest_time))
 
 
 def parse_level(text: Column, extra_error_words: list[str] | None = None) -> Column:
     """First whole-word level, else keyword hints, else INFO."""
-    word = F.upper(first_match(text, K.LEVEL_WORD, 1))
-    level = word
-    for alias, target in K.LEVEL_ALIASES.items():
-        level = F.when(word == alias, F.lit(target)).otherwise(level)
+    names = {name: name for name in K.LEVELS} | K.LEVEL_ALIASES
+    known = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+    level = F.try_element_at(known, F.upper(F.regexp_extract(text, K.LEVEL_WORD, 1)))
     guess = F.lit("INFO")
     for name, words in reversed(K.LEVEL_HINTS):
         if name == "ERROR" and extra_error_words:

@@ -79,41 +79,6 @@ def cap_lines(lines: DataFrame, per: str, order: str, limit: int = K.MAX_FILE_LI
 
 # ---------------------------------------------------------------- line parsing
 
-def _parsed_columns(ingest_time: Column, json: bool) -> tuple[dict, dict]:
-    fields = F.col("fields")
-    message = F.coalesce(P.first_present(fields, K.JSON_MESSAGE_KEYS), F.col("line"))
-    stage = {
-        "text": F.when(fields.isNull(), F.col("line")) if json else F.col("line"),
-        "json_message": F.when(fields.isNotNull(), message) if json else F.lit(None).cast("string"),
-    }
-    text_time = P.parse_timestamp(F.col("text"), ingest_time)
-    text_level = P.parse_level(F.col("text"))
-    text_service = P.service_in(F.col("stripped"))
-    text_message = P.clean_stripped(F.col("stripped"), F.col("text"))
-    if not json:
-        return stage, {
-            "timestamp": F.coalesce(text_time, ingest_time),
-            "level": text_level,
-            "service": text_service,
-            "message": P.truncate(text_message, K.MESSAGE_CHARS),
-            "extra_fields": F.lit(None).cast("map<string,string>"),
-        }
-    is_json = fields.isNotNull()
-    raw_time = P.first_present(fields, K.JSON_TIME_KEYS)
-    raw_level = F.coalesce(P.first_present(fields, K.JSON_LEVEL_KEYS), F.lit("INFO"))
-    json_service = F.coalesce(
-        P.first_present(fields, K.JSON_SERVICE_KEYS), P.parse_service(F.col("json_message"))
-    )
-    json_time = P.parse_json_timestamp(raw_time, ingest_time)
-    return stage, {
-        "timestamp": F.coalesce(F.when(is_json, json_time).otherwise(text_time), ingest_time),
-        "level": F.when(is_json, P.parse_level(raw_level)).otherwise(text_level),
-        "service": F.when(is_json, json_service).otherwise(text_service),
-        "message": P.truncate(F.coalesce("json_message", text_message), K.MESSAGE_CHARS),
-        "extra_fields": F.when(is_json, P.residual_fields(fields, K.JSON_CONSUMED_KEYS)),
-    }
-
-
 def parse_lines(
     lines: DataFrame, ingest_time: Column, source: str = "file_upload", json: bool = True
 ) -> DataFrame:
@@ -122,20 +87,48 @@ def parse_lines(
     With ``json`` a line that is one JSON object is read as such and everything
     else by the text rule, row by row, so a bad line never fails its file.
     Columns other than ``line`` pass through.  Works on streams.
+
+    Each stage picks the text a rule reads and the next applies the rule once, so
+    that the generated code stays small enough to compile.
     """
     keep = [c for c in lines.columns if c not in ("line", "source")]
-    df = lines.withColumn("line", P.strip(F.col("line"))).filter(F.col("line") != "")
-    empty = F.lit(None).cast("map<string,string>")
-    df = df.withColumn(
-        "fields", F.when(P.starts_object(F.col("line")), P.json_fields(F.col("line"))) if json else empty
-    )
-    stage, out = _parsed_columns(ingest_time, json)
-    df = df.withColumns(stage).withColumn("stripped", P.strip_stamps_and_level(F.col("text")))
-    return df.select(
+    line, fields = F.col("line"), F.col("fields")
+    df = lines.withColumn("line", P.strip(line)).filter(line != "")
+    if json:
+        df = df.withColumn("fields", F.when(P.starts_object(line), P.json_fields(line)))
+        raw_level = F.coalesce(P.first_present(fields, K.JSON_LEVEL_KEYS), F.lit("INFO"))
+        is_json = fields.isNotNull()
+        df = df.withColumns({
+            "json_message": F.when(
+                is_json, F.coalesce(P.first_present(fields, K.JSON_MESSAGE_KEYS), line)),
+            "json_time": P.first_present(fields, K.JSON_TIME_KEYS),
+            "json_service": P.first_present(fields, K.JSON_SERVICE_KEYS),
+            "level_text": F.when(is_json, raw_level).otherwise(line),
+            "extra_fields": P.residual_fields(fields, K.JSON_CONSUMED_KEYS),
+        })
+        df = df.withColumns({
+            "time_text": F.when(is_json, F.col("json_time")).otherwise(line),
+            "body": F.coalesce("json_message", "line"),
+        })
+        iso = P.iso_timestamp(F.col("json_time"))
+        service, message = F.col("json_service"), F.col("json_message")
+    else:
+        nothing = F.lit(None).cast("string")
+        df = df.withColumns({
+            "level_text": line, "time_text": line, "body": line,
+            "extra_fields": F.lit(None).cast("map<string,string>"),
+        })
+        iso, service, message = F.lit(None).cast("timestamp"), nothing, nothing
+    stripped = F.col("stripped")
+    return df.withColumn("stripped", P.strip_stamps_and_level(F.col("body"))).select(
         *keep,
-        *[c.alias(name) for name, c in out.items()],
+        F.coalesce(iso, P.parse_timestamp(F.col("time_text"), ingest_time), ingest_time).alias("timestamp"),
+        P.parse_level(F.col("level_text")).alias("level"),
+        F.coalesce(service, P.service_in(stripped)).alias("service"),
+        P.truncate(F.coalesce(message, P.clean_stripped(stripped, line)), K.MESSAGE_CHARS).alias("message"),
+        "extra_fields",
         F.lit(source).alias("source"),
-        P.truncate(F.col("line"), K.RAW_LINE_CHARS).alias("raw_line"),
+        P.truncate(line, K.RAW_LINE_CHARS).alias("raw_line"),
     )
 
 
