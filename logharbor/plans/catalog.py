@@ -1,6 +1,9 @@
 """All registered queries."""
 
-from logharbor.plans import ingest_queries  # noqa: F401
+from logharbor.plans import (  # noqa: F401
+    ingest_queries,
+    table_queries,
+)
 from logharbor.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -324,8 +324,8 @@ def embedding_text(spark, sf_dir):
 
 @query("p16_sample_line", sql(LOGS, """
 SELECT id, concat('[', strftime(timestamp, '%H:%M:%S'), '] [', level, '] ', service, ': ', message) AS sample,
-       concat(strftime(timestamp, CASE WHEN microsecond(timestamp) % 1000000 = 0 THEN '%Y-%m-%dT%H:%M:%S'
-                                       ELSE '%Y-%m-%dT%H:%M:%S.%f' END),
+       concat(strftime(timestamp, '%Y-%m-%dT%H:%M:%S'),
+              CASE WHEN microsecond(timestamp) % 1000000 = 0 THEN '' ELSE strftime(timestamp, '.%f') END,
               ' [', level, '] ', service, ': ', message) AS iso FROM logs
 """))
 def sample_line(spark, sf_dir):
@@ -345,6 +345,6 @@ FROM embeddings
 """)
 def similarity_percent(spark, sf_dir):
     e = T.table(spark, sf_dir, "embeddings")
-    first = e.filter("vec_id = 0").select("embedding").scalar()
-    near = F.round(V.cosine(F.col("embedding"), first), 9)
+    query_vector = e.filter("vec_id = 0").first()["embedding"]
+    near = F.round(V.cosine(F.col("embedding"), V.as_vector(query_vector)), 9)
     return e.select("vec_id", X.similarity_percent(1 - near).alias("similarity"))
