@@ -166,20 +166,25 @@ def alert_rules(spark: SparkSession) -> DataFrame:
     )
 
 
-def threshold_alerts(measures: DataFrame, rules: DataFrame, fired_at: str) -> DataFrame:
+def threshold_alerts(
+    measures: DataFrame, rules: DataFrame, fired_at: str, keep: list[str] | None = None
+) -> DataFrame:
     """One firing alert per measure that reaches its rule's threshold.
 
-    ``measures`` has alert_type, actual and the ``fired_at`` column.
+    ``measures`` has alert_type, actual and the ``fired_at`` column; ``keep`` names
+    further key columns, which also enter the alert's id.
     """
+    keep = keep or []
     hits = measures.join(rules, "alert_type").filter(F.col("actual") >= F.col("threshold"))
     message = F.replace("template", F.lit("{actual}"), F.col("actual").cast("string"))
     message = F.replace(message, F.lit("{threshold}"), F.col("threshold").cast("string"))
     return hits.select(
-        X.row_id(F.col("alert_type"), X.iso_text(F.col(fired_at))).alias("id"),
+        X.row_id(F.col("alert_type"), X.iso_text(F.col(fired_at)), *[F.col(c) for c in keep]).alias("id"),
         F.lit(None).cast("string").alias("incident_id"),
         "alert_type", "title", message.alias("message"), "severity",
         F.lit("firing").alias("status"),
         F.col("threshold").cast("double").alias("threshold_value"),
         F.col("actual").cast("double").alias("actual_value"),
         F.col(fired_at).alias("fired_at"),
+        *keep,
     )

@@ -12,7 +12,7 @@ from logharbor.operators.detection import alert_rules, rule_measures, threshold_
 from logharbor.operators.metrics import window_start
 from logharbor.plans import tables as T
 from logharbor.plans.registry import query
-from logharbor.plans.snippets import CLUSTERS, FLAGS, LOGS, PARSED, hits, sql
+from logharbor.plans.snippets import CLUSTERS, LOGS, PARSED, hits, sql
 from logharbor.session import new_folder
 from logharbor.sources import readers as R
 from logharbor.sources import sinks as W
@@ -137,9 +137,10 @@ def live_messages(spark, sf_dir):
     return W.live_messages(T.clustered(spark, sf_dir), T.cluster_incidents(spark, sf_dir))
 
 
-HOURLY_ALERTS = f"""
-{FLAGS},
-measured AS (SELECT date_trunc('hour', timestamp) AS w, count(*) FILTER (WHERE service LIKE '%redis%' AND level IN ('ERROR', 'CRITICAL')) AS a,
+DAILY_ALERTS = f"""
+{LOGS},
+measured AS (SELECT date_trunc('day', timestamp) AS w,
+                    count(*) FILTER (WHERE service LIKE '%redis%' AND level IN ('ERROR', 'CRITICAL')) AS a,
                     count(*) FILTER (WHERE regexp_matches(lower(message), 'reconnect|disconnect')) AS b FROM logs GROUP BY 1),
 fired AS (
   SELECT 'redis_failure_threshold' AS alert_type, 'Redis Failure Threshold Exceeded' AS title, 'high' AS severity,
@@ -149,7 +150,6 @@ fired AS (
   SELECT 'reconnect_storm', 'Reconnect Storm Detected', 'high', 10.0::DOUBLE, b, concat('Detected ', b, ' reconnect events'), w
   FROM measured WHERE b >= 10)
 """
-HOURLY = HOURLY_ALERTS.replace("'hour', timestamp) AS w, count(*) FILTER (WHERE service", "'day', timestamp) AS w, count(*) FILTER (WHERE service")
 
 
 def daily_alerts(spark, sf_dir):
@@ -157,7 +157,7 @@ def daily_alerts(spark, sf_dir):
     return threshold_alerts(rule_measures(logs, ["window_start"]), alert_rules(spark), "window_start")
 
 
-@query("s10_alert_messages", sql(HOURLY, """
+@query("s10_alert_messages", sql(DAILY_ALERTS, """
 SELECT sha256(concat(alert_type, '#', strftime(w, '%Y-%m-%dT%H:%M:%S'))) AS id,
        concat('{"type":"alert","alert_type":"', alert_type, '","title":"', title, '","severity":"', severity,
               '","timestamp":"', strftime(w, '%Y-%m-%dT%H:%M:%S'), '"}') AS value FROM fired
