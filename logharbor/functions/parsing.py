@@ -38,9 +38,9 @@ def contains_any(col: Column, words: list[str]) -> Column:
     return F.lower(col).rlike(any_of(words))
 
 
-def first_match(col: Column, pattern: str, group: int = 0) -> Column:
-    """First hit of the pattern, or null."""
-    return blank_to_null(F.regexp_extract(col, pattern, group))
+def first_match(col: Column, pattern: str) -> Column:
+    """First hit of the pattern, or null; ``col`` is evaluated once."""
+    return F.try_element_at(F.regexp_extract_all(col, F.lit(pattern), F.lit(0)), F.lit(1))
 
 
 def drop_first(col: Column, pattern: str) -> Column:
@@ -58,9 +58,13 @@ def _zoned(hit: Column, fmt: str, width: int) -> Column:
 
 
 def parse_timestamp(text: Column, ingest_time: Column) -> Column:
-    """First of the four known timestamp forms that parses, else null."""
+    """First of the four known timestamp forms that parses, else null.
+
+    A form that is absent is null before it reaches the date parser, whose failures
+    cost far more than the search.
+    """
     def hit(pattern: str) -> Column:
-        return F.regexp_extract(text, pattern, 0)
+        return first_match(text, pattern)
 
     colon = F.regexp_replace(hit(K.CLF_STAMP + r"(?: [+-]\d{4})?"), r" ([+-]\d{2})(\d{2})$", "$1:$2")
     syslog = F.concat(
@@ -88,7 +92,7 @@ def parse_level(text: Column, extra_error_words: list[str] | None = None) -> Col
     """First whole-word level, else keyword hints, else INFO."""
     names = {name: name for name in K.LEVELS} | K.LEVEL_ALIASES
     known = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
-    level = F.try_element_at(known, F.upper(F.regexp_extract(text, K.LEVEL_WORD, 1)))
+    level = F.try_element_at(known, F.upper(first_match(text, K.LEVEL_WORD)))
     guess = F.lit("INFO")
     for name, words in reversed(K.LEVEL_HINTS):
         if name == "ERROR" and extra_error_words:
@@ -106,9 +110,7 @@ def strip_stamps_and_level(text: Column) -> Column:
 
 def service_in(text: Column) -> Column:
     """Leftmost bracketed token or known service word, lower-cased, else null."""
-    return F.lower(
-        F.coalesce(first_match(text, K.SERVICE_TOKEN, 1), first_match(text, K.SERVICE_TOKEN, 2))
-    )
+    return F.lower(F.translate(first_match(text, K.SERVICE_TOKEN), "[]", ""))
 
 
 def parse_service(line: Column) -> Column:

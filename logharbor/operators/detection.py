@@ -90,7 +90,10 @@ def flag_anomalies(
     and splits the hot window of a burst when it is not.
     """
     rates = window_rates(logs, seconds) if rates is None else rates
-    spikes = with_spikes(rates).select(F.col("window_start").alias("_w"), "is_spike")
+    # a key that cannot be null keeps Spark from pushing a null check of the parsed
+    # time below the parser, which would parse each line twice
+    key = F.coalesce("window_start", F.timestamp_seconds(F.lit(0)))
+    spikes = with_spikes(rates).select(key.alias("_w"), "is_spike")
     scored = (
         logs.drop("is_anomaly", "anomaly_score")
         .withColumn("_w", window_start("timestamp", seconds))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import functions as F
 
 from logharbor import constants as K
@@ -18,11 +20,11 @@ from logharbor.sources import readers as R
 from logharbor.sources import sinks as W
 from logharbor.streaming import jobs as J
 
-INGEST_TIME = "2024-02-01"
+INGEST_TIME = datetime(2024, 2, 1, tzinfo=timezone.utc)
 
 
 def ingest_time():
-    return F.lit(INGEST_TIME).cast("timestamp")
+    return F.lit(INGEST_TIME)
 
 
 # ---------------------------------------------------------------- scans

@@ -93,7 +93,7 @@ def parse_lines(
     """
     keep = [c for c in lines.columns if c not in ("line", "source")]
     line, fields = F.col("line"), F.col("fields")
-    df = lines.withColumn("line", P.strip(line)).filter(line != "")
+    df = lines.filter(line.rlike(r"\S")).withColumn("line", P.strip(line))
     if json:
         df = df.withColumn("fields", F.when(P.starts_object(line), P.json_fields(line)))
         raw_level = F.coalesce(P.first_present(fields, K.JSON_LEVEL_KEYS), F.lit("INFO"))
@@ -134,7 +134,7 @@ def parse_lines(
 
 def line_counts(lines: DataFrame, per: list[str], json: bool = False) -> DataFrame:
     """Total, processed and error lines; a blank line is an error in text mode only."""
-    blank = P.strip(F.col("line")) == ""
+    blank = ~F.col("line").rlike(r"\S")
     errors = F.lit(0).cast("long") if json else F.count_if(blank)
     return lines.groupBy(*per).agg(
         F.count("*").alias("total_lines"),
@@ -145,7 +145,7 @@ def line_counts(lines: DataFrame, per: list[str], json: bool = False) -> DataFra
 
 def batch_counts(lines: DataFrame, per: list[str]) -> DataFrame:
     """Line-batch totals: errors are the lines that gave no row."""
-    blank = P.strip(F.col("line")) == ""
+    blank = ~F.col("line").rlike(r"\S")
     return lines.groupBy(*per).agg(
         F.count("*").alias("total_lines"),
         F.count_if(~blank).alias("processed_lines"),
