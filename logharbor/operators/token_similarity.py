@@ -10,11 +10,15 @@ similar enough, their first common token lies in a short prefix of both (the
 published prefix filter for set-similarity joins; the shorter text needs the
 shorter prefix).  Texts are therefore joined on prefix tokens only.
 
-For a pair whose first common token is at position ``i`` of a text, nothing
-before ``i`` matters, so only the suffix from ``i`` on takes part.  Texts with the
-same size and the same suffix are one row in the join.  Lines of one template
-that differ in ids or hosts share the suffix made of the template's common words,
-so a template with a third of all texts joins as one row instead of its square.
+* A prefix token with at most ``HOT_POSTING`` rows is joined directly: its group is
+  bounded, and the sizes and positions rule out most candidates before any token
+  array is fetched.
+* A hotter token goes another way.  For a pair whose first common token is at
+  position ``i`` of a text, nothing before ``i`` matters, so only the suffix from
+  ``i`` on takes part, and texts with the same size and the same suffix are one row
+  in the join.  Lines of one template that differ in ids or hosts share the suffix
+  made of the template's common words, so a template with a third of all texts
+  joins as one row instead of its square.
 """
 
 from __future__ import annotations
@@ -29,6 +33,9 @@ from logharbor.functions import text as X
 # gives the same result; this bounds what is broadcast.
 RANKED_TOKENS = 10_000
 
+# Largest group of prefix rows that is joined row by row.
+HOT_POSTING = 100
+
 
 def distinct_texts(logs: DataFrame) -> DataFrame:
     """One row per embedding text: smallest log id and number of rows (V1).
@@ -68,36 +75,65 @@ def similar_enough(overlap: Column, size_a: Column, size_b: Column, threshold: t
     return den * den * overlap.cast("long") * overlap >= num * num * size_a.cast("long") * size_b
 
 
-def suffix_rows(ranked: DataFrame, threshold: tuple[int, int]) -> DataFrame:
-    """One row per text and prefix position, with the suffix that starts there.
+def prefix_rows(ranked: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """One narrow row per text and prefix position: id, n, pos, token, short.
 
     ``short`` marks positions that matter when the text is the smaller of a pair;
-    all texts that share such a suffix (and size) are similar to each other.
+    the others matter only next to a smaller text.
     """
     num, den = threshold
     long_prefix = F.col("n") - _ceil_div(F.col("n") * num * num, den * den) + 1
     short_prefix = F.col("n") - _ceil_div(F.col("n") * num, den) + 1
-    rows = ranked.withColumn("pos", F.explode(F.sequence(F.lit(1), long_prefix)))
-    suffix = F.slice("toks", F.col("pos"), F.col("n"))
-    return rows.select(
-        "id", "n", "toks",
-        F.element_at("toks", F.col("pos")).alias("token"),
-        suffix.alias("suffix"),
-        (F.col("pos") <= short_prefix).alias("short"),
-        F.sha2(F.concat_ws(" ", F.col("n").cast("string"), F.array_join(suffix, " ")), 256).alias("node"),
+    rows = ranked.select(
+        "id", "n", F.posexplode(F.slice("toks", F.lit(1), long_prefix)).alias("p", "token"),
+        short_prefix.alias("limit"),
     )
+    return rows.select("id", "n", (F.col("p") + 1).alias("pos"), "token", (F.col("p") < F.col("limit")).alias("short"))
+
 
+def _sizes_fit(threshold: tuple[int, int]) -> Column:
+    """The left text is the smaller one, and not too small."""
+    num, den = threshold
+    n_a, n_b = F.col("n_a"), F.col("n_b")
+    return (n_a <= n_b) & (n_b * (num * num) <= n_a * (den * den))
+
+
+def _cold_pairs(rows: DataFrame, ranked: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """Similar pairs that share a prefix token with a small posting."""
+    left = rows.filter("short").select(
+        "token", F.col("id").alias("ia"), F.col("n").alias("n_a"), F.col("pos").alias("pos_a"))
+    right = rows.select("token", F.col("id").alias("ib"), F.col("n").alias("n_b"), F.col("pos").alias("pos_b"))
+    n_a, n_b = F.col("n_a"), F.col("n_b")
+    room = F.least(n_a - F.col("pos_a"), n_b - F.col("pos_b")) + 1
+    candidates = (
+        left.join(right, "token")
+        .filter(_sizes_fit(threshold) & similar_enough(room, n_a, n_b, threshold))
+        .filter("n_a < n_b OR ia < ib")
+        .select("ia", "ib").distinct()
+    )
+    a = ranked.select(F.col("id").alias("ia"), F.col("n").alias("n_a"), F.col("toks").alias("ta"))
+    b = ranked.select(F.col("id").alias("ib"), F.col("n").alias("n_b"), F.col("toks").alias("tb"))
+    checked = candidates.join(a, "ia").join(b, "ib").withColumn("m", F.size(F.array_intersect("ta", "tb")))
+    return checked.filter(similar_enough(F.col("m"), n_a, n_b, threshold)).select("ia", "ib", "n_a", "n_b", "m")
 
-def suffix_nodes(rows: DataFrame) -> DataFrame:
+
+def _suffix_members(rows: DataFrame, ranked: DataFrame) -> DataFrame:
+    """Rows of hot tokens with the suffix that starts there; ``node`` names (size, suffix)."""
+    joined = rows.join(ranked.select("id", "toks"), "id")
+    suffix = F.slice("toks", F.col("pos"), F.col("n"))
+    node = F.sha2(F.concat_ws(" ", F.col("n").cast("string"), F.array_join(suffix, " ")), 256)
+    return joined.select("id", "n", "toks", "token", "short", suffix.alias("suffix"), node.alias("node"))
+
+
+def _suffix_nodes(members: DataFrame) -> DataFrame:
     """Distinct suffixes with their smallest member id and member count."""
-    return rows.groupBy("node", "token", "n", "suffix", "short").agg(
+    return members.groupBy("node", "token", "n", "suffix", "short").agg(
         F.min("id").alias("rep"), F.count("*").alias("members")
     )
 
 
-def suffix_matches(nodes: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+def _suffix_matches(nodes: DataFrame, threshold: tuple[int, int]) -> DataFrame:
     """Pairs of suffixes whose texts are similar, smaller text on the left."""
-    num, den = threshold
     left = nodes.filter("short").select(
         F.col("node").alias("node_a"), "token", F.col("n").alias("n_a"),
         F.col("suffix").alias("suffix_a"), F.col("rep").alias("rep_a"),
@@ -107,58 +143,74 @@ def suffix_matches(nodes: DataFrame, threshold: tuple[int, int]) -> DataFrame:
         F.col("suffix").alias("suffix_b"), F.col("rep").alias("rep_b"),
     )
     n_a, n_b = F.col("n_a"), F.col("n_b")
-    sizes_fit = (n_a <= n_b) & (n_b * (num * num) <= n_a * (den * den))
     room = similar_enough(F.least(F.size("suffix_a"), F.size("suffix_b")), n_a, n_b, threshold)
     overlap = F.size(F.array_intersect("suffix_a", "suffix_b"))
     return (
-        left.join(right, "token").filter(sizes_fit & room)
+        left.join(right, "token").filter(_sizes_fit(threshold) & room)
         .filter(similar_enough(overlap, n_a, n_b, threshold))
         .select("token", "node_a", "rep_a", "node_b", "rep_b")
     )
 
 
-def similarity_links(ranked: DataFrame, threshold: tuple[int, int] = K.SIMILARITY) -> DataFrame:
+def _by_heat(ranked: DataFrame, threshold: tuple[int, int], hot_posting: int) -> tuple[DataFrame, DataFrame]:
+    """Prefix rows of small postings, and of hot ones."""
+    rows = prefix_rows(ranked, threshold)
+    hot = rows.groupBy("token").agg(F.count("*").alias("c")).filter(F.col("c") > hot_posting).select("token")
+    return rows.join(hot, "token", "left_anti"), rows.join(hot, "token", "left_semi")
+
+
+def similarity_links(
+    ranked: DataFrame, threshold: tuple[int, int] = K.SIMILARITY, hot_posting: int = HOT_POSTING
+) -> DataFrame:
     """Edges ``u``, ``v`` that connect exactly the texts that similarity connects.
 
-    Not all pairs: members of a suffix are tied to its smallest member, and two
-    matching suffixes by one edge, so the output is linear in the input.
+    Not all pairs: the members of a hot suffix are tied to its smallest member, and
+    two matching suffixes by one edge, so the output stays linear in the input.
     """
-    rows = suffix_rows(ranked, threshold)
-    nodes = suffix_nodes(rows)
-    matches = suffix_matches(nodes, threshold).filter("node_a <> node_b")
+    cold, hot = _by_heat(ranked, threshold, hot_posting)
+    direct = _cold_pairs(cold, ranked, threshold).select(F.col("ia").alias("u"), F.col("ib").alias("v"))
+    members = _suffix_members(hot, ranked)
+    nodes = _suffix_nodes(members)
+    matches = _suffix_matches(nodes, threshold).filter("node_a <> node_b")
     across = matches.select(F.col("rep_a").alias("u"), F.col("rep_b").alias("v"))
-    # a long-role suffix ties its members only once something matched it
-    hit = matches.select(F.col("node_b").alias("node"), F.col("rep_b").alias("rep"))
+    # texts that share a short-role suffix are similar to each other; a long-role
+    # suffix ties its members only once a smaller text matched it
     shared = nodes.filter("short AND members > 1").select("node", "rep")
-    hubs = shared.unionByName(hit).distinct()
-    stars = rows.select("node", "id").join(hubs, "node").select(
+    matched = matches.select(F.col("node_b").alias("node"), F.col("rep_b").alias("rep"))
+    hubs = shared.unionByName(matched).distinct()
+    stars = members.select("node", "id").join(hubs, "node").select(
         F.col("id").alias("u"), F.col("rep").alias("v")
     )
-    return across.unionByName(stars).filter("u <> v").distinct()
+    return direct.unionByName(across).unionByName(stars).filter("u <> v").distinct()
 
 
-def similar_pairs(ranked: DataFrame, threshold: tuple[int, int] = K.SIMILARITY) -> DataFrame:
+def similar_pairs(
+    ranked: DataFrame, threshold: tuple[int, int] = K.SIMILARITY, hot_posting: int = HOT_POSTING
+) -> DataFrame:
     """All pairs of texts with cosine >= threshold: id_a < id_b, overlap, sizes.
 
-    Candidates are matched suffixes, so everything expanded here is a result; a
-    pair is kept only at its first common token and so appears once.
+    Hot suffixes are matched first and only matches are expanded, so everything
+    that is expanded is a result.
     """
-    rows = suffix_rows(ranked, threshold)
-    matches = suffix_matches(suffix_nodes(rows), threshold).select("token", "node_a", "node_b")
-    a = rows.select(F.col("node").alias("node_a"), F.col("id").alias("ia"),
-                    F.col("n").alias("na"), F.col("toks").alias("ta"))
-    b = rows.select(F.col("node").alias("node_b"), F.col("id").alias("ib"),
-                    F.col("n").alias("nb"), F.col("toks").alias("tb"))
-    pairs = matches.join(a, "node_a").join(b, "node_b")
-    pairs = pairs.filter("na < nb OR ia < ib").withColumn("common", F.array_intersect("ta", "tb"))
-    pairs = pairs.filter(F.element_at("common", 1) == F.col("token"))
+    cold, hot = _by_heat(ranked, threshold, hot_posting)
+    members = _suffix_members(hot, ranked)
+    matches = _suffix_matches(_suffix_nodes(members), threshold).select("token", "node_a", "node_b")
+    a = members.select(F.col("node").alias("node_a"), F.col("id").alias("ia"),
+                       F.col("n").alias("n_a"), F.col("toks").alias("ta"))
+    b = members.select(F.col("node").alias("node_b"), F.col("id").alias("ib"),
+                       F.col("n").alias("n_b"), F.col("toks").alias("tb"))
+    expanded = matches.join(a, "node_a").join(b, "node_b").filter("n_a < n_b OR ia < ib")
+    expanded = expanded.withColumn("common", F.array_intersect("ta", "tb"))
+    first = F.element_at("common", 1) == F.col("token")  # each pair once, at its first common token
+    hot_pairs = expanded.filter(first).select("ia", "ib", "n_a", "n_b", F.size("common").alias("m"))
+    pairs = _cold_pairs(cold, ranked, threshold).unionByName(hot_pairs)
     swap = F.col("ia") > F.col("ib")
     return pairs.select(
         F.least("ia", "ib").alias("id_a"), F.greatest("ia", "ib").alias("id_b"),
-        F.size("common").alias("overlap"),
-        F.when(swap, F.col("nb")).otherwise(F.col("na")).alias("size_a"),
-        F.when(swap, F.col("na")).otherwise(F.col("nb")).alias("size_b"),
-    )
+        F.col("m").alias("overlap"),
+        F.when(swap, F.col("n_b")).otherwise(F.col("n_a")).alias("size_a"),
+        F.when(swap, F.col("n_a")).otherwise(F.col("n_b")).alias("size_b"),
+    ).dropDuplicates(["id_a", "id_b"])
 
 
 def token_cosine(overlap: Column, size_a: Column, size_b: Column) -> Column:

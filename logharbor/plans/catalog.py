@@ -4,6 +4,7 @@ from logharbor.plans import (  # noqa: F401
     ingest_queries,
     metric_queries,
     table_queries,
+    vector_queries,
 )
 from logharbor.plans.registry import ORACLES, QUERIES
 
