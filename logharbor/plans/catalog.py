@@ -3,6 +3,8 @@
 from logharbor.plans import (  # noqa: F401
     ingest_queries,
     metric_queries,
+    rootcause_queries,
+    stream_queries,
     table_queries,
     vector_queries,
 )

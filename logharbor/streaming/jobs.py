@@ -68,7 +68,7 @@ def write_batches(stream: DataFrame, out: str, checkpoint: str, mode: str = "app
 
 def latest_windows(table: DataFrame, keys: list[str]) -> DataFrame:
     """Last emitted value of every window."""
-    return latest_by_key(table, keys, "batch_id")
+    return latest_by_key(table, keys, "batch_id").drop("batch_id")
 
 
 # ---------------------------------------------------------------- ingest
