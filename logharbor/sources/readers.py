@@ -315,8 +315,8 @@ def read_logs(
         if row["format"] == "csv":
             same.setdefault(row["header"], []).append(row["file"])
     parts = []
-    if "text" in by_format:
-        parts.append(read_text_logs(spark, by_format["text"], session_id, ingest_time))
+    if "text" in by_format or not found:  # empty files are not listed; they have no rows
+        parts.append(read_text_logs(spark, by_format.get("text", paths), session_id, ingest_time))
     if "json" in by_format:
         parts.append(read_json_logs(spark, by_format["json"], session_id, ingest_time))
     parts += [read_csv_logs(spark, files, session_id, ingest_time) for files in same.values()]
