@@ -1,7 +1,7 @@
 """Similarity of token sets: exact joins without comparing all pairs.
 
 Cosine of two binary token sets is ``overlap / sqrt(size_a * size_b)``; the
-threshold is a fraction, so every test is integer arithmetic and exact.
+threshold is a fraction, which makes every test a comparison of whole numbers.
 
 How the join avoids quadratic groups
 ------------------------------------
@@ -11,8 +11,8 @@ published prefix filter for set-similarity joins; the shorter text needs the
 shorter prefix).  Texts are therefore joined on prefix tokens only.
 
 * A prefix token with at most ``HOT_POSTING`` rows is joined directly: its group is
-  bounded, and the sizes and positions rule out most candidates before any token
-  array is fetched.
+  bounded, and sizes and positions rule out most candidates.  A bit signature
+  (no false negatives) spares most of the rest the comparison of token arrays.
 * A hotter token goes another way.  For a pair whose first common token is at
   position ``i`` of a text, nothing before ``i`` matters, so only the suffix from
   ``i`` on takes part, and texts with the same size and the same suffix are one row
@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from logharbor import constants as K
 from logharbor.functions import text as X
+from logharbor.session import cut_lineage
 
 # How many of the most frequent tokens get their exact rank.  Any total order
 # gives the same result; this bounds what is broadcast.
@@ -36,6 +37,9 @@ RANKED_TOKENS = 10_000
 # Largest group of prefix rows that is joined row by row.
 HOT_POSTING = 100
 
+# 64-bit words of the signature that rules out pairs before token arrays are compared.
+SIGNATURE_WORDS = 32
+
 
 def distinct_texts(logs: DataFrame) -> DataFrame:
     """One row per embedding text: smallest log id and number of rows (V1).
@@ -48,8 +52,29 @@ def distinct_texts(logs: DataFrame) -> DataFrame:
     )
 
 
+def signature(toks: Column) -> Column:
+    """Parity of the tokens per bit, as an array of 64-bit words.
+
+    Two signatures differ in at most as many bits as the sets differ in tokens.
+    """
+    bits = F.transform(toks, lambda t: F.pmod(F.xxhash64(t), F.lit(64 * SIGNATURE_WORDS)).cast("int"))
+    word = lambda w: F.aggregate(
+        F.filter(bits, lambda b: (b / 64).cast("int") == w),
+        F.lit(0).cast("long"),
+        lambda acc, b: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), b % 64)),
+    )
+    return F.array(*[word(w) for w in range(SIGNATURE_WORDS)])
+
+
+def overlap_bound(size_a: Column, size_b: Column, bits_a: Column, bits_b: Column) -> Column:
+    """Upper bound of the overlap from sizes and signatures."""
+    differ = sum(
+        (F.bit_count(bits_a[w].bitwiseXOR(bits_b[w])) for w in range(SIGNATURE_WORDS)), F.lit(0))
+    return F.floor((size_a + size_b - differ) / 2).cast("int")
+
+
 def rank_tokens(texts: DataFrame) -> DataFrame:
-    """``id``, tokens in global order (rare first) and their number ``n``.
+    """``id``, tokens in global order (rare first), their number ``n`` and signature.
 
     Texts without tokens are similar to nothing and are left out.
     """
@@ -62,17 +87,23 @@ def rank_tokens(texts: DataFrame) -> DataFrame:
     pair = F.struct(F.coalesce("df", F.lit(0)).alias("df"), "token")
     grouped = ranked.groupBy("id").agg(F.sort_array(F.collect_list(pair)).alias("pairs"))
     toks = F.transform("pairs", lambda p: p["token"])
-    return grouped.select("id", toks.alias("toks"), F.size("pairs").alias("n"))
+    ordered = grouped.select("id", toks.alias("toks"), F.size("pairs").alias("n"))
+    return ordered.withColumn("bits", signature(F.col("toks")))
 
 
 def _ceil_div(a: Column, b: int) -> Column:
     return F.floor((a + (b - 1)) / b).cast("int")
 
 
-def similar_enough(overlap: Column, size_a: Column, size_b: Column, threshold: tuple[int, int]) -> Column:
-    """``overlap / sqrt(a * b) >= num / den`` in whole numbers."""
+def least_overlap(size_a: Column, size_b: Column, threshold: tuple[int, int]) -> Column:
+    """Smallest overlap with ``overlap / sqrt(a * b) >= num / den``.
+
+    Exact for sets below 10**8 tokens: the square root of a whole number that is
+    not a perfect square is further from a whole number than the slack.
+    """
     num, den = threshold
-    return den * den * overlap.cast("long") * overlap >= num * num * size_a.cast("long") * size_b
+    root = F.sqrt(size_a.cast("double") * size_b.cast("double"))
+    return F.ceil(root * F.lit(float(num)) / F.lit(float(den)) - F.lit(1e-9))
 
 
 def prefix_rows(ranked: DataFrame, threshold: tuple[int, int]) -> DataFrame:
@@ -105,16 +136,22 @@ def _cold_pairs(rows: DataFrame, ranked: DataFrame, threshold: tuple[int, int])
     right = rows.select("token", F.col("id").alias("ib"), F.col("n").alias("n_b"), F.col("pos").alias("pos_b"))
     n_a, n_b = F.col("n_a"), F.col("n_b")
     room = F.least(n_a - F.col("pos_a"), n_b - F.col("pos_b")) + 1
+    needed = least_overlap(n_a, n_b, threshold)
     candidates = (
         left.join(right, "token")
-        .filter(_sizes_fit(threshold) & similar_enough(room, n_a, n_b, threshold))
+        .filter(_sizes_fit(threshold) & (room >= needed))
         .filter("n_a < n_b OR ia < ib")
         .select("ia", "ib").distinct()
     )
-    a = ranked.select(F.col("id").alias("ia"), F.col("n").alias("n_a"), F.col("toks").alias("ta"))
-    b = ranked.select(F.col("id").alias("ib"), F.col("n").alias("n_b"), F.col("toks").alias("tb"))
-    checked = candidates.join(a, "ia").join(b, "ib").withColumn("m", F.size(F.array_intersect("ta", "tb")))
-    return checked.filter(similar_enough(F.col("m"), n_a, n_b, threshold)).select("ia", "ib", "n_a", "n_b", "m")
+    a, b = (
+        ranked.select(F.col("id").alias(f"i{x}"), F.col("n").alias(f"n_{x}"),
+                      F.col("toks").alias(f"t{x}"), F.col("bits").alias(f"bits_{x}"))
+        for x in "ab"
+    )
+    possible = overlap_bound(n_a, n_b, F.col("bits_a"), F.col("bits_b")) >= needed
+    overlap = F.size(F.array_intersect("ta", "tb"))
+    checked = candidates.join(a, "ia").join(b, "ib").filter(possible & (overlap >= needed))
+    return checked.select("ia", "ib", "n_a", "n_b", overlap.alias("m"))
 
 
 def _suffix_members(rows: DataFrame, ranked: DataFrame) -> DataFrame:
@@ -143,20 +180,21 @@ def _suffix_matches(nodes: DataFrame, threshold: tuple[int, int]) -> DataFrame:
         F.col("suffix").alias("suffix_b"), F.col("rep").alias("rep_b"),
     )
     n_a, n_b = F.col("n_a"), F.col("n_b")
-    room = similar_enough(F.least(F.size("suffix_a"), F.size("suffix_b")), n_a, n_b, threshold)
+    needed = least_overlap(n_a, n_b, threshold)
+    room = F.least(F.size("suffix_a"), F.size("suffix_b")) >= needed
     overlap = F.size(F.array_intersect("suffix_a", "suffix_b"))
     return (
-        left.join(right, "token").filter(_sizes_fit(threshold) & room)
-        .filter(similar_enough(overlap, n_a, n_b, threshold))
+        left.join(right, "token").filter(_sizes_fit(threshold) & room & (overlap >= needed))
         .select("token", "node_a", "rep_a", "node_b", "rep_b")
     )
 
 
 def _by_heat(ranked: DataFrame, threshold: tuple[int, int], hot_posting: int) -> tuple[DataFrame, DataFrame]:
-    """Prefix rows of small postings, and of hot ones."""
+    """Prefix rows of small postings, and of hot ones (read several times, so written)."""
     rows = prefix_rows(ranked, threshold)
-    hot = rows.groupBy("token").agg(F.count("*").alias("c")).filter(F.col("c") > hot_posting).select("token")
-    return rows.join(hot, "token", "left_anti"), rows.join(hot, "token", "left_semi")
+    counts = rows.groupBy("token").agg(F.count("*").alias("c"))
+    hot = cut_lineage(counts.filter(F.col("c") > hot_posting).select("token"))
+    return rows.join(hot, "token", "left_anti"), cut_lineage(rows.join(hot, "token", "left_semi"))
 
 
 def similarity_links(

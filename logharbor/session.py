@@ -61,6 +61,11 @@ def new_folder(spark: SparkSession, name: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: survives the loss of executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write the frame to the shared folder and read it back.
+
+    The table outlives the executors that wrote it.  Unlike an eager checkpoint it
+    is computed once, and its known size lets AQE choose the joins that follow.
+    """
+    folder = new_folder(df.sparkSession, "cut")
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
