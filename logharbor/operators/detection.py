@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from logharbor import constants as K
@@ -10,6 +10,7 @@ from logharbor.functions import text as X
 from logharbor.functions.parsing import any_of, contains_any
 from logharbor.operators.lookups import first_per_group, join_ranked
 from logharbor.operators.metrics import is_error, window_start
+from logharbor.session import cut_lineage
 
 
 # ---------------------------------------------------------------- severity and names
@@ -86,10 +87,11 @@ def flag_anomalies(
 ) -> DataFrame:
     """Logs with ``is_anomaly`` and ``anomaly_score``.
 
-    The join partner has one row per window; AQE broadcasts it when it is small
-    and splits the hot window of a burst when it is not.
+    The rates are written first: one row per window, whose size is then known, so
+    the planner broadcasts them while they are small and the logs are not shuffled.
+    Larger rates mean a sort-merge join whose hot window AQE splits.
     """
-    rates = window_rates(logs, seconds) if rates is None else rates
+    rates = cut_lineage(window_rates(logs, seconds)) if rates is None else rates
     # a key that cannot be null keeps Spark from pushing a null check of the parsed
     # time below the parser, which would parse each line twice
     key = F.coalesce("window_start", F.timestamp_seconds(F.lit(0)))
@@ -106,6 +108,26 @@ def flag_anomalies(
     }).drop("_w", "_s", "is_spike")
 
 
+def anomaly_counts(logs: DataFrame, seconds: int = K.ANOMALY_WINDOW_SECONDS) -> DataFrame:
+    """Rows and anomalies per window and level in one pass over the logs.
+
+    A score depends only on the level, a phrase hit and the window, so rows are
+    counted by these first; window rates come from the few counted rows.
+    """
+    phrase = contains_any(F.col("message"), K.CRITICAL_PHRASES)
+    counted = logs.groupBy(
+        window_start("timestamp", seconds).alias("window_start"), "level", phrase.alias("phrase")
+    ).agg(F.count("*").alias("n"))
+    window = Window.partitionBy("window_start")  # at most two rows per level
+    errors = F.sum(F.when(is_error(), F.col("n")).otherwise(0)).over(window)
+    spiking = counted.withColumn("is_spike", errors / F.sum("n").over(window) > K.SPIKE_RATE)
+    spike_level = F.col("level").isin(*K.ERROR_LEVELS, "WARNING")
+    flagged = F.col("phrase") | (F.col("is_spike") & spike_level)
+    return spiking.groupBy("window_start", "level").agg(
+        F.sum("n").alias("n"), F.sum(F.when(flagged, F.col("n")).otherwise(0)).alias("anomalies")
+    )
+
+
 def baseline_spikes(
     rates: DataFrame, seconds: int, back: int, factor: float = K.SPIKE_FACTOR
 ) -> DataFrame:

@@ -31,9 +31,8 @@ FROM parsed JOIN rates ON date_trunc('hour', timestamp) = w GROUP BY 1, 2
 def hourly_anomalies(spark, sf_dir):
     """Raw lines are parsed, scored against their hour's error rate and counted."""
     lines = T.logs(spark, sf_dir).select("id", F.col("raw_line").alias("line"))
-    flagged = D.flag_anomalies(parse_lines(lines, ingest_time()), 3600)
-    return flagged.groupBy(A.window_start("timestamp", 3600).alias("hour"), "level").agg(
-        F.count("*").alias("n"), F.count_if("is_anomaly").alias("anomalies"))
+    counts = D.anomaly_counts(parse_lines(lines, ingest_time()), 3600)
+    return counts.withColumnRenamed("window_start", "hour")
 
 
 # ---------------------------------------------------------------- metrics

@@ -81,28 +81,34 @@ def ingest_stream(
     return write_batches(parse_lines(lines, now, source="websocket"), out, checkpoint)
 
 
-def flag_stream(logs: DataFrame, out: str, checkpoint: str, seconds: int = K.ANOMALY_WINDOW_SECONDS) -> DataFrame:
+def flag_stream(
+    logs: DataFrame, out: str, checkpoint: str, seconds: int = K.ANOMALY_WINDOW_SECONDS,
+    horizon_seconds: int = 86400,
+) -> DataFrame:
     """Flag anomalies while rows arrive.
 
-    Window counts of every batch are kept as a small table; a row is scored with
-    the counts of its window so far.  Flags are provisional until the window ends.
+    A row is scored with the counts of its window so far; flags are provisional
+    until the window ends.  The counts are a small table per micro-batch, made from
+    the table of the batch before and the batch's own counts.  It keeps the batch's
+    windows and those of the last ``horizon_seconds`` of event time, so it does not
+    grow with the stream, and a replayed batch finds the same table before it.
     """
     spark = logs.sparkSession
     counts = f"{out}/window_counts"
     rows = f"{out}/rows"
+    columns = ["window_start", "total", "errors"]
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        mine = window_rates(batch, seconds).select("window_start", "total", "errors")
-        mine.write.mode("overwrite").parquet(batch_folder(counts, batch_id))
-        schema = mine.schema.add("batch_id", "long")
-        seen = spark.read.schema(schema).parquet(counts).filter(F.col("batch_id") <= batch_id)
-        touched = spark.read.schema(mine.schema).parquet(batch_folder(counts, batch_id))
-        merged = (
-            seen.join(touched.select("window_start"), "window_start", "left_semi")
-            .groupBy("window_start").agg(F.sum("total").alias("total"), F.sum("errors").alias("errors"))
-            .withColumn("error_rate", F.col("errors") / F.col("total"))
-        )
-        flagged = flag_anomalies(batch, seconds, merged)
+        known = window_rates(batch, seconds).select(columns).withColumn("mine", F.lit(True))
+        if batch_id > 0:
+            before = spark.read.schema(known.schema).parquet(batch_folder(counts, batch_id - 1))
+            known = known.unionByName(before.withColumn("mine", F.lit(False))).groupBy("window_start").agg(
+                F.sum("total").alias("total"), F.sum("errors").alias("errors"), F.max("mine").alias("mine"))
+        oldest = known.agg(F.max("window_start")).scalar() - F.expr(f"INTERVAL {horizon_seconds} SECONDS")
+        kept = known.filter(F.col("mine") | (F.col("window_start") >= oldest))
+        kept.write.mode("overwrite").parquet(batch_folder(counts, batch_id))
+        now = spark.read.schema(known.schema).parquet(batch_folder(counts, batch_id))
+        flagged = flag_anomalies(batch, seconds, now.withColumn("error_rate", F.col("errors") / F.col("total")))
         flagged.write.mode("overwrite").parquet(batch_folder(rows, batch_id))
 
     run_batches(logs, write, checkpoint)
