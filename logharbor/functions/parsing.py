@@ -101,11 +101,22 @@ def parse_level(text: Column, extra_error_words: list[str] | None = None) -> Col
     return F.coalesce(level, guess)
 
 
+def strip_first_stamp(text: Column) -> Column:
+    return drop_first(text, K.STAMPS[0])
+
+
+def strip_other_stamps_and_level(text: Column) -> Column:
+    """Most lines have one stamp, of the first form; without a clock time left the
+    other forms cannot match and are not searched."""
+    rest = text
+    for pattern in K.STAMPS[1:]:
+        rest = drop_first(rest, pattern)
+    return drop_first(F.when(text.rlike(K.CLOCK), rest).otherwise(text), K.LEVEL_WORD)
+
+
 def strip_stamps_and_level(text: Column) -> Column:
     """The line without its first hit of each timestamp form and first level word."""
-    for pattern in K.STAMPS:
-        text = drop_first(text, pattern)
-    return drop_first(text, K.LEVEL_WORD)
+    return strip_other_stamps_and_level(strip_first_stamp(text))
 
 
 def service_in(text: Column) -> Column:

@@ -13,6 +13,9 @@ from logharbor import constants as K
 from logharbor.functions import parsing as P
 from logharbor.functions import text as X
 
+# Stores whose files a task can open by itself to read only their start.
+HEAD_STORES = ["file", "hdfs", "s3", "s3a", "gs"]
+
 # Copies of one line that a single task numbers at most (see ``with_line_ids``).
 COPIES_PER_TASK = 1_000_000
 
@@ -120,7 +123,8 @@ def parse_lines(
         })
         iso, service, message = F.lit(None).cast("timestamp"), nothing, nothing
     stripped = F.col("stripped")
-    return df.withColumn("stripped", P.strip_stamps_and_level(F.col("body"))).select(
+    df = df.withColumn("rest", P.strip_first_stamp(F.col("body")))
+    return df.withColumn("stripped", P.strip_other_stamps_and_level(F.col("rest"))).select(
         *keep,
         F.coalesce(iso, P.parse_timestamp(F.col("time_text"), ingest_time), ingest_time).alias("timestamp"),
         P.parse_level(F.col("level_text")).alias("level"),
@@ -293,8 +297,13 @@ def detect_formats(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     The listing prunes file contents, and tasks read only the head of each file,
     so the cost follows the number of files and not their size.
     """
-    files = spark.read.format("binaryFile").load(paths).select(F.col("path").alias("file"))
-    heads = files.mapInPandas(_read_heads, "file string, head string")
+    listed = spark.read.format("binaryFile").load(paths)
+    odd = listed.select(F.regexp_extract("path", r"^(\w+):", 1).alias("s")).filter(~F.col("s").isin(HEAD_STORES))
+    if odd.isEmpty():
+        heads = listed.select(F.col("path").alias("file")).mapInPandas(_read_heads, "file string, head string")
+    else:  # a store only Spark can open: its files are read whole
+        start = F.substring("content", 1, K.FORMAT_SAMPLE_CHARS * 4).cast("string")
+        heads = listed.select(F.col("path").alias("file"), F.make_valid_utf8(start).alias("head"))
     header = F.element_at(F.split("head", r"\r\n|\r|\n"), 1)
     return heads.select("file", detect_head(F.col("head")).alias("format"), header.alias("header"))
 
