@@ -189,66 +189,89 @@ def _suffix_matches(nodes: DataFrame, threshold: tuple[int, int]) -> DataFrame:
     )
 
 
-def _by_heat(ranked: DataFrame, threshold: tuple[int, int], hot_posting: int) -> tuple[DataFrame, DataFrame]:
-    """Prefix rows of small postings, and of hot ones (read several times, so written)."""
+def _by_heat(
+    ranked: DataFrame, threshold: tuple[int, int], hot_posting: int
+) -> tuple[DataFrame, DataFrame | None]:
+    """Prefix rows of small postings, and of hot ones when there are any.
+
+    The hot rows are read several times, so they are written.
+    """
     rows = prefix_rows(ranked, threshold)
     counts = rows.groupBy("token").agg(F.count("*").alias("c"))
     hot = cut_lineage(counts.filter(F.col("c") > hot_posting).select("token"))
+    if hot.isEmpty():
+        return rows, None
     return rows.join(hot, "token", "left_anti"), cut_lineage(rows.join(hot, "token", "left_semi"))
 
 
-def similarity_links(
-    ranked: DataFrame, threshold: tuple[int, int] = K.SIMILARITY, hot_posting: int = HOT_POSTING
-) -> DataFrame:
-    """Edges ``u``, ``v`` that connect exactly the texts that similarity connects.
+def _hot_links(hot: DataFrame, ranked: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """Links between texts through the suffixes of hot tokens.
 
-    Not all pairs: the members of a hot suffix are tied to its smallest member, and
-    two matching suffixes by one edge, so the output stays linear in the input.
+    Texts that share a short-role suffix are similar to each other and are tied to
+    its smallest member.  Two matching suffixes get one edge, and the larger one's
+    members are then tied together too: all of them are similar to the smaller text.
     """
-    cold, hot = _by_heat(ranked, threshold, hot_posting)
-    direct = _cold_pairs(cold, ranked, threshold).select(F.col("ia").alias("u"), F.col("ib").alias("v"))
     members = _suffix_members(hot, ranked)
     nodes = _suffix_nodes(members)
     matches = _suffix_matches(nodes, threshold).filter("node_a <> node_b")
     across = matches.select(F.col("rep_a").alias("u"), F.col("rep_b").alias("v"))
-    # texts that share a short-role suffix are similar to each other; a long-role
-    # suffix ties its members only once a smaller text matched it
     shared = nodes.filter("short AND members > 1").select("node", "rep")
     matched = matches.select(F.col("node_b").alias("node"), F.col("rep_b").alias("rep"))
     hubs = shared.unionByName(matched).distinct()
     stars = members.select("node", "id").join(hubs, "node").select(
         F.col("id").alias("u"), F.col("rep").alias("v")
     )
-    return direct.unionByName(across).unionByName(stars).filter("u <> v").distinct()
+    return across.unionByName(stars)
 
 
-def similar_pairs(
-    ranked: DataFrame, threshold: tuple[int, int] = K.SIMILARITY, hot_posting: int = HOT_POSTING
-) -> DataFrame:
-    """All pairs of texts with cosine >= threshold: id_a < id_b, overlap, sizes.
+def _hot_pairs(hot: DataFrame, ranked: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """Similar pairs whose first common token is hot.
 
-    Hot suffixes are matched first and only matches are expanded, so everything
-    that is expanded is a result.
+    Suffixes are matched first and only matches are expanded, so everything that is
+    expanded is a result; each pair is kept at its first common token.
     """
-    cold, hot = _by_heat(ranked, threshold, hot_posting)
     members = _suffix_members(hot, ranked)
     matches = _suffix_matches(_suffix_nodes(members), threshold).select("token", "node_a", "node_b")
-    a = members.select(F.col("node").alias("node_a"), F.col("id").alias("ia"),
-                       F.col("n").alias("n_a"), F.col("toks").alias("ta"))
-    b = members.select(F.col("node").alias("node_b"), F.col("id").alias("ib"),
-                       F.col("n").alias("n_b"), F.col("toks").alias("tb"))
+    a, b = (
+        members.select(F.col("node").alias(f"node_{x}"), F.col("id").alias(f"i{x}"),
+                       F.col("n").alias(f"n_{x}"), F.col("toks").alias(f"t{x}"))
+        for x in "ab"
+    )
     expanded = matches.join(a, "node_a").join(b, "node_b").filter("n_a < n_b OR ia < ib")
     expanded = expanded.withColumn("common", F.array_intersect("ta", "tb"))
-    first = F.element_at("common", 1) == F.col("token")  # each pair once, at its first common token
-    hot_pairs = expanded.filter(first).select("ia", "ib", "n_a", "n_b", F.size("common").alias("m"))
-    pairs = _cold_pairs(cold, ranked, threshold).unionByName(hot_pairs)
+    first = F.element_at("common", 1) == F.col("token")
+    return expanded.filter(first).select("ia", "ib", "n_a", "n_b", F.size("common").alias("m"))
+
+
+def similarity_links(
+    ranked: DataFrame, threshold: tuple[int, int] = K.SIMILARITY, hot_posting: int = HOT_POSTING
+) -> DataFrame:
+    """Edges ``u``, ``v`` that connect exactly the texts that similarity connects.
+
+    Not all pairs: the output stays linear in the input (see ``_hot_links``).
+    """
+    cold, hot = _by_heat(ranked, threshold, hot_posting)
+    links = _cold_pairs(cold, ranked, threshold).select(F.col("ia").alias("u"), F.col("ib").alias("v"))
+    if hot is not None:
+        links = links.unionByName(_hot_links(hot, ranked, threshold)).filter("u <> v").distinct()
+    return links
+
+
+def similar_pairs(
+    ranked: DataFrame, threshold: tuple[int, int] = K.SIMILARITY, hot_posting: int = HOT_POSTING
+) -> DataFrame:
+    """All pairs of texts with cosine >= threshold: id_a < id_b, overlap, sizes."""
+    cold, hot = _by_heat(ranked, threshold, hot_posting)
+    pairs = _cold_pairs(cold, ranked, threshold)
+    if hot is not None:
+        pairs = pairs.unionByName(_hot_pairs(hot, ranked, threshold)).dropDuplicates(["ia", "ib"])
     swap = F.col("ia") > F.col("ib")
     return pairs.select(
         F.least("ia", "ib").alias("id_a"), F.greatest("ia", "ib").alias("id_b"),
         F.col("m").alias("overlap"),
         F.when(swap, F.col("n_b")).otherwise(F.col("n_a")).alias("size_a"),
         F.when(swap, F.col("n_a")).otherwise(F.col("n_b")).alias("size_b"),
-    ).dropDuplicates(["id_a", "id_b"])
+    )
 
 
 def token_cosine(overlap: Column, size_a: Column, size_b: Column) -> Column:

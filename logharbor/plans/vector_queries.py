@@ -38,10 +38,11 @@ def similarity_pairs(spark, sf_dir):
 DOCS = f"""
 docs AS (SELECT text, min(lpad(CAST(doc_id AS VARCHAR), 12, '0')) AS id, count(*) AS weight FROM documents GROUP BY text),
 sets AS (SELECT id, {TOKENS.format('text')} AS toks FROM docs),
-near AS (SELECT a.id AS id_a, b.id AS id_b, len(list_intersect(a.toks, b.toks)) AS overlap, len(a.toks) AS size_a, len(b.toks) AS size_b
-         FROM sets a JOIN sets b ON a.id < b.id AND 9 * len(a.toks) <= 16 * len(b.toks) AND 9 * len(b.toks) <= 16 * len(a.toks)
-         WHERE len(a.toks) > 0
-           AND 16 * len(list_intersect(a.toks, b.toks)) * len(list_intersect(a.toks, b.toks)) >= 9 * len(a.toks) * len(b.toks))
+words AS (SELECT row_number() OVER (ORDER BY id) AS k, id, len(toks) AS n, toks FROM sets),
+exploded AS (SELECT k, unnest(toks) AS w FROM words),
+shared AS (SELECT a.k AS ka, b.k AS kb, count(*) AS m FROM exploded a JOIN exploded b ON a.w = b.w AND a.k < b.k GROUP BY 1, 2),
+near AS (SELECT a.id AS id_a, b.id AS id_b, m AS overlap, a.n AS size_a, b.n AS size_b
+         FROM shared JOIN words a ON a.k = ka JOIN words b ON b.k = kb WHERE 16 * m * m >= 9 * a.n * b.n)
 """
 
 
