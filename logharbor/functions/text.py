@@ -85,5 +85,4 @@ def severity_name(rank: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     """Distinct lower-case alphanumeric tokens."""
-    words = F.split(F.lower(text), "[^a-z0-9]+")
-    return F.array_distinct(F.filter(words, lambda w: w != ""))
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0)))

@@ -278,9 +278,17 @@ def token_cosine(overlap: Column, size_a: Column, size_b: Column) -> Column:
     return overlap / F.sqrt(size_a.cast("double") * size_b)
 
 
-def _token_sets(df: DataFrame) -> DataFrame:
-    toks = F.array_sort(X.tokens(F.col("text")))
-    return df.withColumn("toks", toks).withColumn("key", F.sha2(F.array_join("toks", " "), 256))
+def _token_sets(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Distinct token sets (``set`` number, tokens, size), and the set of every id.
+
+    Numbers are given once and written, so they are the same wherever they are read.
+    """
+    toks = F.sort_array(X.tokens(F.col("text")))
+    keyed = cut_lineage(df.select("id", toks.alias("toks")).withColumn("key", F.sha2(F.array_join("toks", " "), 256)))
+    sets = keyed.groupBy("key").agg(F.first("toks").alias("toks"))
+    sets = cut_lineage(sets.select(
+        "key", "toks", F.size("toks").alias("n"), F.monotonically_increasing_id().alias("set")))
+    return sets, keyed.select("id", "key").join(sets.select("key", "set"), "key").select("id", "set")
 
 
 def top_k_texts(queries: DataFrame, documents: DataFrame, k: int) -> DataFrame:
@@ -294,27 +302,28 @@ def top_k_texts(queries: DataFrame, documents: DataFrame, k: int) -> DataFrame:
     """
     from logharbor.operators.lookups import first_per_group
 
-    q, d = _token_sets(queries), _token_sets(documents)
-    q_sets, d_sets = q.select("key", "toks").distinct(), d.select("key", "toks").distinct()
-    q_words = q_sets.select(F.col("key").alias("qkey"), F.size("toks").alias("qn"), F.explode("toks").alias("token"))
-    d_words = d_sets.select(F.col("key").alias("dkey"), F.size("toks").alias("dn"), F.explode("toks").alias("token"))
+    (q_sets, q_ids), (d_sets, d_ids) = _token_sets(queries), _token_sets(documents)
+    q_words, d_words = (
+        sets.select(F.col("set").alias(f"{x}set"), F.col("n").alias(f"{x}n"), F.explode("toks").alias("token"))
+        for x, sets in (("q", q_sets), ("d", d_sets))
+    )
     scored = (
         q_words.join(d_words, "token")
-        .groupBy("qkey", "dkey", "qn", "dn").agg(F.count("*").alias("overlap"))
-        .select("qkey", "dkey", (1 - token_cosine(F.col("overlap"), F.col("qn"), F.col("dn"))).alias("distance"))
+        .groupBy("qset", "dset", "qn", "dn").agg(F.count("*").alias("overlap"))
+        .select("qset", "dset", (1 - token_cosine(F.col("overlap"), F.col("qn"), F.col("dn"))).alias("distance"))
     )
-    members = first_per_group(d.select(F.col("key").alias("dkey"), F.col("id").alias("doc_id")), "dkey", ["doc_id"], k)
-    near = scored.join(members.drop("rank"), "dkey").select("qkey", "doc_id", "distance")
+    members = first_per_group(d_ids.select(F.col("set").alias("dset"), F.col("id").alias("doc_id")), "dset", ["doc_id"], k)
+    near = scored.join(members.drop("rank"), "dset").select("qset", "doc_id", "distance")
 
     fillers = documents.select(F.col("id").alias("doc_id")).orderBy("doc_id").limit(2 * k)
     filler_ids = fillers.agg(F.sort_array(F.collect_list("doc_id"))).scalar()
     far = (
-        q_sets.select(F.col("key").alias("qkey"), F.explode(filler_ids).alias("doc_id"))
-        .join(near.select("qkey", "doc_id"), ["qkey", "doc_id"], "left_anti")
+        q_sets.select(F.col("set").alias("qset"), F.explode(filler_ids).alias("doc_id"))
+        .join(near.select("qset", "doc_id"), ["qset", "doc_id"], "left_anti")
         .withColumn("distance", F.lit(1.0))
     )
-    ranked = first_per_group(near.unionByName(far), "qkey", [F.round("distance", 9), "doc_id"], k)
+    ranked = first_per_group(near.unionByName(far), "qset", [F.round("distance", 9), "doc_id"], k)
     return (
-        q.select(F.col("id").alias("query_id"), F.col("key").alias("qkey"))
-        .join(ranked, "qkey").select("query_id", "rank", "doc_id", "distance")
+        q_ids.select(F.col("id").alias("query_id"), F.col("set").alias("qset"))
+        .join(ranked, "qset").select("query_id", "rank", "doc_id", "distance")
     )
