@@ -23,7 +23,12 @@ EXTENSION = 0.25
 #: most frequent go to the tasks (8 bytes each); both steer the plan only.
 COMMON_SAMPLE, COMMON_TOKENS = 16, 1 << 16
 
+#: Visitors of a block that one task takes; ids up to which a list of documents is broadcast (16 bytes each).
+GUESTS, BROADCAST_IDS = 512, 1 << 22
+
 _HEAVY = np.uint64(1 << 62)
+#: Roles of the rows of a block: members that join each other, members that wait for guests only, guests.
+_MEMBER, _HOST, _GUEST = 0, 1, 2
 
 
 def token_sets(column: pa.Array, shingle: int) -> Iterator[tuple[int, int, np.ndarray]]:
@@ -239,10 +244,10 @@ def _links(a: Tree, ids_a: np.ndarray, forest: _Forest, b: Tree | None = None, i
 
 
 def _blocks_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Join the members of each block, then its visitors in chunks; rows come by block, members first."""
-    block, tree, ids, forest = None, None, None, _Forest()
+    """Join the members of each block, then its visitors in chunks; rows come by task, members first."""
+    task, tree, ids, forest = None, None, None, _Forest()
     held: list[tuple[int, np.ndarray]] = []
-    guests = False
+    now = _MEMBER
 
     def settle():
         nonlocal tree, ids, held
@@ -250,9 +255,9 @@ def _blocks_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if held:
             keys = np.array([k for k, _ in held], np.int64)
             part = Tree([t for _, t in held])
-            if not guests:
+            if now != _GUEST:
                 tree, ids = part, keys
-                found = list(_links(tree, ids, forest))
+                found = list(_links(tree, ids, forest)) if now == _MEMBER else []
             elif tree is not None:
                 found = list(_links(part, keys, forest, tree, ids))
         held = []
@@ -260,13 +265,13 @@ def _blocks_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [pa.array([p for p, _ in found], pa.int64()), pa.array([q for _, q in found], pa.int64())], ["u", "v"])
 
     for batch in batches:
-        rows = zip(*(batch.column(n).to_pylist() for n in ("block", "guest", "set_id", "tokens")), strict=True)
-        for b, guest, key, tokens in rows:
-            if b != block or guest != guests or (guest and len(held) >= BLOCK_SETS):
+        rows = zip(*(batch.column(n).to_pylist() for n in ("task", "role", "set_id", "tokens")), strict=True)
+        for t, role, key, tokens in rows:
+            if t != task or role != now or (role == _GUEST and len(held) >= BLOCK_SETS):
                 yield settle()
-                if b != block:
-                    block, tree, ids, forest = b, None, None, _Forest()
-                guests = guest
+                if t != task:
+                    task, tree, ids, forest = t, None, None, _Forest()
+                now = role
             held.append((key, np.frombuffer(tokens, np.uint64)))
     yield settle()
 
@@ -306,14 +311,23 @@ def jaccard_links(docs: DataFrame, sets: DataFrame, shingle: int = SHINGLE) -> D
               # one of the two directions, evenly
               .filter("block <> other AND ((block < other) = ((block ^ other) & 1 = 0))")
               .select("set_id", F.col("other").alias("block")).distinct())
-    tasks = save(blocks.withColumn("guest", F.lit(False)).unionByName(visits.withColumn("guest", F.lit(True))), "visits")
+    visits = save(visits, "visits")
+    # many visitors of one block are dealt out to tasks that each hold its members
+    chunks = visits.groupBy("block").agg(F.ceil(F.count("*") / GUESTS).alias("chunks"))
+    guests = visits.join(chunks, "block").select(
+        "set_id", F.expr("xxhash64(block, pmod(xxhash64(set_id), chunks))").alias("task"), F.lit(_GUEST).alias("role"))
+    hosts = blocks.join(chunks, "block", "left").select(
+        "set_id", "block", F.explode(F.expr("sequence(0L, coalesce(chunks, 1) - 1)")).alias("chunk")).select(
+        "set_id", F.expr("xxhash64(block, chunk)").alias("task"), F.expr(f"IF(chunk = 0, {_MEMBER}, {_HOST})").alias("role"))
 
     one = sets.join(blocks.select("set_id"), "set_id", "left_semi").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
-    arrays = docs.join(one.select("doc_id"), "doc_id", "left_semi").mapInArrow(
+    one = save(one.select("doc_id"), "ids")
+    few = one.count() <= BROADCAST_IDS
+    arrays = docs.join(F.broadcast(one) if few else one, "doc_id", "left_semi").mapInArrow(
         _arrays_task(shingle), "set_id bigint, tokens binary")
     arrays = save(arrays.dropDuplicates(["set_id"]), "arrays")
-    dealt = tasks.join(arrays, "set_id").repartition("block").sortWithinPartitions("block", "guest")
-    return dealt.select("block", "guest", "set_id", "tokens").mapInArrow(_blocks_task, "u bigint, v bigint")
+    dealt = hosts.unionByName(guests).join(arrays, "set_id").repartition("task").sortWithinPartitions("task", "role")
+    return dealt.select("task", "role", "set_id", "tokens").mapInArrow(_blocks_task, "u bigint, v bigint")
 
 
 def jaccard_groups(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
