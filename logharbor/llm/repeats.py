@@ -87,11 +87,15 @@ def _extend_task(length: int, window: int):
                 chosen = good[pick]
                 _, h = words.runs(window)
                 begin, h = begin[chosen], h[chosen]
+                # the same window before in the same text
+                order = np.lexsort((begin, h, words.row[begin]))
+                again = np.zeros(len(begin), bool)
+                again[order[1:]] = (h[order[1:]] == h[order[:-1]]) & (words.row[begin[order[1:]]] == words.row[begin[order[:-1]]])
                 row = pa.array(words.row[begin] + at)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(signed(h)), doc.take(row), key.take(row),
-                     pa.array((begin - words.first[words.row[begin]]).astype(np.int32))],
-                    ["h", "doc_id", "text_key", "pos"])
+                     pa.array((begin - words.first[words.row[begin]]).astype(np.int32)), pa.array(again)],
+                    ["h", "doc_id", "text_key", "pos", "again"])
     return run
 
 
@@ -125,14 +129,21 @@ def _cut_task(window: int):
 
 
 def _repeated(rows: DataFrame) -> DataFrame:
-    """Rows whose hash occurs more than once, with the first place of the hash.
+    """Rows whose hash occurs more than once.
 
-    The count is combined before the shuffle; the join back is one that Spark
-    splits where a hash is hot.
+    The count is combined before the shuffle and written, so that the join back
+    has a shuffle of its own, which Spark splits where a hash is hot.
     """
-    place = F.struct("doc_id", "pos")
-    heads = rows.groupBy("h").agg(F.count("*").alias("n"), F.min(place).alias("head")).filter("n > 1")
-    return rows.join(heads.drop("n"), "h")
+    often = save(rows.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"), "often")
+    return rows.join(often, "h", "left_semi")
+
+
+def _later(windows: DataFrame) -> DataFrame:
+    """Windows that also start earlier: in a text of a smaller id, or before in their own."""
+    place = F.coalesce("doc_id", F.lit(-(1 << 63)))
+    heads = save(windows.groupBy("h").agg(F.min(place).alias("head"), F.max(place).alias("last"), F.max("again").alias("any"))
+                 .filter("head < last OR any").select("h", "head"), "heads")
+    return windows.join(heads, "h").filter(F.col("again") | (place > F.col("head")))
 
 
 def _hits(rows: DataFrame) -> DataFrame:
@@ -157,8 +168,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, first_length: int = WI
     the input.
 
     Null or empty texts give 0 words and an empty string.  Texts shorter than the
-    window stay whole.  Rows that repeat both id and text are the same place and do
-    not remove each other.  Other columns are ignored.  Runs are compared by 64-bit
+    window stay whole.  Rows that repeat an id do not remove words from each
+    other.  Other columns are ignored.  Runs are compared by 64-bit
     hashes.
     """
     texts = docs.select(
@@ -174,9 +185,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, first_length: int = WI
             rows = _with_hits(texts, hits, "inner").mapInArrow(_wider_task(length, wider, window), schema)
             hits = save(_hits(_repeated(rows)), "repeats")
         else:
-            windows = save(_with_hits(texts, hits, "inner").mapInArrow(_extend_task(length, window), schema), "windows")
-            later = _repeated(windows).filter(~F.struct("doc_id", "pos").eqNullSafe(F.col("head")))
-            hits = save(_hits(later), "repeats")
+            windows = save(_with_hits(texts, hits, "inner").mapInArrow(
+                _extend_task(length, window), f"{schema}, again boolean"), "windows")
+            hits = save(_hits(_later(windows)), "repeats")
         length = wider
     return _with_hits(texts, hits, "left").mapInArrow(
         _cut_task(window), "doc_id bigint, n_words bigint, n_removed bigint, kept string")
