@@ -179,16 +179,14 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, first_length: int = WI
     length = _level(first_length, window)
     rows = texts.mapInArrow(_runs_task(length, window), schema)
     hits = save(_hits(_repeated(rows)), "repeats")
-    while length < window and not hits.isEmpty():
-        wider = min(length * 2, window)
-        if wider < window:
-            rows = _with_hits(texts, hits, "inner").mapInArrow(_wider_task(length, wider, window), schema)
-            hits = save(_hits(_repeated(rows)), "repeats")
-        else:
-            windows = save(_with_hits(texts, hits, "inner").mapInArrow(
-                _extend_task(length, window), f"{schema}, again boolean"), "windows")
-            hits = save(_hits(_later(windows)), "repeats")
-        length = wider
+    while length * 2 < window and not hits.isEmpty():
+        rows = _with_hits(texts, hits, "inner").mapInArrow(_wider_task(length, length * 2, window), schema)
+        hits = save(_hits(_repeated(rows)), "repeats")
+        length *= 2
+    if not hits.isEmpty():
+        windows = save(_with_hits(texts, hits, "inner").mapInArrow(
+            _extend_task(length, window), f"{schema}, again boolean"), "windows")
+        hits = save(_hits(_later(windows)), "repeats")
     return _with_hits(texts, hits, "left").mapInArrow(
         _cut_task(window), "doc_id bigint, n_words bigint, n_removed bigint, kept string")
 

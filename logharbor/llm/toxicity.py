@@ -155,6 +155,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
     picked = F.broadcast(picked.select(F.col("doc_id").alias("label_id"), "toxic"))
     rows = (docs.filter(F.length("text") <= FIT_CHARS).join(picked, F.col("doc_id") == F.col("label_id"))
             .select("label_id", "toxic", "text").dropDuplicates(["label_id"]).collect())
+    if {r.toxic for r in rows} != {0, 1}:
+        return None
     rows.sort(key=lambda r: r.label_id)
     # one half of each class trains the dictionaries, the other calibrates
     halves: tuple[list, list] = ([], [])
