@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from logharbor.session import cut_lineage
 
-MAX_ROUNDS = 60
-
 
 def _toward_minimum(edges: DataFrame, minimum: DataFrame) -> DataFrame:
     return edges.join(minimum, "u")
@@ -35,18 +33,17 @@ def connected_components(edges: DataFrame) -> DataFrame:
     The published alternating large-star / small-star rounds: a logarithmic number
     of them, each two aggregations and two joins.  No neighbourhood is collected,
     so a hub only skews a join, which AQE splits.  Each round is checkpointed
-    reliably; two numbers per round reach the driver to see that nothing changed.
+    reliably; two numbers per round reach the driver, and the rounds end when nothing changes.
     """
     current = cut_lineage(
         edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         .filter("u <> v").distinct()
     )
     seen = None
-    for _ in range(MAX_ROUNDS):
+    while True:
         mark = tuple(current.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first())
         if mark == seen or mark[0] == 0:
             roots = current.select(F.col("v").alias("id")).distinct().withColumn("root", F.col("id"))
             return current.select(F.col("u").alias("id"), F.col("v").alias("root")).unionByName(roots)
         seen = mark
         current = cut_lineage(_small_star(_large_star(current)))
-    raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")

@@ -35,9 +35,10 @@ def anomalies_since(logs: DataFrame, since: Column | None = None, limit: int = 5
     return page(hits, [F.desc("timestamp"), "id"], 0, limit)
 
 
-def unclustered(logs: DataFrame, limit: int = 200) -> DataFrame:
-    """Rows without a cluster, oldest first."""
-    return page(logs.filter(F.col("cluster_id").isNull()), ["created_at", "id"], 0, limit)
+def unclustered(logs: DataFrame, limit: int | None = 200) -> DataFrame:
+    """Rows without a cluster (F5): the oldest ``limit``, or all of them without one."""
+    todo = logs.filter(F.col("cluster_id").isNull())
+    return todo if limit is None else page(todo, ["created_at", "id"], 0, limit)
 
 
 def filter_incidents(

@@ -24,21 +24,22 @@ def upsert(table: DataFrame, changes: DataFrame, keys: list[str], version: str)
 def apply_incident_changes(incidents: DataFrame, changes: DataFrame) -> DataFrame:
     """Apply status, severity and description changes (M1).
 
-    ``changes`` has id, version, changed_at and the three nullable fields; the
-    last version per id wins.  ``resolved_at`` is set when the status turns resolved.
+    ``changes`` has id, version, changed_at and the three nullable fields, applied
+    in the order of version: each field takes its last set value, and
+    ``resolved_at`` the time of the last change to resolved.
     """
-    last = latest_by_key(changes, ["id"], "version").select(
-        "id", *[F.col(c).alias(f"new_{c}") for c in ("status", "severity", "description")],
-        "changed_at",
+    last = changes.groupBy("id").agg(
+        *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("version"))).alias(f"new_{c}")
+          for c in ("status", "severity", "description")],
+        F.max_by("changed_at", F.when(F.col("status") == "resolved", F.col("version"))).alias("last_resolved"),
     )
     joined = incidents.join(last, "id", "left")
-    resolved = F.when(F.col("new_status") == "resolved", F.col("changed_at"))
     return joined.withColumns({
-        "resolved_at": F.coalesce(resolved, F.col("resolved_at")),
+        "resolved_at": F.coalesce("last_resolved", "resolved_at"),
         "status": F.coalesce("new_status", "status"),
         "severity": F.coalesce("new_severity", "severity"),
         "description": F.coalesce("new_description", "description"),
-    }).drop("new_status", "new_severity", "new_description", "changed_at")
+    }).drop("new_status", "new_severity", "new_description", "last_resolved")
 
 
 def add_members(clusters: DataFrame, new_logs: DataFrame) -> DataFrame:

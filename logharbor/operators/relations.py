@@ -15,9 +15,10 @@ def without_embedding(logs: DataFrame, embeddings: DataFrame) -> DataFrame:
     return logs.join(done, "id", "left_anti")
 
 
-def pending_embeddings(logs: DataFrame, embeddings: DataFrame, limit: int = 64) -> DataFrame:
-    """Oldest logs still to embed."""
-    return page(without_embedding(logs, embeddings), ["created_at", "id"], 0, limit)
+def pending_embeddings(logs: DataFrame, embeddings: DataFrame, limit: int | None = None) -> DataFrame:
+    """Logs still to embed (J1): all of them, or the ``limit`` oldest."""
+    todo = without_embedding(logs, embeddings)
+    return todo if limit is None else page(todo, ["created_at", "id"], 0, limit)
 
 
 def with_relations(incidents: DataFrame, alerts: DataFrame, summaries: DataFrame) -> DataFrame:

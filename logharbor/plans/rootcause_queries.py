@@ -86,10 +86,9 @@ def retrieval_context(spark, sf_dir):
 
 
 @query("x01_root_cause_prompt", sql(CONTEXT, f"""
-SELECT c.id, concat('Find the root cause of this production incident.', chr(10), chr(10), 'INCIDENT TITLE: ', c.title, chr(10), 'SEVERITY: ', c.severity,
-  chr(10), 'LOG COUNT: ', c.log_count, chr(10), 'AFFECTED SERVICES: ', replace(c.affected_services, '|', ', '), chr(10), chr(10),
-  'REPRESENTATIVE LOG MESSAGES:', chr(10), s.samples, chr(10), chr(10), 'SIMILAR PAST INCIDENTS (for context):', chr(10), x.similar,
-  chr(10), chr(10), 'Answer with JSON of exactly this form:', chr(10), {_quoted(K.ROOT_CAUSE_FIELDS)}) AS prompt
+SELECT c.id, concat('Evidence:', chr(10), s.samples, chr(10), chr(10), 'Earlier cases like it:', chr(10), x.similar, chr(10), chr(10),
+  'Case: ', c.title, ' | ', c.log_count, ' lines | rated ', c.severity, ' | seen in ', replace(c.affected_services, '|', ', '),
+  chr(10), chr(10), 'What set it off? Reply with one JSON object. Its keys: ', {_quoted(K.ROOT_CAUSE_FIELDS)}, '.') AS prompt
 FROM cases c JOIN samples s USING (cluster_id) JOIN context x ON x.id = c.id
 """))
 def root_cause_prompt(spark, sf_dir):
@@ -99,16 +98,16 @@ def root_cause_prompt(spark, sf_dir):
 
 
 @query("t05_timeline_prompt", sql(CLUSTERS + f", samples AS ({samples_sql(50, ISO_SAMPLE)})", f"""
-SELECT c.id, concat('Write an incident timeline from these log entries, oldest first:', chr(10), chr(10), samples, chr(10), chr(10),
-  'Answer with JSON only:', chr(10), {_quoted(K.TIMELINE_FIELDS)}) AS prompt FROM cases c JOIN samples USING (cluster_id)
+SELECT c.id, concat(samples, chr(10), chr(10), 'Tell what happened above step by step. Reply with one JSON object. Its keys: ',
+  {_quoted(K.TIMELINE_FIELDS)}, '.') AS prompt FROM cases c JOIN samples USING (cluster_id)
 """))
 def timeline_prompt(spark, sf_dir):
     return R.timeline_prompts(T.cluster_incidents(spark, sf_dir), T.clustered(spark, sf_dir))
 
 
 @query("x06_cluster_prompt", sql(CLUSTERS, """
-SELECT id, concat('Describe in one or two sentences the log cluster ''', name, ''' of ', log_count, ' events:', chr(10), '- ',
-  replace(representative_messages, '|', concat(chr(10), '- ')), chr(10), chr(10), 'Technical and concise, no markdown.') AS prompt FROM clusters
+SELECT id, concat(log_count, ' lines share the label ', name, ', for example:', chr(10), '- ',
+  replace(representative_messages, '|', concat(chr(10), '- ')), chr(10), chr(10), 'What are they about? Two plain sentences at most.') AS prompt FROM clusters
 """))
 def cluster_prompt(spark, sf_dir):
     return R.cluster_prompts(T.clusters(spark, sf_dir))

@@ -108,7 +108,6 @@ def metadata_filter(spark, sf_dir):
 
 @query("j01_without_embedding", sql(LOGS, """
 SELECT id, timestamp AS created_at FROM logs WHERE id NOT IN (SELECT CAST(vec_id AS VARCHAR) FROM embeddings)
-ORDER BY timestamp, id LIMIT 64
 """))
 def without_embedding(spark, sf_dir):
     pending = J.pending_embeddings(T.logs(spark, sf_dir), T.embedding_records(spark, sf_dir))
@@ -254,7 +253,12 @@ CHANGES = """changes AS (
          CASE l_linestatus WHEN 'F' THEN 'critical' END AS severity,
          CASE WHEN l_returnflag = 'N' THEN concat('part ', CAST(l_partkey AS VARCHAR)) END AS description
   FROM lineitem),
-last AS (SELECT * FROM changes QUALIFY row_number() OVER (PARTITION BY id ORDER BY version DESC) = 1)"""
+last AS (
+  SELECT id, (list(status ORDER BY version DESC) FILTER (WHERE status IS NOT NULL))[1] AS status,
+         (list(severity ORDER BY version DESC) FILTER (WHERE severity IS NOT NULL))[1] AS severity,
+         (list(description ORDER BY version DESC) FILTER (WHERE description IS NOT NULL))[1] AS description,
+         (list(changed_at ORDER BY version DESC) FILTER (WHERE status = 'resolved'))[1] AS last_resolved
+  FROM changes GROUP BY id)"""
 
 
 def incident_changes(spark, sf_dir) -> DataFrame:
@@ -272,7 +276,7 @@ def incident_changes(spark, sf_dir) -> DataFrame:
 @query("m01_incident_changes", sql(f"{INCIDENTS}, {CHANGES}", """
 SELECT i.id, coalesce(c.status, i.status) AS status, coalesce(c.severity, i.severity) AS severity,
        coalesce(c.description, i.description) AS description,
-       CASE WHEN c.status = 'resolved' THEN c.changed_at ELSE i.resolved_at END AS resolved_at
+       coalesce(c.last_resolved, i.resolved_at) AS resolved_at
 FROM incidents i LEFT JOIN last c ON c.id = i.id
 """))
 def changed_incidents(spark, sf_dir):

@@ -105,14 +105,14 @@ def noise(spark, sf_dir):
 
 
 @query("v10_recluster_unclustered", sql(LABELS.replace(
-    "texts AS (SELECT", "todo AS (SELECT * FROM logs WHERE id NOT IN (SELECT CAST(doc_id AS VARCHAR) FROM labels_given)\n"
-    "  ORDER BY timestamp, id LIMIT 500),\ntexts AS (SELECT").replace("min(id) AS id, count(*) AS weight FROM logs", "min(id) AS id, count(*) AS weight FROM todo")
+    "texts AS (SELECT", "todo AS (SELECT * FROM logs WHERE id NOT IN (SELECT CAST(doc_id AS VARCHAR) FROM labels_given)),\ntexts AS (SELECT")
+    .replace("min(id) AS id, count(*) AS weight FROM logs", "min(id) AS id, count(*) AS weight FROM todo")
     .replace("WITH RECURSIVE ", "").replace("labels AS (SELECT t.text", "found AS (SELECT t.text").replace("LEFT JOIN labels b", "LEFT JOIN found b")
     .replace("labels_given", "labels"), "SELECT text, id, weight, cluster_id FROM found"))
 def recluster_unclustered(spark, sf_dir):
     given = T.table(spark, sf_dir, "labels").select(
         F.col("doc_id").cast("string").alias("id"), F.col("quality").cast("string").alias("cluster_id"))
-    todo = L.unclustered(T.logs(spark, sf_dir).join(given, "id", "left"), 500)
+    todo = L.unclustered(T.logs(spark, sf_dir).join(given, "id", "left"), None)
     return C.cluster_logs(todo)
 
 
@@ -244,7 +244,7 @@ def _texts(logs):
 
 
 @query("v08_embedding_backlog", sql(LOGS + """,
-todo AS (SELECT * FROM logs WHERE id NOT IN (SELECT CAST(vec_id AS VARCHAR) FROM embeddings) ORDER BY timestamp, id LIMIT 64)
+todo AS (SELECT * FROM logs WHERE id NOT IN (SELECT CAST(vec_id AS VARCHAR) FROM embeddings))
 """, EMBEDDED))
 def embedding_backlog(spark, sf_dir):
     todo = J.pending_embeddings(T.logs(spark, sf_dir), T.embedding_records(spark, sf_dir))

@@ -116,7 +116,7 @@ def test_changes(spark):
         [("a", 1, T0, "resolved", None, None), ("a", 2, T0 + timedelta(1), None, "high", None), ("b", 1, T0, "resolved", None, "y")],
         "id string, version int, changed_at timestamp, status string, severity string, description string")
     got = {r.id: r for r in M.apply_incident_changes(table, changes).collect()}
-    assert (got["a"].status, got["a"].severity, got["a"].resolved_at) == ("open", "high", None)  # last change wins
+    assert (got["a"].status, got["a"].severity, got["a"].resolved_at) == ("resolved", "high", T0)  # each field's last
     assert (got["b"].status, got["b"].resolved_at, got["b"].description) == ("resolved", T0, "y")
 
 
