@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from check import compare, connect
 from logharbor.llm import decontam, jaccard, links, mixing, pii, quality, queries, repeats, secrets, toxicity, vectors
 from tests.llm import brute
 
@@ -308,5 +309,11 @@ def test_repeats_more_levels_and_odd_rows(spark, odd):
     assert repeats.remove_repeats(odd.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_queries_with_sql(spark, name):
+    got = queries.QUERIES[name](spark, DIR).toArrow()
+    assert compare(got, connect(DIR).sql(queries.ORACLES[name]).to_arrow_table()) is None
+
+
 def test_every_operator_is_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
