@@ -27,7 +27,7 @@ COMMON_SAMPLE, COMMON_TOKENS = 16, 1 << 16
 GUESTS, BROADCAST_IDS = 512, 1 << 22
 
 _HEAVY = np.uint64(1 << 62)
-#: Roles of the rows of a block: members that join each other, members that wait for guests only, guests.
+#: Roles of the rows of a block: members that join each other, hosts that wait for guests, guests.
 _MEMBER, _HOST, _GUEST = 0, 1, 2
 
 
@@ -90,32 +90,33 @@ def _tokens_task(shingle: int):
 
 
 def _prefix_task(shingle: int, common: np.ndarray):
-    """The rarest tokens of each set: the prefix and its extension.
+    """The rarest tokens of each set: the prefix and its extension; of equal sets in a task, one speaks.
 
     The order over all tokens is fixed: common ones last, else by hash.  Similar
-    sets share a token of their prefixes.  ``prefix`` is the prefix length.
+    sets share a token of their prefixes.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        out: list[tuple[np.ndarray, int, int]] = []
+        held = 0
         for batch in batches:
-            out: list[tuple[np.ndarray, int, int]] = []
-            held = 0
             for _, _, tokens in token_sets(batch.column("text"), shingle):
-                n = len(tokens)
-                if not n:
+                n, key = len(tokens), set_key(tokens)
+                if not n or key in seen:
                     continue
-                key = set_key(tokens)
+                seen.add(key)
                 at = np.minimum(np.searchsorted(common, tokens), len(common) - 1)
                 heavy = common[at] == tokens if len(common) else np.zeros(n, bool)
                 ordered = np.concatenate([tokens[~heavy], tokens[heavy] | _HEAVY])
                 prefix = n - least_overlap(n) + 1
                 taken = ordered[: min(n, prefix + int(prefix * EXTENSION))]
-                out.append((taken, key, prefix))
+                out.append((taken, key, n))
                 held += len(taken)
                 if held > 1 << 17:
                     yield _prefix_batch(out)
                     out, held = [], 0
-            if out:
-                yield _prefix_batch(out)
+        if out:
+            yield _prefix_batch(out)
     return run
 
 
@@ -124,21 +125,8 @@ def _prefix_batch(rows: list[tuple[np.ndarray, int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([
         pa.array(signed(np.concatenate([t for t, _, _ in rows]))),
         pa.array(np.repeat(np.array([k for _, k, _ in rows], np.int64), sizes)),
-        pa.array(np.repeat(np.array([p for _, _, p in rows], np.int32), sizes)),
-        pa.array(np.repeat(np.array(sizes, np.int32), sizes)),
-    ], ["token", "set_id", "prefix", "taken"])
-
-
-def _arrays_task(shingle: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, texts = [], []
-            for _, _, tokens in token_sets(batch.column("text"), shingle):
-                keys.append(set_key(tokens))
-                texts.append(tokens.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(texts, pa.binary())],
-                                             ["set_id", "tokens"])
-    return run
+        pa.array(np.repeat(np.array([n for _, _, n in rows], np.int32), sizes)),
+    ], ["token", "set_id", "size"])
 
 
 class Tree:
@@ -243,52 +231,83 @@ def _links(a: Tree, ids_a: np.ndarray, forest: _Forest, b: Tree | None = None, i
             yield p, q
 
 
-def _blocks_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Join the members of each block, then its visitors in chunks; rows come by task, members first."""
-    task, tree, ids, forest = None, None, None, _Forest()
-    held: list[tuple[int, np.ndarray]] = []
-    now = _MEMBER
-
-    def settle():
-        nonlocal tree, ids, held
-        found = []
-        if held:
-            keys = np.array([k for k, _ in held], np.int64)
-            part = Tree([t for _, t in held])
-            if now != _GUEST:
-                tree, ids = part, keys
-                found = list(_links(tree, ids, forest)) if now == _MEMBER else []
-            elif tree is not None:
-                found = list(_links(part, keys, forest, tree, ids))
-        held = []
-        return pa.RecordBatch.from_arrays(
-            [pa.array([p for p, _ in found], pa.int64()), pa.array([q for _, q in found], pa.int64())], ["u", "v"])
-
-    for batch in batches:
-        rows = zip(*(batch.column(n).to_pylist() for n in ("task", "role", "set_id", "tokens")), strict=True)
-        for t, role, key, tokens in rows:
-            if t != task or role != now or (role == _GUEST and len(held) >= BLOCK_SETS):
-                yield settle()
-                if t != task:
-                    task, tree, ids, forest = t, None, None, _Forest()
-                now = role
-            held.append((key, np.frombuffer(tokens, np.uint64)))
-    yield settle()
+def _leaders(forest: _Forest, keys: np.ndarray) -> list[tuple[int, int]]:
+    """Each key with the smallest of those it is joined with, where that is another one."""
+    least: dict[int, int] = {}
+    for k in keys.tolist():
+        root = forest.root(k)
+        least[root] = min(k, least.get(root, k))
+    return [(k, low) for k in keys.tolist() if (low := least[forest.root(k)]) != k]
 
 
-def _shared_tokens(docs: DataFrame, shingle: int, common: np.ndarray) -> DataFrame:
-    """Prefix tokens held by two different sets at least, of sets that can still be similar to another.
+def _blocks_task(shingle: int):
+    """Join the members of each block, or its hosts with guests in chunks; rows come by task, guests last."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, tree, ids, forest = None, None, None, _Forest()
+        held: list[tuple[int, np.ndarray]] = []
+        seen: set[int] = set()
+        now = _MEMBER
+
+        def settle():
+            nonlocal tree, ids, held
+            found = []
+            if held:
+                keys = np.array([k for k, _ in held], np.int64)
+                part = Tree([t for _, t in held])
+                if now == _MEMBER:
+                    for _ in _links(part, keys, forest):
+                        pass
+                    found = _leaders(forest, keys)
+                elif now == _HOST:
+                    tree, ids = part, keys
+                elif tree is not None:
+                    found = list(_links(part, keys, forest, tree, ids))
+            held = []
+            return pa.RecordBatch.from_arrays(
+                [pa.array([p for p, _ in found], pa.int64()), pa.array([q for _, q in found], pa.int64())], ["u", "v"])
 
-    A set with more tokens of its own than a prefix is long has no partner.
-    """
-    rows = docs.mapInArrow(_prefix_task(shingle, common), "token bigint, set_id bigint, prefix int, taken int")
+        for batch in batches:
+            tasks, roles = batch.column("task").to_pylist(), batch.column("role").to_pylist()
+            for row, _, tokens in token_sets(batch.column("text"), shingle):
+                t, role, key = tasks[row], roles[row], set_key(tokens)
+                if t != task or role != now or (role == _GUEST and len(held) >= BLOCK_SETS):
+                    yield settle()
+                    if t != task:
+                        task, tree, ids, forest = t, None, None, _Forest()
+                        seen.clear()
+                    now = role
+                if len(tokens) and key not in seen:
+                    seen.add(key)
+                    held.append((key, tokens))
+        yield settle()
+    return run
+
+
+def _need(size: str) -> str:
+    """SQL for the tokens that a set of this size, or the smaller of a similar pair, shares in what it sends."""
+    prefix = f"({size} - ({size} * {NUMERATOR} + {DENOMINATOR - 1}) div {DENOMINATOR} + 1)"
+    return f"(least({size}, {prefix} + floor({prefix} * {EXTENSION}D)) - {prefix} + 1)"
+
+
+def _shared_tokens(docs: DataFrame, shingle: int, common: np.ndarray) -> DataFrame:
+    """Prefix tokens held by two different sets at least; ``low`` is the smallest of the sets."""
+    rows = docs.mapInArrow(_prefix_task(shingle, common), "token bigint, set_id bigint, size int")
     # a partial aggregation cannot thin these rows, so one shuffle carries them
     held = rows.selectExpr(
         "*", "min(set_id) OVER (PARTITION BY token) AS low", "max(set_id) OVER (PARTITION BY token) AS high")
-    found = save(held.filter("low <> high").select("token", "set_id", "prefix", "taken").distinct(), "prefix")
-    alive = found.groupBy("set_id").agg(F.count("*").alias("n"), F.max("taken").alias("t"), F.max("prefix").alias("p"))
-    alive = alive.filter("t - n < p").select("set_id")
-    return found.join(alive, "set_id", "left_semi").select("token", "set_id")
+    return held.filter("low <> high").select("token", "set_id", "size", "low").distinct()
+
+
+def _joined(docs: DataFrame, ids: DataFrame, dealt: DataFrame, shingle: int, name: str) -> DataFrame:
+    """Links found by the tasks that ``dealt`` (``set_id``, ``task``, ``role``) sends sets to.
+
+    Sets travel as the texts they are made from, which compress; hashes do not.
+    """
+    dealt = save(dealt.join(ids, "set_id").select("doc_id", "task", "role"), f"{name}_dealt")
+    few = dealt.count() <= BROADCAST_IDS
+    rows = docs.join(F.broadcast(dealt) if few else dealt, "doc_id").select("task", "role", "text")
+    rows = rows.repartition("task").sortWithinPartitions("task", "role")
+    return save(rows.mapInArrow(_blocks_task(shingle), "u bigint, v bigint"), name)
 
 
 def jaccard_links(docs: DataFrame, sets: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -298,36 +317,54 @@ def jaccard_links(docs: DataFrame, sets: DataFrame, shingle: int = SHINGLE) -> D
                .filter("count > 2").orderBy(F.desc("count"), "token").limit(COMMON_TOKENS))
     common = np.sort(np.array([r.token for r in counted.select("token").collect()], np.int64).view(np.uint64))
 
-    shared = save(_shared_tokens(docs, shingle, common), "shared")
+    found = save(_shared_tokens(docs, shingle, common), "shared")
+    # a set with more tokens of its own than a prefix is long has no partner
+    near = found.groupBy("set_id").agg(F.count("*").alias("n"), F.max("size").alias("size"), F.min("low").alias("hub"))
+    near = save(near.filter(f"n >= {_need('size')}").select("set_id", "hub"), "hubs")
     # sets meet in blocks: those with the same smallest partner together, cut by count
-    hubs = shared.groupBy("token").agg(F.min("set_id").alias("hub"), F.count("*").alias("n")).filter("n > 1")
-    near = shared.join(hubs.select("token", "hub"), "token").groupBy("set_id").agg(F.min("hub").alias("hub"))
-    near = save(near, "hubs")
     sizes = near.groupBy("hub").agg(F.count("*").alias("n"))
     blocks = save(near.join(sizes, "hub").select(
-        "set_id", F.expr(f"xxhash64(hub, pmod(xxhash64(set_id), ceil(n / {BLOCK_SETS})))").alias("block")), "blocks")
-    placed = shared.join(blocks, "set_id")
-    visits = (placed.join(placed.select("token", F.col("block").alias("other")).distinct(), "token")
-              # one of the two directions, evenly
-              .filter("block <> other AND ((block < other) = ((block ^ other) & 1 = 0))")
-              .select("set_id", F.col("other").alias("block")).distinct())
+        "set_id", "hub", "n", F.expr(f"xxhash64(hub, pmod(xxhash64(set_id), ceil(n / {BLOCK_SETS})))").alias("block")), "blocks")
+    ids = sets.join(blocks.select("set_id"), "set_id", "left_semi").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
+    ids = save(ids, "ids")
+    inner = _joined(docs, ids, blocks.filter("n > 1").select("set_id", F.col("block").alias("task"), F.lit(_MEMBER).alias("role")),
+                    shingle, "inner")
+
+    # a group of many copies fills many blocks: one set of each part stands for it
+    led = save(blocks.join(inner, blocks.set_id == inner.u, "left").select(
+        "set_id", "hub", "n", "block", F.coalesce("v", "set_id").alias("leader")), "led")
+    firsts = led.filter(f"n > {BLOCK_SETS} AND set_id = leader")
+    parts = firsts.groupBy("hub").agg(F.count("*").alias("parts"))
+    outer = _joined(docs, ids, firsts.join(parts, "hub").select(
+        "set_id", F.expr(f"xxhash64(hub, pmod(xxhash64(set_id, 1), ceil(parts / {BLOCK_SETS})))").alias("task"),
+        F.lit(_MEMBER).alias("role")), shingle, "outer")
+    led = led.join(outer, led.leader == outer.u, "left").select(
+        "set_id", "block", F.coalesce("v", "leader").alias("leader"))
+    led = save(led, "led")
+
+    # sets not joined yet visit the blocks of others that share a token
+    placed = save(found.select("token", "set_id", "size").join(led, "set_id"), "placed")
+    mixed = placed.groupBy("token").agg(F.min("leader").alias("low"), F.max("leader").alias("high")).filter("low <> high")
+    placed = save(placed.join(mixed.select("token"), "token", "left_semi"), "placed")
+    others = placed.groupBy("token", F.col("block").alias("other")).agg(
+        F.min("leader").alias("low"), F.max("leader").alias("high"), F.min("size").alias("least"), F.max("size").alias("most"))
+    smallest = f"((size * {NUMERATOR} + {DENOMINATOR - 1}) div {DENOMINATOR})"
+    visits = (placed.join(others, "token")
+              # one of the two directions, evenly; parts not joined yet, sizes in range
+              .filter("block <> other AND ((block < other) = ((block ^ other) & 1 = 0)) AND (low <> leader OR high <> leader)")
+              .filter(f"most >= {smallest} AND size * {DENOMINATOR}L >= least * {NUMERATOR}L")
+              # a partner has the smallest size at least, and the pair shares what that size needs
+              .groupBy("set_id", F.col("other").alias("block")).agg(F.count("*").alias("n"), F.max("size").alias("size"))
+              .filter(f"n >= {_need(smallest)}").select("set_id", "block"))
     visits = save(visits, "visits")
     # many visitors of one block are dealt out to tasks that each hold its members
     chunks = visits.groupBy("block").agg(F.ceil(F.count("*") / GUESTS).alias("chunks"))
     guests = visits.join(chunks, "block").select(
         "set_id", F.expr("xxhash64(block, pmod(xxhash64(set_id), chunks))").alias("task"), F.lit(_GUEST).alias("role"))
-    hosts = blocks.join(chunks, "block", "left").select(
-        "set_id", "block", F.explode(F.expr("sequence(0L, coalesce(chunks, 1) - 1)")).alias("chunk")).select(
-        "set_id", F.expr("xxhash64(block, chunk)").alias("task"), F.expr(f"IF(chunk = 0, {_MEMBER}, {_HOST})").alias("role"))
-
-    one = sets.join(blocks.select("set_id"), "set_id", "left_semi").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
-    one = save(one.select("doc_id"), "ids")
-    few = one.count() <= BROADCAST_IDS
-    arrays = docs.join(F.broadcast(one) if few else one, "doc_id", "left_semi").mapInArrow(
-        _arrays_task(shingle), "set_id bigint, tokens binary")
-    arrays = save(arrays.dropDuplicates(["set_id"]), "arrays")
-    dealt = hosts.unionByName(guests).join(arrays, "set_id").repartition("task").sortWithinPartitions("task", "role")
-    return dealt.select("task", "role", "set_id", "tokens").mapInArrow(_blocks_task, "u bigint, v bigint")
+    hosts = led.join(chunks, "block").select(
+        "set_id", "block", F.explode(F.expr("sequence(0L, chunks - 1)")).alias("chunk")).select(
+        "set_id", F.expr("xxhash64(block, chunk)").alias("task"), F.lit(_HOST).alias("role"))
+    return inner.unionByName(outer).unionByName(_joined(docs, ids, hosts.unionByName(guests), shingle, "met"))
 
 
 def jaccard_groups(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -339,9 +376,10 @@ def jaccard_groups(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
     Equal sets are one set from the start.  Similar sets share one of their rarest
     tokens (prefix filter), which brings them into a common block; each block is a
-    signature tree over at most a few hundred sets, traversed against itself and
-    against the trees of visiting sets, and each surviving leaf pair is tested
-    exactly unless its ends are joined already.
+    signature tree over at most a few hundred sets, traversed against itself, and
+    each surviving leaf pair is tested exactly unless its ends are joined already.
+    Then one set of each joined part meets those of the other blocks of its group,
+    and only sets that are in different parts still visit each other's blocks.
 
     Null, empty and wordless texts have no shingles and are their own component.
     A null id is a document of its own set, and never names a component unless
