@@ -24,6 +24,14 @@ def logs_stream(spark, sf_dir) -> DataFrame:
     return T.logs_of(events_stream(spark, sf_dir))
 
 
+def shuffled_logs_stream(spark, sf_dir, parts: int = 6) -> DataFrame:
+    """The events dealt to files by a hash of their id, so that every micro-batch spans all times."""
+    folder = new_folder(spark, "shuffled")
+    events = T.table(spark, sf_dir, "events")
+    events.repartition(parts, F.xxhash64("event_id")).write.parquet(folder)
+    return T.logs_of(J.file_stream(spark, folder, events.schema, maxFilesPerTrigger=1))
+
+
 def folders(spark, name: str) -> tuple[str, str]:
     return new_folder(spark, name), new_folder(spark, f"{name}-state")
 
@@ -48,13 +56,21 @@ _levels = ", ".join(f"count(*) FILTER (WHERE level = '{x}') AS {x.lower()}" for
 _rate = f"round(avg(CASE WHEN {ERRORS} THEN 1.0 ELSE 0.0 END), 4) AS error_rate"
 
 
-@query("w02_level_counts", sql(LOGS, f"""
+_LEVEL_COUNTS = sql(LOGS, f"""
 SELECT {bucket(300)} AS window_start, count(*) AS total, {_levels}, {_rate} FROM logs GROUP BY 1
-"""))
+""")
+
+
+@query("w02_level_counts", _LEVEL_COUNTS)
 def level_counts(spark, sf_dir):
     return drained(J.level_counts_stream(logs_stream(spark, sf_dir)), "levels", ["window_start"])
 
 
+@query("w02_level_counts_shuffled", _LEVEL_COUNTS)
+def level_counts_shuffled(spark, sf_dir):
+    return drained(J.level_counts_stream(shuffled_logs_stream(spark, sf_dir)), "levels", ["window_start"])
+
+
 @query("w02_level_counts_sliding", sql(LOGS, f"""
 SELECT {bucket(60)} - s * INTERVAL 60 SECONDS AS window_start, count(*) AS total, {_levels}, {_rate}
 FROM logs, range(0, 5) r(s) GROUP BY 1
@@ -63,30 +79,55 @@ def level_counts_sliding(spark, sf_dir):
     return drained(J.level_counts_stream(logs_stream(spark, sf_dir), 300, 60), "sliding", ["window_start"])
 
 
-@query("w03_events_per_second", sql(LOGS, f"SELECT {bucket(60)} AS window_start, count(*) / 60.0::DOUBLE AS events_per_second FROM logs GROUP BY 1"))
+_EVENTS_PER_SECOND = sql(LOGS, f"SELECT {bucket(60)} AS window_start, count(*) / 60.0::DOUBLE AS events_per_second FROM logs GROUP BY 1")
+
+
+@query("w03_events_per_second", _EVENTS_PER_SECOND)
 def events_per_second(spark, sf_dir):
     return drained(J.events_per_second_stream(logs_stream(spark, sf_dir)), "eps", ["window_start"])
 
 
+@query("w03_events_per_second_shuffled", _EVENTS_PER_SECOND)
+def events_per_second_shuffled(spark, sf_dir):
+    return drained(J.events_per_second_stream(shuffled_logs_stream(spark, sf_dir)), "eps", ["window_start"])
+
+
 @query("w04_stream_anomalies", sql(FLAGS, "SELECT id, is_anomaly, anomaly_score FROM flagged"))
 def stream_anomalies(spark, sf_dir):
     rows = J.flag_stream(logs_stream(spark, sf_dir), *folders(spark, "flags"), seconds=3600)
     return rows.select("id", "is_anomaly", "anomaly_score")
 
 
-@query("w05_stream_alerts", sql(LOGS, """
+@query("w04_stream_anomalies_shuffled", sql(FLAGS, "SELECT id, is_anomaly, anomaly_score FROM flagged"))
+def stream_anomalies_shuffled(spark, sf_dir):
+    rows = J.flag_stream(shuffled_logs_stream(spark, sf_dir), *folders(spark, "flags"), seconds=3600)
+    return rows.select("id", "is_anomaly", "anomaly_score")
+
+
+_ALERTS = sql(LOGS, """
 SELECT alert_type, w AS fired_at, actual::DOUBLE AS actual_value, 'firing' AS status FROM (
   SELECT date_trunc('day', timestamp) AS w, 'redis_failure_threshold' AS alert_type, count(*) FILTER (WHERE service = 'redis' AND level IN ('ERROR', 'CRITICAL')) AS actual, 5 AS t FROM logs GROUP BY 1
   UNION ALL SELECT date_trunc('day', timestamp), 'reconnect_storm', count(*) FILTER (WHERE regexp_matches(message, 'reconnect|disconnect')), 10 FROM logs GROUP BY 1
   UNION ALL SELECT date_trunc('day', timestamp), 'queue_saturation', max(event_id % 1500), 1000 FROM logs GROUP BY 1) WHERE actual >= t
-"""))
-def stream_alerts(spark, sf_dir):
-    logs = logs_stream(spark, sf_dir).withColumn("depth", F.col("event_id") % 1500)
-    measures = J.alert_measures_stream(logs, 86400)
-    fired = J.alert_stream(measures, alert_rules(spark), *folders(spark, "alerts"))
+""")
+
+
+def _alerts(logs: DataFrame) -> DataFrame:
+    measures = J.alert_measures_stream(logs.withColumn("depth", F.col("event_id") % 1500), 86400)
+    fired = J.alert_stream(measures, alert_rules(logs.sparkSession), *folders(logs.sparkSession, "alerts"))
     return fired.select("alert_type", "fired_at", "actual_value", "status")
 
 
+@query("w05_stream_alerts", _ALERTS)
+def stream_alerts(spark, sf_dir):
+    return _alerts(logs_stream(spark, sf_dir))
+
+
+@query("w05_stream_alerts_shuffled", _ALERTS)
+def stream_alerts_shuffled(spark, sf_dir):
+    return _alerts(shuffled_logs_stream(spark, sf_dir))
+
+
 @query("w06_drop_replays", sql(LOGS, "SELECT id, level FROM logs"))
 def drop_replays(spark, sf_dir):
     """The same file read by two streams, as a source that replays everything once."""
@@ -95,6 +136,22 @@ def drop_replays(spark, sf_dir):
     return J.write_batches(J.drop_replays(twice), *folders(spark, "replays")).select("id", "level")
 
 
-@query("w07_timeline", sql(LOGS, f"SELECT {bucket(30)} AS bucket, count(*) AS events, count(*) FILTER (WHERE {ERRORS}) AS errors FROM logs GROUP BY 1"))
+@query("w06_drop_replays_shuffled", sql(LOGS, "SELECT id, level FROM logs"))
+def drop_replays_shuffled(spark, sf_dir):
+    """Two streams of the same rows, each in another order."""
+    twice = shuffled_logs_stream(spark, sf_dir).select("id", "timestamp", "level").union(
+        shuffled_logs_stream(spark, sf_dir, 5).select("id", "timestamp", "level"))
+    return J.write_batches(J.drop_replays(twice), *folders(spark, "replays")).select("id", "level")
+
+
+_TIMELINE = sql(LOGS, f"SELECT {bucket(30)} AS bucket, count(*) AS events, count(*) FILTER (WHERE {ERRORS}) AS errors FROM logs GROUP BY 1")
+
+
+@query("w07_timeline", _TIMELINE)
 def timeline(spark, sf_dir):
     return drained(J.timeline_stream(logs_stream(spark, sf_dir)), "timeline", ["bucket"])
+
+
+@query("w07_timeline_shuffled", _TIMELINE)
+def timeline_shuffled(spark, sf_dir):
+    return drained(J.timeline_stream(shuffled_logs_stream(spark, sf_dir)), "timeline", ["bucket"])

@@ -3,7 +3,11 @@
 Sinks write each micro-batch to its own folder with overwrite, so a batch that is
 replayed after a failure replaces itself.  Windowed queries run in update mode;
 ``latest_windows`` keeps the last emission of every window, which equals the batch
-result once the stream is drained.
+result once the stream is drained, in whatever order the rows came.
+
+By default there is no watermark, because one drops late rows: the state then keeps
+one small row per window, or one key per row for replays, in the state store.  A
+``delay`` bounds that state, at the price of rows later than it.
 """
 
 from __future__ import annotations
@@ -24,11 +28,9 @@ from logharbor.operators.detection import (
 )
 from logharbor.operators.maintenance import latest_by_key
 from logharbor.operators.metrics import error_rate, is_error
+from logharbor.session import cut_lineage
 from logharbor.sources.readers import parse_lines
 
-WATERMARK = "10 minutes"
-
-
 # ---------------------------------------------------------------- sources and sinks
 
 def file_stream(
@@ -82,54 +84,60 @@ def ingest_stream(
 
 
 def flag_stream(
-    logs: DataFrame, out: str, checkpoint: str, seconds: int = K.ANOMALY_WINDOW_SECONDS,
-    horizon_seconds: int = 86400,
+    logs: DataFrame, out: str, checkpoint: str, seconds: int = K.ANOMALY_WINDOW_SECONDS
 ) -> DataFrame:
     """Flag anomalies while rows arrive.
 
-    A row is scored with the counts of its window so far; flags are provisional
-    until the window ends.  The counts are a small table per micro-batch, made from
-    the table of the batch before and the batch's own counts.  It keeps the batch's
-    windows and those of the last ``horizon_seconds`` of event time, so it does not
-    grow with the stream, and a replayed batch finds the same table before it.
+    Each micro-batch writes its counts per window, and its rows with the flags that
+    the counts so far give them.  A window may still grow in later batches, so the
+    returned table scores the rows again with the counts of all batches: it equals
+    the batch result for rows in any order, and no window is forgotten.  Both tables
+    are kept by batch, so a replayed batch replaces its own part.
     """
     spark = logs.sparkSession
-    counts = f"{out}/window_counts"
-    rows = f"{out}/rows"
-    columns = ["window_start", "total", "errors"]
+    counts, rows = f"{out}/window_counts", f"{out}/rows"
+    schema = "window_start timestamp, total bigint, errors bigint, batch_id bigint"
+
+    def rates_to(batch_id: int | None) -> DataFrame:
+        known = spark.read.schema(schema).parquet(counts)
+        if batch_id is not None:
+            known = known.filter(F.col("batch_id") <= batch_id)
+        summed = known.groupBy("window_start").agg(F.sum("total").alias("total"), F.sum("errors").alias("errors"))
+        return summed.withColumn("error_rate", F.col("errors") / F.col("total"))
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        known = window_rates(batch, seconds).select(columns).withColumn("mine", F.lit(True))
-        if batch_id > 0:
-            before = spark.read.schema(known.schema).parquet(batch_folder(counts, batch_id - 1))
-            known = known.unionByName(before.withColumn("mine", F.lit(False))).groupBy("window_start").agg(
-                F.sum("total").alias("total"), F.sum("errors").alias("errors"), F.max("mine").alias("mine"))
-        oldest = known.agg(F.max("window_start")).scalar() - F.expr(f"INTERVAL {horizon_seconds} SECONDS")
-        kept = known.filter(F.col("mine") | (F.col("window_start") >= oldest))
-        kept.write.mode("overwrite").parquet(batch_folder(counts, batch_id))
-        now = spark.read.schema(known.schema).parquet(batch_folder(counts, batch_id))
-        flagged = flag_anomalies(batch, seconds, now.withColumn("error_rate", F.col("errors") / F.col("total")))
-        flagged.write.mode("overwrite").parquet(batch_folder(rows, batch_id))
+        batch = batch.persist()  # read for its counts and for its rows
+        try:
+            mine = window_rates(batch, seconds).select("window_start", "total", "errors")
+            mine.write.mode("overwrite").parquet(batch_folder(counts, batch_id))
+            flagged = flag_anomalies(batch, seconds, rates_to(batch_id))
+            flagged.write.mode("overwrite").parquet(batch_folder(rows, batch_id))
+        finally:
+            batch.unpersist()
 
     run_batches(logs, write, checkpoint)
-    return spark.read.parquet(rows)
+    return flag_anomalies(spark.read.parquet(rows), seconds, cut_lineage(rates_to(None)))
 
 
-def drop_replays(logs: DataFrame, key: str = "id", delay: str = WATERMARK) -> DataFrame:
-    """Rows whose id was seen before, within the watermark, are dropped."""
+def drop_replays(logs: DataFrame, key: str = "id", delay: str | None = None) -> DataFrame:
+    """Rows whose id was seen before are dropped; with a ``delay``, seen within it."""
+    if delay is None:
+        return logs.dropDuplicates([key])
     return logs.withWatermark("timestamp", delay).dropDuplicatesWithinWatermark([key])
 
 
 # ---------------------------------------------------------------- windows
 
-def _windowed(logs: DataFrame, size: int, slide: int | None, delay: str):
+def _windowed(logs: DataFrame, size: int, slide: int | None, delay: str | None):
     length = f"{size} seconds"
     window = F.window("timestamp", length, f"{slide} seconds") if slide else F.window("timestamp", length)
-    return logs.withWatermark("timestamp", delay).groupBy(window.alias("w"))
+    if delay is not None:
+        logs = logs.withWatermark("timestamp", delay)
+    return logs.groupBy(window.alias("w"))
 
 
 def level_counts_stream(
-    logs: DataFrame, size: int = K.ANOMALY_WINDOW_SECONDS, slide: int | None = None, delay: str = WATERMARK
+    logs: DataFrame, size: int = K.ANOMALY_WINDOW_SECONDS, slide: int | None = None, delay: str | None = None
 ) -> DataFrame:
     """Rows, errors and error rate per tumbling or sliding window."""
     return _windowed(logs, size, slide, delay).agg(
@@ -139,7 +147,7 @@ def level_counts_stream(
     ).select(F.col("w.start").alias("window_start"), "*").drop("w")
 
 
-def events_per_second_stream(logs: DataFrame, size: int = K.RATE_WINDOW_SECONDS, delay: str = WATERMARK) -> DataFrame:
+def events_per_second_stream(logs: DataFrame, size: int = K.RATE_WINDOW_SECONDS, delay: str | None = None) -> DataFrame:
     """Events per second for every window."""
     rate = F.count("*") / F.lit(float(size))
     return _windowed(logs, size, None, delay).agg(rate.alias("events_per_second")).select(
@@ -147,14 +155,14 @@ def events_per_second_stream(logs: DataFrame, size: int = K.RATE_WINDOW_SECONDS,
     )
 
 
-def timeline_stream(logs: DataFrame, size: int = K.TIMELINE_BUCKET_SECONDS, delay: str = WATERMARK) -> DataFrame:
+def timeline_stream(logs: DataFrame, size: int = K.TIMELINE_BUCKET_SECONDS, delay: str | None = None) -> DataFrame:
     """Events and errors per bucket."""
     return _windowed(logs, size, None, delay).agg(
         F.count("*").alias("events"), F.count_if(is_error()).alias("errors")
     ).select(F.col("w.start").alias("bucket"), "events", "errors")
 
 
-def alert_measures_stream(logs: DataFrame, size: int, delay: str = WATERMARK) -> DataFrame:
+def alert_measures_stream(logs: DataFrame, size: int, delay: str | None = None) -> DataFrame:
     """Rule values per window: failures, reconnects and, with a ``depth`` column, backlog."""
     names = [r[0] for r in K.ALERT_RULES]
     values = [redis_failures().alias("a"), reconnects().alias("b")]
