@@ -19,9 +19,10 @@ NUMERATOR, DENOMINATOR = 75, 100
 SIGNATURE_BITS, FANOUT, BLOCK_SETS = 2048, 8, 256
 #: Tokens beyond the prefix whose rarity is looked at, as a share of the prefix.
 EXTENSION = 0.25
-#: One document in so many counts tokens to find the common ones, of which the
-#: most frequent go to the tasks (8 bytes each); both steer the plan only.
-COMMON_SAMPLE, COMMON_TOKENS = 16, 1 << 16
+#: Tokens of all documents are counted in stretches of so many; a token that a stretch
+#: holds so often is carried on, and the most frequent go to the tasks (8 bytes each).
+#: They steer the plan only.
+COUNT_STRETCH, COUNT_LEAST, COMMON_TOKENS = 1 << 21, 3, 1 << 16
 
 #: Visitors of a block that one task takes; ids up to which a list of documents is broadcast (16 bytes each).
 GUESTS, BROADCAST_IDS = 512, 1 << 22
@@ -82,10 +83,25 @@ def _sets_task(shingle: int):
 
 
 def _tokens_task(shingle: int):
+    """Lossy counting: tokens of stretches of sets with their counts, without those that are rare in a stretch."""
+    def counted(held: list[np.ndarray]) -> pa.RecordBatch:
+        tokens, n = np.unique(np.concatenate(held), return_counts=True)
+        often = n >= COUNT_LEAST
+        return pa.RecordBatch.from_arrays([pa.array(signed(tokens[often])), pa.array(n[often].astype(np.int64))], ["token", "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        size = 0
         for batch in batches:
             for _, _, tokens in token_sets(batch.column("text"), shingle):
-                yield pa.RecordBatch.from_arrays([pa.array(signed(tokens))], ["token"])
+                if len(tokens):
+                    held.append(tokens)
+                size += len(tokens)
+                if size > COUNT_STRETCH:
+                    yield counted(held)
+                    held, size = [], 0
+        if held:
+            yield counted(held)
     return run
 
 
@@ -312,9 +328,8 @@ def _joined(docs: DataFrame, ids: DataFrame, dealt: DataFrame, shingle: int, nam
 
 def jaccard_links(docs: DataFrame, sets: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """Links ``u``, ``v`` of set ids that connect exactly what all similar pairs connect."""
-    sample = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(COMMON_SAMPLE)) == 0)
-    counted = (sample.mapInArrow(_tokens_task(shingle), "token bigint").groupBy("token").count()
-               .filter("count > 2").orderBy(F.desc("count"), "token").limit(COMMON_TOKENS))
+    counted = (docs.mapInArrow(_tokens_task(shingle), "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
+               .orderBy(F.desc("n"), "token").limit(COMMON_TOKENS))
     common = np.sort(np.array([r.token for r in counted.select("token").collect()], np.int64).view(np.uint64))
 
     found = save(_shared_tokens(docs, shingle, common), "shared")
