@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from logharbor.llm.common import save, table
 
 #: Masks over ten words: 1 is hashed, 0 may differ.
-MASKS = ("1101100111", "1110010111")
+MASKS = ("1101100111", "1110010111", "1111011010")
 #: Every second place of a document is hashed, and every place of an item.
 STRIDE = 2
 #: An overlap is verified over so many words (or the whole item, if shorter), of which this share must agree.
