@@ -19,15 +19,14 @@ NUMERATOR, DENOMINATOR = 75, 100
 SIGNATURE_BITS, FANOUT, BLOCK_SETS = 2048, 8, 256
 #: Tokens beyond the prefix whose rarity is looked at, as a share of the prefix.
 EXTENSION = 0.25
-#: Tokens of all documents are counted in stretches of so many; a token that a stretch
-#: holds so often is carried on, and the most frequent go to the tasks (8 bytes each).
-#: They steer the plan only.
-COUNT_STRETCH, COUNT_LEAST, COMMON_TOKENS = 1 << 21, 3, 1 << 16
+#: Buckets in which the tokens of all documents are counted by hash.  A bucket's
+#: excess over the usual one gives its tokens one of four levels, rare to common;
+#: levels steer the plan only.
+COUNT_BUCKETS, COUNT_STRETCH, LEVEL_EDGES = 1 << 18, 1 << 18, (1, 8, 64)
 
 #: Visitors of a block that one task takes; ids up to which a list of documents is broadcast (16 bytes each).
 GUESTS, BROADCAST_IDS = 512, 1 << 22
 
-_HEAVY = np.uint64(1 << 62)
 #: Roles of the rows of a block: members that join each other, hosts that wait for guests, guests.
 _MEMBER, _HOST, _GUEST = 0, 1, 2
 
@@ -82,33 +81,48 @@ def _sets_task(shingle: int):
     return run
 
 
-def _tokens_task(shingle: int):
-    """Lossy counting: tokens of stretches of sets with their counts, without those that are rare in a stretch."""
-    def counted(held: list[np.ndarray]) -> pa.RecordBatch:
-        tokens, n = np.unique(np.concatenate(held), return_counts=True)
-        often = n >= COUNT_LEAST
-        return pa.RecordBatch.from_arrays([pa.array(signed(tokens[often])), pa.array(n[often].astype(np.int64))], ["token", "n"])
-
+def _count_task(shingle: int):
+    """Tokens per bucket, one array of fixed size per task."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNT_BUCKETS, np.int64)
         held: list[np.ndarray] = []
         size = 0
+
+        def settle():
+            marks = np.concatenate(held) & np.uint64(COUNT_BUCKETS - 1)
+            return np.bincount(marks.astype(np.int64), minlength=COUNT_BUCKETS)
+
         for batch in batches:
             for _, _, tokens in token_sets(batch.column("text"), shingle):
                 if len(tokens):
                     held.append(tokens)
-                size += len(tokens)
+                    size += len(tokens)
                 if size > COUNT_STRETCH:
-                    yield counted(held)
+                    total += settle()
                     held, size = [], 0
         if held:
-            yield counted(held)
+            total += settle()
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["bucket", "n"])
     return run
 
 
-def _prefix_task(shingle: int, common: np.ndarray):
+def token_levels(docs: DataFrame, shingle: int) -> np.ndarray:
+    """Level of every bucket, 0 for rare tokens to 3 for the most common, from all documents."""
+    summed = (docs.mapInArrow(_count_task(shingle), "bucket int, n bigint")
+              .groupBy("bucket").agg(F.sum("n").alias("n")).toArrow())
+    counts = np.zeros(COUNT_BUCKETS)
+    counts[summed.column("bucket").to_numpy()] = summed.column("n").to_numpy()
+    usual = np.median(counts)
+    # other tokens of a bucket scatter by the root of their number
+    unit = max(8.0, 3 * np.sqrt(usual))
+    return np.searchsorted(LEVEL_EDGES, (counts - usual) / unit, "right").astype(np.uint8)
+
+
+def _prefix_task(shingle: int, levels: np.ndarray):
     """The rarest tokens of each set: the prefix and its extension; of equal sets in a task, one speaks.
 
-    The order over all tokens is fixed: common ones last, else by hash.  Similar
+    The order over all tokens is fixed: by level, then by hash.  Similar
     sets share a token of their prefixes.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,9 +135,8 @@ def _prefix_task(shingle: int, common: np.ndarray):
                 if not n or key in seen:
                     continue
                 seen.add(key)
-                at = np.minimum(np.searchsorted(common, tokens), len(common) - 1)
-                heavy = common[at] == tokens if len(common) else np.zeros(n, bool)
-                ordered = np.concatenate([tokens[~heavy], tokens[heavy] | _HEAVY])
+                level = levels[(tokens & np.uint64(COUNT_BUCKETS - 1)).astype(np.int64)].astype(np.uint64)
+                ordered = np.sort(tokens | (level << np.uint64(62)))
                 prefix = n - least_overlap(n) + 1
                 taken = ordered[: min(n, prefix + int(prefix * EXTENSION))]
                 out.append((taken, key, n))
@@ -305,9 +318,9 @@ def _need(size: str) -> str:
     return f"(least({size}, {prefix} + floor({prefix} * {EXTENSION}D)) - {prefix} + 1)"
 
 
-def _shared_tokens(docs: DataFrame, shingle: int, common: np.ndarray) -> DataFrame:
+def _shared_tokens(docs: DataFrame, shingle: int, levels: np.ndarray) -> DataFrame:
     """Prefix tokens held by two different sets at least; ``low`` is the smallest of the sets."""
-    rows = docs.mapInArrow(_prefix_task(shingle, common), "token bigint, set_id bigint, size int")
+    rows = docs.mapInArrow(_prefix_task(shingle, levels), "token bigint, set_id bigint, size int")
     # a partial aggregation cannot thin these rows, so one shuffle carries them
     held = rows.selectExpr(
         "*", "min(set_id) OVER (PARTITION BY token) AS low", "max(set_id) OVER (PARTITION BY token) AS high")
@@ -328,11 +341,7 @@ def _joined(docs: DataFrame, ids: DataFrame, dealt: DataFrame, shingle: int, nam
 
 def jaccard_links(docs: DataFrame, sets: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """Links ``u``, ``v`` of set ids that connect exactly what all similar pairs connect."""
-    counted = (docs.mapInArrow(_tokens_task(shingle), "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
-               .orderBy(F.desc("n"), "token").limit(COMMON_TOKENS))
-    common = np.sort(np.array([r.token for r in counted.select("token").collect()], np.int64).view(np.uint64))
-
-    found = save(_shared_tokens(docs, shingle, common), "shared")
+    found = save(_shared_tokens(docs, shingle, token_levels(docs, shingle)), "shared")
     # a set with more tokens of its own than a prefix is long has no partner
     near = found.groupBy("set_id").agg(F.count("*").alias("n"), F.max("size").alias("size"), F.min("low").alias("hub"))
     near = save(near.filter(f"n >= {_need('size')}").select("set_id", "hub"), "hubs")
