@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 
 def latest_by_key(df: DataFrame, keys: list[str], version: str) -> DataFrame:
-    """The newest row of each key.
+    """The newest row of each key; of rows with one version, always the same.
 
     An aggregate, so a key with a third of all versions is combined map-side.
     """
     rest = [c for c in df.columns if c not in keys]
-    newest = F.max_by(F.struct(*rest), F.col(version)).alias("_row")
+    hashed = [f.name for f in df.schema if f.name in rest and "map<" not in f.dataType.simpleString()]
+    newest = F.max_by(F.struct(*rest), F.struct(F.col(version), F.xxhash64(*hashed))).alias("_row")
     return df.groupBy(*keys).agg(newest).select(*keys, "_row.*")
 
 

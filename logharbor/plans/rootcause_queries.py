@@ -114,7 +114,8 @@ def cluster_prompt(spark, sf_dir):
 
 
 @query("x05_fallback_timeline", sql(CLUSTERS, """
-SELECT c.id AS incident_id, m.rn - 1 AS position, m.timestamp, m.message[1:200] AS event, m.level, m.service
+SELECT c.id AS incident_id, 'Timeline generated from log sequence.' AS chain_summary, m.rn - 1 AS position, m.timestamp,
+       m.message[1:200] AS event, m.level, m.service
 FROM cases c JOIN (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY timestamp, id) AS rn FROM members) m
 ON m.cluster_id = c.cluster_id WHERE m.rn <= 30
 """))
@@ -122,6 +123,23 @@ def fallback_timeline(spark, sf_dir):
     return R.fallback_timelines(T.cluster_incidents(spark, sf_dir), T.clustered(spark, sf_dir))
 
 
+@query("x05_incident_timelines", sql(CLUSTERS, """
+SELECT c.id AS incident_id, 'Timeline generated from log sequence.' AS chain_summary, m.rn - 1 AS position, m.timestamp,
+       m.message[1:200] AS event, m.level, m.service
+FROM cases c JOIN (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY timestamp, id) AS rn FROM members) m
+ON m.cluster_id = c.cluster_id WHERE m.rn <= 30 AND c.log_count % 2 = 0
+UNION ALL
+SELECT id, title, 0, TIMESTAMP '2024-02-01', description, NULL, NULL FROM cases WHERE log_count % 2 = 1
+"""))
+def incident_timelines(spark, sf_dir):
+    """Replies for the clusters with an odd number of lines; those of the others break off."""
+    cases = T.cluster_incidents(spark, sf_dir)
+    body = F.to_json(F.struct(F.array(F.struct(F.col("description").alias("event"))).alias("timeline"), F.col("title").alias("chain_summary")))
+    reply = F.when(F.col("log_count") % 2 == 0, F.lit('{"timeline": [')).otherwise(body)
+    given = cases.select(F.col("id").alias("incident_id"), reply.alias("reply"))
+    return R.incident_timelines(given, cases, T.clustered(spark, sf_dir), ingest_time())
+
+
 # ---------------------------------------------------------------- replies
 
 # Model replies built from incident columns: fenced for critical incidents, cut off
@@ -196,6 +214,26 @@ def summary_rows(spark, sf_dir):
     return rows.select("id", "incident_id", "executive_summary", "model_used", "generated_at")
 
 
+@query("x07_cluster_summaries", sql(NEAR, """
+SELECT sha256('summary#' || c.id) AS id, c.id AS incident_id, concat(c.title, ' failed') AS executive_summary,
+       string_agg(concat(r.doc_id, ': ', r.text), chr(10) ORDER BY r.rank) AS similar_past_incidents,
+       round(min(r.distance), 6) AS nearest, c.log_count AS token_usage
+FROM cases c JOIN ranked r ON r.query_id = c.id WHERE r.rank <= 3 GROUP BY c.id, c.title, c.log_count
+"""))
+def cluster_summaries(spark, sf_dir):
+    """Summaries of clusters' incidents with the past incidents that are like them."""
+    cases, past = T.cluster_incidents(spark, sf_dir), store(spark, sf_dir)
+    reply = F.to_json(F.struct(F.concat("title", F.lit(" failed")).alias("executive_summary")))
+    analysis, _ = R.parse_replies(cases.select(F.col("id").alias("incident_id"), reply.alias("reply")))
+    usage = cases.select(F.col("id").alias("incident_id"), F.col("log_count").alias("token_usage"))
+    similar = R.similar_incidents(S.top_k_texts(context_queries(spark, sf_dir), past.select("id", "text"), K.CONTEXT_INCIDENTS), past)
+    rows = R.summary_rows(analysis.join(usage, "incident_id"), "given", ingest_time(), similar)
+    line = lambda s: F.concat(s["incident_id"], F.lit(": "), s["document"])
+    return rows.select(
+        "id", "incident_id", "executive_summary", F.array_join(F.transform("similar_past_incidents", line), "\n").alias("similar_past_incidents"),
+        F.round(F.element_at("similar_past_incidents", 1)["distance"], 6).alias("nearest"), "token_usage")
+
+
 @query("x07_incident_texts", sql(INCIDENTS, f"""
 SELECT id, title, CASE WHEN {GOOD} THEN concat(title, '. ', title, ' failed') ELSE concat(title, '. ') END AS text FROM incidents
 """))

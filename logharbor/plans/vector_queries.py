@@ -171,6 +171,19 @@ def similar_logs_batch(spark, sf_dir):
     return D.find_similar_batch(vectors, queries, 20).withColumn("distance", F.round("distance", 6))
 
 
+@query("v04_similar_logs_all", f"""
+WITH s AS (SELECT CAST(e.vec_id AS VARCHAR) AS query_id, CAST(d.vec_id AS VARCHAR) AS doc_id,
+                  1 - {_cos('e.embedding', 'd.embedding')} AS distance FROM embeddings e, embeddings d)
+SELECT query_id, doc_id, round(distance, 6) AS distance,
+       row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 9), doc_id) AS rank
+FROM s QUALIFY rank <= 5
+""")
+def similar_logs_all(spark, sf_dir):
+    """Every vector as a query."""
+    vectors = T.vectors(spark, sf_dir)
+    return D.find_similar_batch(vectors, vectors, 5).withColumn("distance", F.round("distance", 6))
+
+
 @query("j09_dense_pairs", f"""
 SELECT CAST(a.vec_id AS VARCHAR) AS id_a, CAST(b.vec_id AS VARCHAR) AS id_b, round({_cos('a.embedding', 'b.embedding')}, 6) AS cosine
 FROM embeddings a JOIN embeddings b ON CAST(a.vec_id AS VARCHAR) < CAST(b.vec_id AS VARCHAR)

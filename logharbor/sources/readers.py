@@ -19,6 +19,9 @@ HEAD_STORES = ["file", "hdfs", "s3", "s3a", "gs"]
 # Copies of one line that a single task numbers at most (see ``with_line_ids``).
 COPIES_PER_TASK = 1_000_000
 
+# Slices in which the lines of a file are ranked for a cap.
+CAP_SLICES = 64
+
 
 # ---------------------------------------------------------------- lines
 
@@ -73,23 +76,28 @@ def with_line_ids(lines: DataFrame) -> DataFrame:
 def cap_lines(lines: DataFrame, per: str, order: str, limit: int = K.MAX_FILE_LINES) -> DataFrame:
     """First ``limit`` lines per file or batch (S13, off unless called).
 
-    The rank filter becomes a partial limit before the shuffle, so one huge file
-    sends at most ``limit`` rows per task.
+    Lines are ranked within slices of a file first, so that a huge file is sorted by
+    many tasks and its last rank sees at most ``limit`` rows of each slice.
     """
+    sliced = Window.partitionBy(per, "_slice").orderBy(order)
+    ranked = lines.withColumn("_slice", F.pmod(F.xxhash64(order), F.lit(CAP_SLICES)))
+    ranked = ranked.withColumn("_rn", F.row_number().over(sliced)).filter(F.col("_rn") <= limit).drop("_slice")
     w = Window.partitionBy(per).orderBy(order)
-    return lines.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= limit).drop("_rn")
+    return ranked.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= limit).drop("_rn")
 
 
 # ---------------------------------------------------------------- line parsing
 
 def parse_lines(
-    lines: DataFrame, ingest_time: Column, source: str = "file_upload", json: bool = True
+    lines: DataFrame, ingest_time: Column, source: str = "file_upload", json: bool = True,
+    message_chars: int = K.MESSAGE_CHARS, raw_chars: int = K.RAW_LINE_CHARS,
 ) -> DataFrame:
     """Normalise a ``line`` column to log rows; blank lines are dropped.
 
     With ``json`` a line that is one JSON object is read as such and everything
     else by the text rule, row by row, so a bad line never fails its file.
-    Columns other than ``line`` pass through.  Works on streams.
+    Columns other than ``line`` pass through.  Works on streams.  Messages and raw
+    lines are cut at ``message_chars`` and ``raw_chars`` (P9).
 
     Each stage picks the text a rule reads and the next applies the rule once, so
     that the generated code stays small enough to compile.
@@ -129,10 +137,10 @@ def parse_lines(
         F.coalesce(iso, P.parse_timestamp(F.col("time_text"), ingest_time), ingest_time).alias("timestamp"),
         P.parse_level(F.col("level_text")).alias("level"),
         F.coalesce(service, P.service_in(stripped)).alias("service"),
-        P.truncate(F.coalesce(message, P.clean_stripped(stripped, line)), K.MESSAGE_CHARS).alias("message"),
+        P.truncate(F.coalesce(message, P.clean_stripped(stripped, line)), message_chars).alias("message"),
         "extra_fields",
         F.lit(source).alias("source"),
-        P.truncate(line, K.RAW_LINE_CHARS).alias("raw_line"),
+        P.truncate(line, raw_chars).alias("raw_line"),
     )
 
 
@@ -313,6 +321,7 @@ def read_logs(
 ) -> DataFrame:
     """Route every file to its reader by detected format and union the rows.
 
+    Text and JSON files are one scan, whose lines are told apart one by one.
     Only file names reach the driver, as they do for any file scan.  CSV files
     are read per header so that roles resolve file by file.
     """
@@ -324,10 +333,9 @@ def read_logs(
         if row["format"] == "csv":
             same.setdefault(row["header"], []).append(row["file"])
     parts = []
-    if "text" in by_format or not found:  # empty files are not listed; they have no rows
-        parts.append(read_text_logs(spark, by_format.get("text", paths), session_id, ingest_time))
-    if "json" in by_format:
-        parts.append(read_json_logs(spark, by_format["json"], session_id, ingest_time))
+    lines = by_format.get("text", []) + by_format.get("json", [])
+    if lines or not found:  # empty files are not listed; they have no rows
+        parts.append(read_json_logs(spark, lines or paths, session_id, ingest_time))
     parts += [read_csv_logs(spark, files, session_id, ingest_time) for files in same.values()]
     columns = ["id", "session_id", "timestamp", "level", "source", "service", "message",
                "raw_line", "extra_fields"]
