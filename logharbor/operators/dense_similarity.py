@@ -19,7 +19,9 @@ from logharbor.operators.lookups import first_per_group, metadata_filter
 from logharbor.session import cut_lineage
 
 BLOCK_ROWS = 2048
-BROADCAST_QUERIES = 1024
+# Queries that travel with the tasks; beyond that, queries of a block, corpus rows
+# of a chunk, and queries compared at once inside a task.
+BROADCAST_QUERIES, QUERY_BLOCK, CORPUS_CHUNK, QUERY_SLICE = 1024, 8192, 16384, 256
 
 
 # ---------------------------------------------------------------- embedding
@@ -69,44 +71,66 @@ def _unit(vectors) -> np.ndarray:
 def find_similar_batch(corpus: DataFrame, queries: DataFrame, k: int = K.TOP_LOGS) -> DataFrame:
     """The ``k`` nearest rows for every query row (both: id, embedding) (V4, V5).
 
-    Queries travel in groups of at most ``BROADCAST_QUERIES``; each group is one
-    pass over the corpus whose tasks keep ``k`` rows per query, so no pair list
-    is ever built.
+    A few queries travel with the tasks of one pass over the corpus.  More are
+    dealt into blocks, the corpus into chunks, and every task compares a block with
+    a chunk.  Either way a task keeps ``k`` rows per query, so no pair list is built.
     """
-    numbered = queries.select("id", "embedding").orderBy("id")
-    parts, offset = [], 0
-    while True:
-        group = numbered.offset(offset).limit(BROADCAST_QUERIES).collect()  # bounded
-        if not group:
-            break
-        ids = [r["id"] for r in group]
-        matrix = _unit([r["embedding"] for r in group])
-        parts.append(corpus.select("id", "embedding").mapInPandas(
-            _top_k_task(ids, matrix, k), "query_id string, doc_id string, distance double"
-        ))
-        offset += BROADCAST_QUERIES
-    if not parts:
-        return corpus.sparkSession.createDataFrame(
-            [], "query_id string, doc_id string, distance double, rank int"
-        )
-    local = parts[0]
-    for part in parts[1:]:
-        local = local.unionByName(part)
+    schema = "query_id string, doc_id string, distance double"
+    queries, corpus = queries.select("id", "embedding"), corpus.select("id", "embedding")
+    few = queries.limit(BROADCAST_QUERIES + 1).collect()  # bounded
+    if len(few) <= BROADCAST_QUERIES:
+        task = _top_k_task([r["id"] for r in few], _unit([r["embedding"] for r in few]), k)
+        local = corpus.mapInPandas(task, schema)
+    else:
+        blocks = -(-queries.count() // QUERY_BLOCK)
+        chunks = max(1, -(-corpus.count() // CORPUS_CHUNK))
+        part = lambda n: F.pmod(F.xxhash64("id"), F.lit(n))
+        every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+        left = queries.withColumn("block", part(blocks)).withColumn("chunk", every(chunks))
+        # names of their own: both sides may come from one table
+        right = corpus.select(F.col("id").alias("doc_id"), F.col("embedding").alias("vector"), part(chunks).alias("chunk"))
+        right = right.withColumn("block", every(blocks))
+        local = left.groupBy("block", "chunk").cogroup(right.groupBy("block", "chunk")).applyInPandas(
+            _block_task(k), schema)
     return first_per_group(local, "query_id", [F.round("distance", 9), "doc_id"], k)
 
 
+def _block_task(k: int):
+    def run(queries: pd.DataFrame, docs: pd.DataFrame) -> pd.DataFrame:
+        if not len(queries) or not len(docs):  # an empty side has no columns
+            return pd.DataFrame({"query_id": [], "doc_id": [], "distance": []})
+        docs = docs.rename(columns={"doc_id": "id", "vector": "embedding"})
+        return _nearest(queries["id"].to_numpy(), _unit(queries["embedding"]), docs, k)
+
+    return run
+
+
+def _nearest(ids: np.ndarray, matrix: np.ndarray, docs: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The ``k`` nearest of ``docs`` for each query, ties by id; neither side is empty."""
+    docs = docs.sort_values("id")
+    names, unit = docs["id"].to_numpy(), _unit(docs["embedding"])
+    queries, found, distances = [], [], []
+    for start in range(0, len(ids), QUERY_SLICE):
+        distance = 1 - matrix[start:start + QUERY_SLICE] @ unit.T
+        for query, row in zip(ids[start:start + QUERY_SLICE], distance, strict=True):
+            rounded = row.round(9)
+            last = np.partition(rounded, k - 1)[k - 1] if len(rounded) > k else np.inf
+            near = np.flatnonzero(rounded <= last)
+            near = near[np.argsort(rounded[near], kind="stable")][:k]
+            queries.append(np.repeat(query, len(near)))
+            found.append(names[near])
+            distances.append(row[near])
+    return pd.DataFrame({
+        "query_id": np.concatenate(queries), "doc_id": np.concatenate(found), "distance": np.concatenate(distances)})
+
+
 def _top_k_task(ids: list, matrix: np.ndarray, k: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         best: pd.DataFrame | None = None
         for pdf in batches:
-            if not len(pdf):
+            if not len(pdf) or not ids:
                 continue
-            distance = 1 - _unit(pdf["embedding"]) @ matrix.T
-            found = pd.DataFrame({
-                "query_id": np.tile(ids, len(pdf)),
-                "doc_id": np.repeat(pdf["id"].to_numpy(), len(ids)),
-                "distance": distance.ravel(),
-            })
+            found = _nearest(np.array(ids, dtype=object), matrix, pdf, k)
             best = found if best is None else pd.concat([best, found], ignore_index=True)
             order = best.assign(_r=best["distance"].round(9)).sort_values(["query_id", "_r", "doc_id"])
             best = order.groupby("query_id", sort=False).head(k).drop(columns="_r")

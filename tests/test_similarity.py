@@ -193,6 +193,8 @@ def test_top_k_vectors(spark, monkeypatch):
     one = D.find_similar(df, rows[0][1], 7)
     assert [r.id for r in one.collect()] == nearest("v000", 7)
     monkeypatch.setattr(D, "BROADCAST_QUERIES", 2)
+    monkeypatch.setattr(D, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(D, "CORPUS_CHUNK", 40)
     queries = df.filter(F.col("id") < "v005")
     got = {}
     for r in D.find_similar_batch(df, queries, 4).orderBy("query_id", "rank").collect():
