@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from logharbor.llm.common import save, table
 
-#: Masks over ten words: 1 is hashed, 0 may differ.
-MASKS = ("1101100111", "1110010111", "1111011010")
-#: Every second place of a document is hashed, and every place of an item.
-STRIDE = 2
+#: Items of fewer words are left out.
+LEAST_WORDS = 10
+#: Masks over at most ten words: 1 is hashed, 0 may differ.  Chosen by enumeration: whichever 2 of 10, 3 of 15 or
+#: 4 of 20 words are changed, one mask still fits somewhere, so no overlap that AGREE allows is missed.
+MASKS = ("110111", "11100011", "10101101")
 #: An overlap is verified over so many words (or the whole item, if shorter), of which this share must agree.
 STRETCH, AGREE = 20, 0.8
 #: Item windows up to which their table is broadcast (16 bytes each and overhead).
@@ -27,25 +28,23 @@ def _once(value: str, name: str, result: str) -> Column:
     return F.expr(f"element_at(transform(array({value}), {name} -> {result}), 1)")
 
 
-def seed_windows(rows: DataFrame, keys: list[str], stride: int, masks=MASKS) -> DataFrame:
-    """``keys``, ``seed``, ``place``: hashes of the words under each mask, at every ``stride``-th place of ``words``."""
-    span = len(masks[0])
+def seed_windows(rows: DataFrame, keys: list[str], masks=MASKS) -> DataFrame:
+    """``keys``, ``seed``, ``place``: hashes of the words under each mask, at every place of ``words``."""
     seeds = []
-    for number, mask in enumerate(masks):
+    for mask in masks:
         under = ", ".join(f"h[i + {k}]" for k, bit in enumerate(mask) if bit == "1")
-        seeds.append(f"transform(sequence(0, size(h) - {span}, {stride}), i -> xxhash64({number}, {under}))")
-    by_mask = _once("transform(words, w -> xxhash64(w))", "h",
-                    f"CASE WHEN size(h) >= {span} THEN array({', '.join(seeds)}) END")
+        seeds.append(f"CASE WHEN size(h) >= {len(mask)} THEN "
+                     f"transform(sequence(0, size(h) - {len(mask)}), i -> xxhash64({int(mask, 2)}, {under})) END")
+    by_mask = _once("transform(words, w -> xxhash64(w))", "h", f"array({', '.join(seeds)})")
     rows = rows.select(*keys, F.explode(by_mask).alias("seeds"))
-    return rows.select(*keys, F.posexplode("seeds").alias("at", "seed")).select(
-        *keys, "seed", (F.col("at") * stride).alias("place"))
+    return rows.select(*keys, F.posexplode("seeds").alias("place", "seed"))
 
 
 def leaks(docs: DataFrame, items: DataFrame, stretch: int = STRETCH, agree: float = AGREE) -> DataFrame:
     """``doc_id``, ``text_key``, ``item_id``, ``start``, ``compared``, ``agreeing`` for every leak of an item into a document.
 
-    Documents and items are hashed under fixed masks that ignore some words, and
-    joined on the hashes.  Each hit fixes how the item lies on the document; there
+    Every place of documents and items is hashed under fixed masks that ignore some
+    words, and joined on the hashes.  Each hit fixes how the item lies on the document; there
     the words are compared one by one, and the item has leaked if in some stretch
     of ``stretch`` words (or in the whole of a shorter item) the share ``agree``
     is equal.  ``start`` is the item's first word in the document, from 0.
@@ -55,12 +54,12 @@ def leaks(docs: DataFrame, items: DataFrame, stretch: int = STRETCH, agree: floa
     documents give repeated rows; null ids are kept.  Other columns are ignored.
     """
     items = items.select(F.col("item_id").alias("item_id"), words_of(F.col("text")).alias("words")).distinct()
-    items = save(items.filter(f"size(words) >= {len(MASKS[0])}").withColumn("item_key", F.xxhash64("item_id", "words")), "items")
-    windows = save(seed_windows(items.withColumn("n_item", F.size("words")), ["item_key", "n_item"], 1)
+    items = save(items.filter(f"size(words) >= {LEAST_WORDS}").withColumn("item_key", F.xxhash64("item_id", "words")), "items")
+    windows = save(seed_windows(items.withColumn("n_item", F.size("words")), ["item_key", "n_item"])
                    .withColumnRenamed("place", "item_place").distinct(), "seeds")
     few = windows.count() <= BROADCAST_WINDOWS
     texts = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
-    placed = seed_windows(texts.select("doc_id", "text_key", words_of(F.col("text")).alias("words")), ["doc_id", "text_key"], STRIDE)
+    placed = seed_windows(texts.select("doc_id", "text_key", words_of(F.col("text")).alias("words")), ["doc_id", "text_key"])
     hits = placed.join(F.broadcast(windows) if few else windows, "seed").select(
         F.col("doc_id").alias("hit_id"), F.col("text_key").alias("hit_key"),
         F.struct("item_key", "n_item", (F.col("place") - F.col("item_place")).alias("shift")).alias("hit"))

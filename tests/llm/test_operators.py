@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import itertools
 import random
 import zlib
 
@@ -240,6 +241,19 @@ def test_leaks_find_every_whole_passage(spark, table, rows):
     assert want and want <= got and len(got - want) <= len(want)
 
 
+def test_leaks_miss_no_pattern_of_changes(spark):
+    items, docs = [], []
+    for item, (size, changed) in enumerate([(10, 0), (10, 2), (15, 3), (16, 3), (20, 4)]):
+        words = [f"i{item}w{k}" for k in range(size)]
+        items.append((item, " ".join(words)))
+        for at in itertools.combinations(range(size), changed):
+            for before in (0, 1, 2) if size == 10 else (len(docs) % 2,):
+                copy = ["x" if k in at else w for k, w in enumerate(words)]
+                docs.append((100_000 * item + len(docs), " ".join(["b"] * before + copy + ["a"]), "s"))
+    got = decontam.leaks(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(i, i // 100_000) for i, _, _ in docs}
+
+
 # 8
 def test_vectors_against_all_pairs(spark, monkeypatch):
     monkeypatch.setattr(vectors, "INTERVAL", 100)
