@@ -14,12 +14,15 @@ from pyspark.sql import functions as F
 from logharbor.llm.common import Words, save, signed, slices, table
 
 KINDS = ("email", "ip", "card", "phone")
-#: Words on each side of an entity that count as its context.
-CONTEXT = 8
-#: Documents that must show a term beside an entity, and the share of the
-#: entity's information content the term must give away.
-SUPPORT, DISCLOSURE = 3, 0.95
-
+#: Share of an entity's information content that a term must give away, and the
+#: documents without the entity that are added to each term's count.
+DISCLOSURE, SMOOTHING = 0.95, 0.25
+#: Rows up to which terms of texts are broadcast.
+BROADCAST_TERMS = 1_000_000
+
+#: Punctuation and signs separate the words of a text, byte by byte.
+_PLAIN = np.arange(256, dtype=np.uint8)
+_PLAIN[[c for c in range(128) if not chr(c).isalnum()]] = 32
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 # a run of digits is tried from its begin only: if that fails, the rest fails too
@@ -66,68 +69,65 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return found
 
 
-def _entity(kind: int, value: str) -> int:
-    value = value.lower() if kind < 2 else "".join(_DIGIT.findall(value))
-    return int.from_bytes(hashlib.blake2b(f"{KINDS[kind]}:{value}".encode(), digest_size=8).digest(), "little", signed=True)
+def _entities(kind: int, value: str) -> list[int]:
+    """Keys of the value and of the parts that it may share with others."""
+    if kind == 0:
+        local, _, domain = value.lower().rpartition("@")
+        parts = [value.lower(), f"{local}@", f"@{domain}"]
+    elif kind == 1:
+        parts = [value, value.rpartition(".")[0]]
+    else:
+        digits = "".join(_DIGIT.findall(value))
+        parts = [digits, f"{digits[:6]}-" if kind == 2 else f"{digits[:-4]}-"]
+    return [int.from_bytes(hashlib.blake2b(f"{KINDS[kind]}:{part}".encode(), digest_size=8).digest(), "little", signed=True)
+            for part in parts]
+
 
+def _words(data: np.ndarray, bounds: np.ndarray) -> Words:
+    return Words(_PLAIN[data], bounds, lower=True)
 
-def _entities_task(context: int):
-    """Base spans of each text, and the words around them with the entity they stand by."""
-    near_type = pa.list_(pa.struct([("entity", pa.int64()), ("term", pa.int64()), ("a", pa.int32()), ("b", pa.int32())]))
 
-    def around(words: Words, row: int, raw: bytes, text: str, spans) -> list[dict]:
-        # code point offsets to bytes of the slice
+def _entities_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Base spans of each text, the entities they show, and the different words outside them."""
+    def free(words: Words, row: int, raw: bytes, text: str, spans) -> np.ndarray:
         base = int(words.bounds[row])
         if len(raw) == len(text):
             place = None
         else:
-            begins = (np.frombuffer(raw, np.uint8) & 0xC0) != 0x80
-            place, back = np.flatnonzero(begins), np.cumsum(begins)
+            place = np.flatnonzero((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)
         byte = lambda c: c if place is None else int(place[c]) if c < len(place) else len(raw)
         first, last = words.first[row], words.first[row + 1]
         start, end = words.start[first:last] - base, words.end[first:last] - base
-        free = np.ones(last - first, bool)
-        ranges = []
-        for kind, a, b in spans:
-            i, j = np.searchsorted(end, byte(a), "right"), np.searchsorted(start, byte(b), "left")
-            free[i:j] = False
-            ranges.append((_entity(kind, text[a:b]), i, j))
-        out = []
-        for entity, i, j in ranges:
-            for k in [*range(max(0, i - context), i), *range(j, min(len(free), j + context))]:
-                if free[k]:
-                    a, b = int(start[k]), int(end[k])
-                    if place is not None:
-                        a, b = int(back[a]) - 1, int(back[b - 1])
-                    out.append({"entity": entity, "term": int(words.hash[first + k].astype(np.int64)), "a": a, "b": b})
-        return out
+        outside = np.ones(last - first, bool)
+        for _, a, b in spans:
+            outside[np.searchsorted(end, byte(a), "right"): np.searchsorted(start, byte(b), "left")] = False
+        return signed(np.unique(words.hash[first:last][outside]))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            spans_out, near_out = [], []
-            for _, to, data, bounds in slices(batch.column("text")):
-                words = None
-                for row in range(len(bounds) - 1):
-                    raw = data[bounds[row]: bounds[row + 1]].tobytes()
-                    text = raw.decode()
-                    spans = base_spans(text)
-                    spans_out.append([{"kind": k, "a": a, "b": b} for k, a, b in spans])
-                    if spans and words is None:
-                        words = Words(data, bounds, lower=True)
-                    near_out.append(around(words, row, raw, text, spans) if spans else [])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("text_key"),
-                 pa.array(spans_out, pa.list_(pa.struct([("kind", pa.int32()), ("a", pa.int32()), ("b", pa.int32())]))),
-                 pa.array(near_out, near_type)],
-                ["doc_id", "text_key", "base", "near"])
-    return run
+    for batch in batches:
+        spans_out, entities_out, terms_out = [], [], []
+        for _, _, data, bounds in slices(batch.column("text")):
+            words = None
+            for row in range(len(bounds) - 1):
+                raw = data[bounds[row]: bounds[row + 1]].tobytes()
+                text = raw.decode()
+                spans = base_spans(text)
+                spans_out.append([{"kind": k, "a": a, "b": b} for k, a, b in spans])
+                if spans and words is None:
+                    words = _words(data, bounds)
+                entities_out.append(sorted({e for k, a, b in spans for e in _entities(k, text[a:b])}))
+                terms_out.append(free(words, row, raw, text, spans) if spans else [])
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), batch.column("text_key"),
+             pa.array(spans_out, pa.list_(pa.struct([("kind", pa.int32()), ("a", pa.int32()), ("b", pa.int32())]))),
+             pa.array(entities_out, pa.list_(pa.int64())), pa.array(terms_out, pa.list_(pa.int64()))],
+            ["doc_id", "text_key", "base", "entities", "held"])
 
 
 def _terms_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each word of a slice, the number of its texts that hold it."""
     for batch in batches:
         for _, _, data, bounds in slices(batch.column("text")):
-            words = Words(data, bounds, lower=True)
+            words = _words(data, bounds)
             order = np.lexsort((words.row, words.hash))
             h, row = words.hash[order], words.row[order]
             new = np.ones(len(h), bool)
@@ -136,54 +136,98 @@ def _terms_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(signed(terms)), pa.array(n.astype(np.int64))], ["term", "n"])
 
 
-def disclosing_terms(found: DataFrame, docs: DataFrame, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
-    """``entity``, ``term`` pairs where the term's pointwise mutual information with
-    the entity is at least ``disclosure`` of the entity's information content.
-
-    Counts are of documents, over the whole corpus.  A pair needs ``support``
-    documents.
+def _places_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spans, in code points, of every occurrence of a text's ``told`` words outside its base spans."""
+    for batch in batches:
+        told, base = batch.column("told").to_pylist(), batch.column("base").to_pylist()
+        out: list[list[dict]] = []
+        for _, _, data, bounds in slices(batch.column("text")):
+            words = _words(data, bounds)
+            hashes = words.hash.view(np.int64)
+            for row in range(len(bounds) - 1):
+                first, last = words.first[row], words.first[row + 1]
+                raw = data[bounds[row]: bounds[row + 1]]
+                count = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
+                at = first + np.flatnonzero(np.isin(hashes[first:last], told[len(out)]))
+                spans = zip(count[words.start[at] - bounds[row]].tolist(), count[words.end[at] - bounds[row]].tolist())
+                covered = sorted((s["a"], s["b"]) for s in base[len(out)])
+                kept, k, reach = [], 0, 0
+                for a, b in spans:
+                    while k < len(covered) and covered[k][0] < b:
+                        reach = max(reach, covered[k][1])
+                        k += 1
+                    if a >= reach:
+                        kept.append({"a": a, "b": b})
+                out.append(kept)
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), batch.column("text_key"),
+             pa.array(out, pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))], ["doc_id", "text_key", "terms"])
+
+
+def _few(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= BROADCAST_TERMS else df
+
+
+def told_terms(found: DataFrame, docs: DataFrame, disclosure: float = DISCLOSURE, smoothing: float = SMOOTHING) -> DataFrame:
+    """``doc_id``, ``text_key``, ``told``: the words of each text that give away an entity of the text.
+
+    A word gives an entity away when its pointwise mutual information with the
+    entity is at least ``disclosure`` of the entity's information content.  Counts
+    are of whole documents, over the whole corpus, however few; ``smoothing``
+    documents that lack the entity are added to those of each word.
     """
-    total = docs.count()
-    near = found.select("doc_id", "text_key", F.explode("near").alias("x")).select("doc_id", "text_key", "x.entity", "x.term")
-    pairs = near.distinct().groupBy("entity", "term").agg(F.count("*").alias("both")).filter(F.col("both") >= support)
-    pairs = save(pairs, "pairs")
-    holders = (found.select("doc_id", "text_key", F.explode(F.array_distinct("near.entity")).alias("entity"))
-               .groupBy("entity").agg(F.count("*").alias("with_entity")))
-    wanted = save(pairs.select("term").distinct(), "terms")
-    counts = docs.mapInArrow(_terms_task, "term bigint, n bigint").join(wanted, "term", "left_semi")
-    counts = counts.groupBy("term").agg(F.sum("n").alias("with_term"))
-    told = pairs.join(holders, "entity").join(counts, "term")
-    content = F.log(F.lit(float(total)) / F.col("with_entity"))
-    shared = F.log(F.lit(float(total)) * F.col("both") / (F.col("with_entity") * F.col("with_term")))
-    return told.filter((content > 0) & (shared >= F.lit(disclosure) * content)).select("entity", "term")
-
-
-def find_personal_data(docs: DataFrame, context: int = CONTEXT, support: int = SUPPORT,
-                       disclosure: float = DISCLOSURE) -> DataFrame:
+    total = float(max(1, docs.count()))
+    texts = found.filter("size(entities) > 0").select("doc_id", "text_key", "entities", "held")
+    held = texts.select(F.explode("held").alias("term")).groupBy("term").agg(F.count("*").alias("n_held"))
+    held = save(held, "held")
+    counts = docs.mapInArrow(_terms_task, "term bigint, n bigint").join(_few(held.select("term")), "term", "left_semi")
+    counts = counts.groupBy("term").agg(F.sum("n").alias("n_term"))
+    # information given away: log(share of the word's documents / share of all documents).  No entity is
+    # rarer than one document, so words that stand mostly in texts without entities drop out first
+    needed = lambda n: F.pow(n / F.lit(total), F.lit(1 - disclosure))
+    weight = F.col("n_term") + F.lit(smoothing)
+    able = save(held.join(counts, "term").filter(F.col("n_held") >= needed(F.lit(1.0)) * weight).select("term", "n_term"), "able")
+    holders = save(texts.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
+                   .filter(F.col("n_entity") < total), "holders")
+    beside = (texts.select("doc_id", "text_key", "entities", F.explode("held").alias("term")).join(_few(able), "term")
+              .select("doc_id", "text_key", "term", "n_term", F.explode("entities").alias("entity")).join(_few(holders), "entity"))
+    beside = save(beside.filter(F.col("n_entity") >= needed(F.col("n_entity")) * weight), "beside")
+    both = beside.groupBy("entity", "term", "n_entity", "n_term").agg(F.count("*").alias("both"))
+    told = save(both.filter(F.col("both") >= needed(F.col("n_entity")) * weight).select("entity", "term"), "told")
+    return beside.join(_few(told), ["entity", "term"], "left_semi").groupBy("doc_id", "text_key").agg(
+        F.collect_set("term").alias("told"))
+
+
+def find_personal_data(docs: DataFrame, disclosure: float = DISCLOSURE, smoothing: float = SMOOTHING) -> DataFrame:
     """``doc_id``, ``text_key``, ``base`` and ``terms`` (spans) of every document.
 
     Base spans are emails, addresses, card and phone numbers by their patterns.  A
-    protected entity is the value of a span; a word within ``context`` words of it
-    that gives the entity away, judged over the corpus, is a term span.  Words are
-    compared in lower case by 64-bit hash.  Documents without base spans have no
-    term spans.
+    protected entity is the value of a span, or a part that values share: both
+    sides of an email, the network of an address, the first digits of a number.  A
+    word that gives the entity away, judged over whole documents of the corpus, is
+    a term span wherever it stands in the documents that hold the entity.  Words
+    are runs of letters, digits and signs beyond ASCII, compared in lower case by
+    64-bit hash.  Documents without base spans have no term spans.
 
     Null and empty texts have no spans; repeated rows give repeated rows and count
-    as documents of their own in the statistics' totals but once beside an entity; a
-    null id is kept; other columns are ignored.
+    as documents of their own; a null id is kept; other columns are ignored.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
     found = save(texts.mapInArrow(
-        _entities_task(context),
-        "doc_id bigint, text_key bigint, base array<struct<kind:int,a:int,b:int>>, "
-        "near array<struct<entity:bigint,term:bigint,a:int,b:int>>"), "entities")
-    told = save(disclosing_terms(found, texts, support, disclosure), "told")
-    hits = (found.select("doc_id", "text_key", F.explode("near").alias("x"))
-            .select("doc_id", "text_key", "x.entity", "x.term", "x.a", "x.b").join(told, ["entity", "term"], "left_semi")
-            .groupBy(F.col("doc_id").alias("hit_id"), F.col("text_key").alias("hit_key"))
-            .agg(F.sort_array(F.collect_set(F.struct("a", "b"))).alias("terms")))
+        _entities_task,
+        "doc_id bigint, text_key bigint, base array<struct<kind:int,a:int,b:int>>, entities array<bigint>, held array<bigint>"), "entities")
+    told = told_terms(found, texts, disclosure, smoothing)
+    base = found.filter("size(base) > 0").select("doc_id", "text_key", "base").dropDuplicates(["doc_id", "text_key"])
+    on = told.doc_id.eqNullSafe(base.doc_id) & (told.text_key == base.text_key)
+    told = save(told.join(base, on).select(told.doc_id.alias("hit_id"), told.text_key.alias("hit_key"), "told", "base"), "told_texts")
+    few = (told.agg(F.sum(F.size("told") + F.size("base"))).first()[0] or 0) <= BROADCAST_TERMS
+    on = texts.doc_id.eqNullSafe(told.hit_id) & (texts.text_key == told.hit_key)
+    hits = texts.join(F.broadcast(told) if few else told, on).select("doc_id", "text_key", "text", "told", "base").mapInArrow(
+        _places_task, "doc_id bigint, text_key bigint, terms array<struct<a:int,b:int>>")
+    hits = hits.dropDuplicates(["doc_id", "text_key"]).select(
+        F.col("doc_id").alias("hit_id"), F.col("text_key").alias("hit_key"), "terms")
     on = found.doc_id.eqNullSafe(hits.hit_id) & (found.text_key == hits.hit_key)
-    return found.drop("near").join(hits, on, "left").select(
+    return found.join(hits, on, "left").select(
         "doc_id", "text_key", "base",
         F.coalesce("terms", F.array().cast("array<struct<a:int,b:int>>")).alias("terms"))
 

@@ -182,6 +182,23 @@ def test_disclosing_terms_and_masking(spark, odd):
     assert pii.sanitise(odd.limit(0)).count() == 0
 
 
+def test_terms_of_rare_values_anywhere_in_the_text(spark):
+    texts = [(i, f"plain words é of text {i % 7}", "s") for i in range(300)]
+    far = " ".join(["plain words é of text"] * 4)
+    texts += [(1000, f"Dear Quillon, {far} ann@example.com {far} (quillon)", "s"), (1001, "write to +1 555 123 4567 Zorblat", "s"),
+              (1002, "Zorblat: +1 555 123 4567, plain words", "s"), (1003, "quillon without an address", "s")]
+    texts += [(1100 + i, f"mail u{i}@rare.example for {'sprocket' if i < 4 else 'text'} words", "s") for i in range(5)]
+    got = {r.doc_id: r for r in pii.find_personal_data(frame(spark, texts[:-6] + texts[-5:])).collect()}
+    told = {i: [t[s.a: s.b] for s in got[i].terms] for i, t, _ in texts if i in got}
+    assert told[1000] == ["Dear", "Quillon", "quillon"]
+    assert "Zorblat" in told[1001] and told[1002] == ["Zorblat"] and not told[0]
+    # a value of one document each, a domain of five
+    assert all("sprocket" in told[1100 + i] for i in range(4)) and "words" not in told[1104]
+    # a word that as many documents hold without the value does not give it away
+    more = {r.doc_id: r for r in pii.find_personal_data(frame(spark, texts)).collect()}
+    assert [texts[300][1][s.a: s.b] for s in more[1000].terms] == ["Dear"] and not more[1003].terms
+
+
 # 6
 def test_mix_meets_targets(spark, table):
     mix = mixing.mixture(table).collect()
