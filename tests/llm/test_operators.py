@@ -199,6 +199,16 @@ def test_terms_of_rare_values_anywhere_in_the_text(spark):
     assert [texts[300][1][s.a: s.b] for s in more[1000].terms] == ["Dear"] and not more[1003].terms
 
 
+def test_terms_are_masked_wherever_they_stand(spark):
+    far = " ".join(["some usual words"] * 10)
+    texts = [(i, f"Hello Quillon, {far} yours Quillon ann@example.com", "s") for i in range(4)]
+    # beyond eight words of the value in every document
+    texts += [(10 + i, f"bob@example.org {far} Brantwell", "s") for i in range(4)] + [(100 + i, far, "s") for i in range(60)]
+    masked = {r.doc_id: r.text for r in pii.sanitise(frame(spark, texts)).collect()}
+    assert all("Quillon" not in masked[i] and "Brantwell" not in masked[10 + i] for i in range(4))
+    assert masked[10] == f"[EMAIL] {far} [TERM]" and masked[100] == far
+
+
 # 6
 def test_mix_meets_targets(spark, table):
     mix = mixing.mixture(table).collect()
