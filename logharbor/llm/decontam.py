@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from logharbor.llm.common import save, table
 
-#: Items of fewer words are left out.
+#: Items of fewer words are matched whole.
 LEAST_WORDS = 10
 #: Masks over at most ten words: 1 is hashed, 0 may differ.  Chosen by enumeration: whichever 2 of 10, 3 of 15 or
 #: 4 of 20 words are changed, one mask still fits somewhere, so no overlap that AGREE allows is missed.
@@ -49,17 +49,25 @@ def leaks(docs: DataFrame, items: DataFrame, stretch: int = STRETCH, agree: floa
     of ``stretch`` words (or in the whole of a shorter item) the share ``agree``
     is equal.  ``start`` is the item's first word in the document, from 0.
 
-    Null and empty texts and items, and items under ten words, leak nothing.
+    Words beyond the ends of the document count as different.  Items under ten words
+    leak only as they are, found by a hash of all their words.
+
+    Null and empty texts and items leak nothing.
     Repeated items are one; an id with several texts is judged by each.  Repeated
     documents give repeated rows; null ids are kept.  Other columns are ignored.
     """
     items = items.select(F.col("item_id").alias("item_id"), words_of(F.col("text")).alias("words")).distinct()
-    items = save(items.filter(f"size(words) >= {LEAST_WORDS}").withColumn("item_key", F.xxhash64("item_id", "words")), "items")
-    windows = save(seed_windows(items.withColumn("n_item", F.size("words")), ["item_key", "n_item"])
-                   .withColumnRenamed("place", "item_place").distinct(), "seeds")
+    items = save(items.filter("size(words) > 0").withColumn("item_key", F.xxhash64("item_id", "words")), "items")
+    sized = items.withColumn("n_item", F.size("words"))
+    short = sorted(r.n_item for r in sized.filter(F.col("n_item") < LEAST_WORDS).select("n_item").distinct().collect())
+    windows = seed_windows(sized.filter(F.col("n_item") >= LEAST_WORDS), ["item_key", "n_item"])
+    for size in short:  # nine sizes at most
+        windows = windows.unionByName(seed_windows(sized.filter(F.col("n_item") == size), ["item_key", "n_item"], ["1" * size]))
+    windows = save(windows.withColumnRenamed("place", "item_place").distinct(), "seeds")
     few = windows.count() <= BROADCAST_WINDOWS
     texts = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
-    placed = seed_windows(texts.select("doc_id", "text_key", words_of(F.col("text")).alias("words")), ["doc_id", "text_key"])
+    placed = seed_windows(texts.select("doc_id", "text_key", words_of(F.col("text")).alias("words")), ["doc_id", "text_key"],
+                          [*MASKS, *("1" * size for size in short)])
     hits = placed.join(F.broadcast(windows) if few else windows, "seed").select(
         F.col("doc_id").alias("hit_id"), F.col("text_key").alias("hit_key"),
         F.struct("item_key", "n_item", (F.col("place") - F.col("item_place")).alias("shift")).alias("hit"))
@@ -72,8 +80,11 @@ def leaks(docs: DataFrame, items: DataFrame, stretch: int = STRETCH, agree: floa
         "slice(ws, greatest(h.shift, 0) + 1, h.n_item + least(h.shift, 0)) AS part))")).alias("x"))
     laid = laid.select("doc_id", "text_key", "x.*")
     known = items.withColumnRenamed("words", "item").withColumn("compared", F.least(F.lit(stretch), F.size("item")))
-    laid = laid.join(F.broadcast(known) if few else known, "item_key").filter("size(part) >= compared")
-    equal = "zip_with(part, slice(item, greatest(-start, 0) + 1, size(part)), (a, b) -> CASE WHEN a = b THEN 1 ELSE 0 END)"
+    laid = laid.join(F.broadcast(known) if few else known, "item_key")
+    # one number per word of the item; those before the document's begin and after its end stay 0
+    equal = ("concat(array_repeat(0, greatest(-start, 0)), "
+             "zip_with(part, slice(item, greatest(-start, 0) + 1, size(part)), (a, b) -> CASE WHEN a = b THEN 1 ELSE 0 END), "
+             "array_repeat(0, size(item) - size(part) - greatest(-start, 0)))")
     laid = laid.withColumn("agreeing", _once(
         equal, "e", "array_max(transform(sequence(0, size(e) - compared), "
         "j -> aggregate(slice(e, j + 1, compared), 0, (s, x) -> s + x)))"))

@@ -281,6 +281,17 @@ def test_leaks_miss_no_pattern_of_changes(spark):
     assert {(r.doc_id, r.item_id) for r in got} == {(i, i // 100_000) for i, _, _ in docs}
 
 
+def test_leaks_of_short_items_and_at_the_ends_of_documents(spark):
+    words = [f"q{k}" for k in range(40)]
+    items = [(0, " ".join(words)), (1, "What is the capital of Peru?"), (2, "quux"), (3, "one two three four five six seven eight nine"), (4, " ?")]
+    docs = [(1, " ".join(words[11:29]), "s"), (2, " ".join(words[:16]), "s"), (3, " ".join([*words[24:], "tail"]), "s"),
+            (4, " ".join(words[:15]), "s"), (5, "asked: what is the capital, of peru", "s"), (6, "what is the capital of chile", "s"),
+            (7, "Quux", "s"), (8, "one two three four five six seven eight nine", "s"), (9, "one two three four five six seven eight", "s"), (10, "", "s")]
+    got = decontam.leaks(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id, r.start, r.compared, r.agreeing) for r in got} == {
+        (1, 0, -11, 20, 18), (2, 0, 0, 20, 16), (3, 0, -24, 20, 16), (5, 1, 1, 6, 6), (7, 2, 0, 1, 1), (8, 3, 0, 9, 9)}
+
+
 # 8
 def test_vectors_against_all_pairs(spark, monkeypatch):
     monkeypatch.setattr(vectors, "INTERVAL", 100)
