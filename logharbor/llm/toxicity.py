@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +21,8 @@ from logharbor.llm.common import table
 TOXIC_SAMPLE, ORDINARY_SAMPLE, FIT_CHARS = 2000, 4000, 40_000
 #: Words of a compression window, bytes of the ordinary dictionary, compression level, bytes of the shortest match.
 WINDOW, DICTIONARY_BYTES, LEVEL, MATCH = 6, 4096, 3, 7
-#: A telling beginning of words is in this share of toxic texts, and so many times more often than in ordinary ones.
-TELLING_SHARE, TELLING_RATIO = 0.03, 20.0
+#: Share of chance finds to expect among the telling beginnings of words (Benjamini and Hochberg).
+CHANCE = 0.01
 #: Score from which a document counts as toxic.
 THRESHOLD = 0.3
 #: Wider spaces: beginnings of words make longer matches, and short ones by chance fall below the shortest match.
@@ -72,19 +73,27 @@ def without_copies(texts: list[str]) -> list[str]:
 
 
 def telling_beginnings(toxic: list[str], ordinary: list[str]) -> list[bytes]:
-    """Shortest word beginnings that set toxic text apart, grown while they lose little; rare ones first."""
+    """Shortest word beginnings that stand in toxic text more often than by chance, grown while they lose little; rare ones first."""
     toxic, ordinary = without_copies(toxic), without_copies(ordinary)
     seen, usual = Counter(), Counter()
     for text in toxic:
         seen.update(_beginnings(text))
     for text in ordinary:
         usual.update(_beginnings(text))
-    least = max(3, TELLING_SHARE * len(toxic))
-
-    def tells(s: bytes) -> bool:
-        return seen[s] / len(toxic) >= TELLING_RATIO * (usual[s] + 1) / max(1, len(ordinary))
-
-    good = {s for s, n in seen.items() if n >= least and tells(s)}
+    if not toxic or not ordinary:
+        return []
+    # were a beginning no matter of toxicity, its texts would be toxic by the share of the samples
+    share = len(toxic) / (len(toxic) + len(ordinary))
+    logs = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, len(toxic) + len(ordinary) + 1)))])
+
+    @lru_cache(maxsize=None)
+    def chance(k: int, n: int) -> float:
+        j = np.arange(k, n + 1)
+        return float(np.exp(logs[n] - logs[j] - logs[n - j] + j * np.log(share) + (n - j) * np.log1p(-share)).sum())
+
+    by_chance = sorted((chance(n, n + usual[s]), s) for s, n in seen.items() if n > share * (n + usual[s]))
+    known = max((k for k, (p, _) in enumerate(by_chance, 1) if p <= CHANCE * k / len(seen)), default=0)
+    good = {s for _, s in by_chance[:known]}
     shortest = [s for s in good if not any(s[:k] in good for k in range(5, len(s)))]
     grown = set()
     for s in shortest:

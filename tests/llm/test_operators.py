@@ -332,6 +332,15 @@ def test_toxicity_on_held_out_labels(spark):
     assert np.mean(toxic) > 0.5 and np.mean(clean) < 0.06
 
 
+def test_telling_beginnings_of_a_minority():
+    rnd = random.Random(5)
+    text = lambda *more: " ".join([*(str(rnd.randrange(100, 999)) for _ in range(30)), *more])
+    toxic = [text("zurrapa", "plain") if i < 8 else text("scumbag" if i < 200 else "plain") for i in range(300)]
+    ordinary = [text("plain", *["casual"] * (i < 40)) for i in range(2000)]
+    got = toxicity.telling_beginnings([*toxic, text("casual")], ordinary)
+    assert {s[:5] for s in got} == {b" zurr", b" scum"}
+
+
 def test_toxicity_odd_rows(spark, odd):
     labels = spark.createDataFrame([(6, 1, None), (9, 0, None), (None, 1, None), (7, None, None)], "doc_id long, toxic int, score double")
     got = toxicity.score_toxicity(odd, labels).collect()
