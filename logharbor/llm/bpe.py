@@ -24,7 +24,9 @@ RANKS = "byte_bpe_50k.tiktoken"
 BYTES = "".join(chr(0x100 + b) for b in range(256))
 _TO_BYTES = codecs.charmap_build(BYTES)
 #: Encoded parts a task remembers, the longest one it remembers, and the parts it gathers before it encodes them.
-REMEMBERED, REMEMBERED_CHARS, HELD = 400_000, 64, 200_000
+REMEMBERED, REMEMBERED_CHARS, HELD = 250_000, 64, 100_000
+#: Rows whose Python objects a task holds at once.
+ROWS = 512
 #: Fields of the model file: pieces, trainer and normaliser; type BPE, kinds of pieces (fixed values of its format).
 _PIECES, _TRAINER, _NORMALIZER, _BPE, _NORMAL, _UNKNOWN = 1, 2, 3, 2, 1, 2
 
@@ -136,6 +138,11 @@ class _Encoder:
         return [b"".join(x) for x in out]
 
 
+def _in_slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    for at in range(0, batch.num_rows, ROWS):
+        yield batch.slice(at, ROWS)
+
+
 def encode_texts(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", to: str = "ids") -> DataFrame:
     """The documents with their token ids in a column ``to``: unsigned 32-bit integers, little-endian, as binary.
 
@@ -149,8 +156,9 @@ def encode_texts(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _Encoder(*shared.value, pattern)
         for batch in batches:
-            found = encoder.encode(batch.column(kept.index(text)).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.binary())], [*kept, to])
+            for part in _in_slices(batch):
+                found = encoder.encode(part.column(kept.index(text)).to_pylist())
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.binary())], [*kept, to])
 
     schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField(to, T.BinaryType())])
     return docs.select(*kept).mapInArrow(run, schema)
@@ -170,8 +178,9 @@ def decode_ids(rows: DataFrame, ranks: dict[bytes, int], ids: str = "ids", to: s
         pieces = sentencepiece.SentencePieceProcessor(model_proto=model)
         tokens = {rank: unmapped(piece) for rank, piece in zip(order, pieces.id_to_piece(list(range(len(order)))), strict=True)}
         for batch in batches:
-            found = [b"".join(map(tokens.__getitem__, np.frombuffer(x or b"", "<u4").tolist())) for x in batch.column(kept.index(ids)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.binary())], [*kept, to])
+            for part in _in_slices(batch):
+                found = [b"".join(map(tokens.__getitem__, np.frombuffer(x or b"", "<u4").tolist())) for x in part.column(kept.index(ids)).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.binary())], [*kept, to])
 
     schema = T.StructType([rows.schema[c] for c in kept] + [T.StructField(to, T.BinaryType())])
     return rows.select(*kept).mapInArrow(run, schema)
