@@ -115,6 +115,11 @@ def cluster_summary(members: DataFrame, first_messages: int = 5) -> DataFrame:
         members.select("cluster_id", "timestamp", "id", "message"),
         "cluster_id", ["timestamp", "id"], first_messages,
     )
+    return cluster_records(totals, first)
+
+
+def cluster_records(totals: DataFrame, first: DataFrame) -> DataFrame:
+    """Cluster records from counts per cluster and its ranked first messages."""
     ranked = F.sort_array(F.collect_list(F.struct("rank", "message")))
     listed = first.groupBy("cluster_id").agg(
         F.transform(ranked, lambda r: r["message"]).alias("representative_messages")

@@ -73,16 +73,21 @@ def overlap_bound(size_a: Column, size_b: Column, bits_a: Column, bits_b: Column
     return F.floor((size_a + size_b - differ) / 2).cast("int")
 
 
-def rank_tokens(texts: DataFrame) -> DataFrame:
+def frequent_tokens(texts: DataFrame) -> DataFrame:
+    """The most frequent tokens with the number of their texts; fixes an order of tokens."""
+    words = texts.select("id", F.explode(X.tokens(F.col("text"))).alias("token"))
+    return words.groupBy("token").agg(F.count("*").alias("df")).orderBy(F.desc("df"), "token").limit(RANKED_TOKENS)
+
+
+def rank_tokens(texts: DataFrame, frequent: DataFrame | None = None) -> DataFrame:
     """``id``, tokens in global order (rare first), their number ``n`` and signature.
 
-    Texts without tokens are similar to nothing and are left out.
+    Texts without tokens are similar to nothing and are left out.  The order comes
+    from the texts, or from ``frequent``, at most ``RANKED_TOKENS`` rows, so that
+    texts ranked at different times can be joined.
     """
     words = texts.select("id", F.explode(X.tokens(F.col("text"))).alias("token"))
-    frequent = (
-        words.groupBy("token").agg(F.count("*").alias("df"))
-        .orderBy(F.desc("df"), "token").limit(RANKED_TOKENS)
-    )
+    frequent = frequent_tokens(texts) if frequent is None else frequent
     ranked = words.join(F.broadcast(frequent), "token", "left")  # at most RANKED_TOKENS rows
     pair = F.struct(F.coalesce("df", F.lit(0)).alias("df"), "token")
     grouped = ranked.groupBy("id").agg(F.sort_array(F.collect_list(pair)).alias("pairs"))

@@ -10,9 +10,10 @@ from logharbor.operators.detection import alert_rules
 from logharbor.plans import tables as T
 from logharbor.plans.ingest_queries import ingest_time
 from logharbor.plans.registry import query
-from logharbor.plans.snippets import ERRORS, FLAGS, LOGS, PARSED, sql
+from logharbor.plans.snippets import CLUSTERS, ERRORS, FLAGS, LOGS, PARSED, hits, sql
 from logharbor.session import new_folder
 from logharbor.streaming import jobs as J
+from logharbor.streaming.ingest import LiveTables, run_ingest
 
 
 def events_stream(spark, sf_dir) -> DataFrame:
@@ -155,3 +156,96 @@ def timeline(spark, sf_dir):
 @query("w07_timeline_shuffled", _TIMELINE)
 def timeline_shuffled(spark, sf_dir):
     return drained(J.timeline_stream(shuffled_logs_stream(spark, sf_dir)), "timeline", ["bucket"])
+
+
+# ---------------------------------------------------------------- the whole ingest job
+
+# Words that make the message of some lines their own, so that texts grow with the input and many stay alone.
+_OWN = ", ".join(f"' q{x}', CAST(event_id - event_id % 50 AS {{str}})" for x in "abcdefgh")
+_OWN = f"CASE WHEN event_id % 25 = 0 THEN concat(' ref', {_OWN}) ELSE '' END"
+_OWN_SQL = _OWN.replace("{str}", "VARCHAR")
+_LIVE_LOGS = PARSED.strip().replace("logs AS (", "plain AS (", 1).replace("FROM logs)", "FROM lines)").replace(
+    "parsed AS (", f"lines AS (SELECT * REPLACE (concat(message, {_OWN_SQL}) AS message, concat(raw_line, {_OWN_SQL}) AS raw_line) FROM plain),\nparsed AS (", 1)
+_LIVE_LOGS += ",\nlogs AS (SELECT * FROM parsed)"
+_LIVE_FLAGS, _LIVE_CLUSTERS = (x.replace(LOGS, _LIVE_LOGS) for x in (FLAGS, CLUSTERS))
+
+
+class _Lost(RuntimeError):
+    pass
+
+
+_live: dict[tuple, LiveTables] = {}
+
+
+def live_tables(spark, sf_dir) -> LiveTables:
+    """The tables of one run of the job, which the queries below read."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _live:
+        _live[key] = drained_ingest(spark, sf_dir)
+    return _live[key]
+
+
+def drained_ingest(spark, sf_dir, parts: int = 5) -> LiveTables:
+    """Lines in shuffled files, a batch each; the third batch is lost before its ledger row and replayed."""
+    events = T.logs(spark, sf_dir).withColumn("line", F.expr(f"concat(raw_line, {_OWN.replace('{str}', 'STRING')})"))
+    blank = events.filter("event_id % 97 = 0").select(F.concat(F.lit("blank"), "id").alias("id"), F.lit(" ").alias("line"))
+    lines = events.select("id", "line").unionByName(blank)
+    folder, state = folders(spark, "live-lines")
+    lines.repartition(parts, F.xxhash64("id")).write.parquet(folder)
+    tables = LiveTables(spark, new_folder(spark, "live"), seconds=3600, alert_seconds=86400)
+    stream = J.file_stream(spark, folder, lines.schema, maxFilesPerTrigger=1)
+    write, lost = tables._write, []
+
+    def failing(name, part, batch_id):
+        if name == "ledger" and batch_id == 2 and not lost:
+            lost.append(batch_id)
+            raise _Lost("before the ledger row")
+        return write(name, part, batch_id)
+
+    tables._write = failing
+    try:
+        run_ingest(stream, tables, state, ingest_time())
+    except Exception:  # noqa: BLE001 - the stream wraps the error of its batch
+        if not lost:
+            raise
+    return run_ingest(stream, tables, state, ingest_time())
+
+
+@query("w01_live_logs", sql(_LIVE_FLAGS, "SELECT id, timestamp, level, service, message, is_anomaly, anomaly_score FROM flagged"))
+def live_logs(spark, sf_dir):
+    return live_tables(spark, sf_dir).logs().select("id", "timestamp", "level", "service", "message", "is_anomaly", "anomaly_score")
+
+
+@query("w01_live_members", sql(_LIVE_CLUSTERS, "SELECT id, cluster_id FROM members"))
+def live_members(spark, sf_dir):
+    return live_tables(spark, sf_dir).logs().select("id", "cluster_id")
+
+
+@query("w01_live_clusters", sql(_LIVE_CLUSTERS, """
+SELECT id, name, description, log_count, severity, representative_messages, tags, first_seen, last_seen FROM clusters"""))
+def live_clusters(spark, sf_dir):
+    return live_tables(spark, sf_dir).clusters()
+
+
+@query("w01_live_incidents", sql(_LIVE_CLUSTERS, """
+SELECT id, title, description, severity, status, cluster_id, log_count, detected_at, affected_services FROM cases"""))
+def live_incidents(spark, sf_dir):
+    return live_tables(spark, sf_dir).incidents().drop("resolved_at")
+
+
+@query("w01_live_alerts", sql(_LIVE_FLAGS, f"""
+SELECT alert_type, w AS fired_at, actual::DOUBLE AS actual_value, 'firing' AS status FROM (
+  SELECT date_trunc('day', timestamp) AS w, 'redis_failure_threshold' AS alert_type,
+    count(*) FILTER (WHERE contains(service, 'redis') AND {ERRORS}) AS actual, 5 AS t FROM logs GROUP BY 1
+  UNION ALL SELECT date_trunc('day', timestamp), 'reconnect_storm', count(*) FILTER (WHERE {hits('message', K.RECONNECT_WORDS)}), 10 FROM logs GROUP BY 1)
+WHERE actual >= t"""))
+def live_alerts(spark, sf_dir):
+    return live_tables(spark, sf_dir).alerts().select("alert_type", "fired_at", "actual_value", "status")
+
+
+@query("w01_live_audit", sql(LOGS, """
+SELECT 5::BIGINT AS batches, (count(*) + count(*) FILTER (event_id % 97 = 0))::BIGINT AS total_lines, count(*) AS processed_lines,
+  count(*) FILTER (event_id % 97 = 0) AS error_lines FROM logs"""))
+def live_audit(spark, sf_dir):
+    return live_tables(spark, sf_dir).ledger().agg(
+        F.count("*").alias("batches"), *[F.sum(c).alias(c) for c in ("total_lines", "processed_lines", "error_lines")])
