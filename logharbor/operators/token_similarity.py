@@ -23,11 +23,12 @@ shorter prefix).  Texts are therefore joined on prefix tokens only.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logharbor import constants as K
 from logharbor.functions import text as X
+from logharbor.operators.lookups import first_per_group
 from logharbor.session import cut_lineage
 
 # How many of the most frequent tokens get their exact rank.  Any total order
@@ -296,6 +297,62 @@ def _token_sets(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return sets, keyed.select("id", "key").join(sets.select("key", "set"), "key").select("id", "set")
 
 
+# Documents met through the rarest tokens, per answer, before a query's k-th score is taken as a bound.
+FIRST_POSTINGS = 4
+
+# Scores this close may be ties.
+TIE = 1e-8
+
+
+def _rare_first(q_sets: DataFrame, d_words: DataFrame) -> DataFrame:
+    """Tokens of every query that documents have, rarest first: position ``pos`` of ``m`` and documents before."""
+    wanted = q_sets.select(F.col("set").alias("qset"), F.col("n").alias("qn"), F.explode("toks").alias("token"))
+    postings = d_words.join(wanted.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count("*").alias("df"))
+    order = Window.partitionBy("qset").orderBy("df", "token")  # the tokens of one query
+    return wanted.join(postings, "token").select(
+        "qset", "qn", "token", F.row_number().over(order).alias("pos"), F.count("*").over(Window.partitionBy("qset")).alias("m"),
+        (F.sum("df").over(order) - F.col("df")).alias("before"))
+
+
+def _scored(pairs: DataFrame, q_sets: DataFrame, d_sets: DataFrame) -> DataFrame:
+    """Cosine of pairs ``qset``, ``dset`` from their whole token arrays."""
+    q = q_sets.select(F.col("set").alias("qset"), F.col("toks").alias("qtoks"), F.col("n").alias("qn"))
+    d = d_sets.select(F.col("set").alias("dset"), F.col("toks").alias("dtoks"), F.col("n").alias("dn"))
+    joined = pairs.join(q, "qset").join(d, "dset")
+    return joined.select("qset", "dset", token_cosine(F.size(F.array_intersect("qtoks", "dtoks")), F.col("qn"), F.col("dn")).alias("cosine"))
+
+
+def near_sets(q_sets: DataFrame, d_sets: DataFrame, k: int) -> DataFrame:
+    """``qset``, ``dset``, ``cosine``: pairs that hold the ``k`` best documents of every query that share a token with it.
+
+    The threshold algorithm on postings.  Tokens of a query are taken rarest first.
+    The documents of the first ones, a few times ``k``, are scored, and the k-th score
+    bounds what can still matter: a document that shares none of the first ``p`` of
+    ``m`` tokens has an overlap of at most ``m - p`` and so a cosine of at most
+    ``sqrt((m - p) / n)``.  Only the tokens up to the position where that falls below
+    the k-th score are looked up, and only documents whose size can reach the score.
+    Common tokens are thus read only by queries that have no better documents.
+    """
+    d_words = d_sets.select(F.col("set").alias("dset"), F.col("n").alias("dn"), F.explode("toks").alias("token"))
+    q_words = cut_lineage(_rare_first(q_sets, d_words))
+    first = F.col("before") < FIRST_POSTINGS * k
+    pairs = cut_lineage(q_words.filter(first).join(d_words, "token").select("qset", "dset").distinct())
+    known = cut_lineage(_scored(pairs, q_sets, d_sets))
+    best = first_per_group(known.select("qset", "cosine"), "qset", [F.desc("cosine")], k)
+    kth = best.groupBy("qset").agg(F.min("cosine").alias("kth"), F.count("*").alias("found"))
+    kth = kth.select("qset", F.when(F.col("found") >= k, F.col("kth") - TIE).otherwise(0.0).alias("kth"))
+    bounded = q_words.filter(~first).join(kth, "qset", "left").withColumn("kth", F.coalesce("kth", F.lit(0.0)))
+    # a document first met here shares at most the tokens from this position on
+    left = F.col("m") - F.col("pos") + 1
+    least = d_sets.agg(F.min("n")).first()[0] or 1
+    ceiling = F.when(left >= least, F.sqrt(left / F.col("qn"))).otherwise(left / F.sqrt(F.col("qn").cast("double") * least))
+    bounded = bounded.filter(ceiling >= F.col("kth"))
+    possible = F.least(left, F.col("dn")) / F.sqrt(F.col("qn").cast("double") * F.col("dn"))
+    more = bounded.join(d_words, "token").filter(possible >= F.col("kth")).select("qset", "dset").distinct()
+    more = more.join(pairs, ["qset", "dset"], "left_anti")
+    return known.unionByName(_scored(more, q_sets, d_sets))
+
+
 def top_k_texts(queries: DataFrame, documents: DataFrame, k: int) -> DataFrame:
     """The ``k`` nearest documents of every query by token cosine (V4, V5).
 
@@ -305,18 +362,8 @@ def top_k_texts(queries: DataFrame, documents: DataFrame, k: int) -> DataFrame:
     be shorter than ``k``.  Such an answer overlaps fewer than ``k`` documents, so
     the ``2k`` smallest ids contain enough fillers.
     """
-    from logharbor.operators.lookups import first_per_group
-
     (q_sets, q_ids), (d_sets, d_ids) = _token_sets(queries), _token_sets(documents)
-    q_words, d_words = (
-        sets.select(F.col("set").alias(f"{x}set"), F.col("n").alias(f"{x}n"), F.explode("toks").alias("token"))
-        for x, sets in (("q", q_sets), ("d", d_sets))
-    )
-    scored = (
-        q_words.join(d_words, "token")
-        .groupBy("qset", "dset", "qn", "dn").agg(F.count("*").alias("overlap"))
-        .select("qset", "dset", (1 - token_cosine(F.col("overlap"), F.col("qn"), F.col("dn"))).alias("distance"))
-    )
+    scored = near_sets(q_sets, d_sets, k).select("qset", "dset", (1 - F.col("cosine")).alias("distance"))
     members = first_per_group(d_ids.select(F.col("set").alias("dset"), F.col("id").alias("doc_id")), "dset", ["doc_id"], k)
     near = scored.join(members.drop("rank"), "dset").select("qset", "doc_id", "distance")
 

@@ -223,3 +223,27 @@ def test_embedding_is_normalised(spark):
     out = D.embed_texts(rows, lambda ts: np.array([[len(t), 2 * len(t)] for t in ts]))
     got = {r.id: [round(x, 4) for x in r.embedding] for r in out.collect()}
     assert got == {"a": [0.4472, 0.8944], "b": [0.0, 0.0]}
+
+
+@pytest.mark.parametrize("k", [1, 5])
+def test_top_k_scores_few_of_the_pairs_that_share_a_token(spark, k):
+    """A common word in every document and query, and near copies: the answers are exact, most pairs are never scored."""
+    rnd = random.Random(7)
+    docs = []
+    for i in range(1500):  # groups of eight near copies
+        words = [f"w{rnd.randint(0, 400)}" for _ in range(12)] if i % 8 == 0 else [*docs[i - i % 8][1].split()[1:], f"w{rnd.randint(0, 400)}"]
+        docs.append((f"d{i:04d}", "the " + " ".join(words)))
+    queries = [(f"q{i:03d}", docs[rnd.randrange(1500)][1] + f" w{rnd.randint(0, 400)}") for i in range(60)]
+    d, q = (spark.createDataFrame(x, "id string, text string") for x in (docs, queries))
+    got = {}
+    for r in S.top_k_texts(q, d, k).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.doc_id)
+
+    def distance(x, y):
+        a, b = tokens(x), tokens(y)
+        return round(1 - len(a & b) / (len(a) * len(b)) ** 0.5, 9)
+
+    assert got == {i: [j for _, j in sorted((distance(x, y), j) for j, y in docs)][:k] for i, x in queries}
+    (q_sets, _), (d_sets, _) = S._token_sets(q), S._token_sets(d)
+    scored = S.near_sets(q_sets, d_sets, k).count()
+    assert scored < q_sets.count() * d_sets.count() / 4, scored  # all pairs share "the"
