@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from logharbor import constants as K
 from logharbor.functions import parsing as P
 from logharbor.functions import text as X
+from logharbor.sources.blocks import read_csv_records, read_numbered_lines
 
 # Stores whose files a task can open by itself to read only their start.
 HEAD_STORES = ["file", "hdfs", "s3", "s3a", "gs"]
@@ -167,19 +168,24 @@ def batch_counts(lines: DataFrame, per: list[str]) -> DataFrame:
 
 def read_text_logs(
     spark: SparkSession, paths: str | list[str], session_id: str, ingest_time: Column,
-    json: bool = False, max_file_bytes: int | None = None,
+    json: bool = False, max_file_bytes: int | None = None, max_lines: int | None = None,
+    message_chars: int = K.MESSAGE_CHARS, raw_chars: int = K.RAW_LINE_CHARS,
 ) -> DataFrame:
-    """Text files (or JSON-lines files) to log rows."""
-    lines = with_line_ids(read_lines(spark, paths, max_file_bytes))
-    rows = parse_lines(lines, ingest_time, json=json)
+    """Text files (or JSON-lines files) to log rows, optionally capped.
+
+    Ids come from line numbers, which are the same however the files are split, and
+    no line is shuffled for them.
+    """
+    lines = with_line_ids(read_numbered_lines(spark, paths, max_file_bytes, max_lines))
+    rows = parse_lines(lines, ingest_time, json=json, message_chars=message_chars, raw_chars=raw_chars)
     return rows.withColumn("session_id", F.lit(session_id))
 
 
 def read_json_logs(
-    spark: SparkSession, paths: str | list[str], session_id: str, ingest_time: Column
+    spark: SparkSession, paths: str | list[str], session_id: str, ingest_time: Column, **limits
 ) -> DataFrame:
     """JSON-lines files; a line that is no object falls back to the text rule."""
-    return read_text_logs(spark, paths, session_id, ingest_time, json=True)
+    return read_text_logs(spark, paths, session_id, ingest_time, json=True, **limits)
 
 
 # ---------------------------------------------------------------- CSV
@@ -202,7 +208,9 @@ def csv_roles(columns: list[str]) -> dict[str, str | None]:
     }
 
 
-def parse_records(records: DataFrame, ingest_time: Column, source: str = "file_upload") -> DataFrame:
+def parse_records(
+    records: DataFrame, ingest_time: Column, source: str = "file_upload", message_chars: int = K.MESSAGE_CHARS
+) -> DataFrame:
     """Rows of named string columns to log rows; empty messages are skipped.
 
     A missing level becomes INFO instead of failing the file.  Without an ``id``
@@ -237,7 +245,7 @@ def parse_records(records: DataFrame, ingest_time: Column, source: str = "file_u
         F.coalesce(P.parse_timestamp(stamp, ingest_time), ingest_time).alias("timestamp"),
         P.parse_level(level).alias("level"),
         service.alias("service"),
-        P.truncate(message, K.MESSAGE_CHARS).alias("message"),
+        P.truncate(message, message_chars).alias("message"),
         extra.alias("extra_fields"),
         F.lit(source).alias("source"),
         F.lit(None).cast("string").alias("raw_line"),
@@ -246,18 +254,21 @@ def parse_records(records: DataFrame, ingest_time: Column, source: str = "file_u
 
 def read_csv_logs(
     spark: SparkSession, paths: str | list[str], session_id: str, ingest_time: Column,
-    multi_line: bool = True,
+    max_file_bytes: int | None = None, message_chars: int = K.MESSAGE_CHARS,
 ) -> DataFrame:
-    """CSV files with a header (S3).
-
-    Quoted line breaks need ``multi_line``, which keeps each file in one task;
-    turn it off for large files without them, so that they split.
-    """
-    df = spark.read.csv(
-        paths, header=True, multiLine=multi_line, escape='"', inferSchema=False, mode="PERMISSIVE"
-    )
-    df = df.withColumn("file", F.col("_metadata.file_path"))
-    return parse_records(df, ingest_time).withColumn("session_id", F.lit(session_id))
+    """CSV files that share a header (S3); quoted line breaks may stand anywhere, and files are split (see ``blocks``)."""
+    columns = spark.read.csv(paths, header=True, multiLine=True, escape='"', inferSchema=False).columns
+    records = read_csv_records(spark, paths, max_file_bytes).filter((F.col("record_no") > 0) & (F.col("record") != ""))
+    schema = ", ".join(f"`{c.replace('`', '``')}` string" for c in columns)
+    parsed = F.from_csv("record", schema, {"escape": '"', "mode": "PERMISSIVE"})
+    rows = records.select(
+        "file", X.row_id(F.col("file"), F.col("record_no"), F.col("record")).alias("id"), parsed.alias("_r"))
+    if {"file", "id"} & set(columns):  # the file's own columns of these names are told apart
+        named = [F.col("_r")[c].alias(f"{c}_" if c in ("file", "id") else c) for c in columns]
+    else:
+        named = [F.col("_r")[c].alias(c) for c in columns]
+    return parse_records(rows.select("file", "id", *named), ingest_time, message_chars=message_chars).withColumn(
+        "session_id", F.lit(session_id))
 
 
 # ---------------------------------------------------------------- format detection
@@ -317,10 +328,15 @@ def detect_formats(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 
 def read_logs(
-    spark: SparkSession, paths: str | list[str], session_id: str, ingest_time: Column
+    spark: SparkSession, paths: str | list[str], session_id: str, ingest_time: Column,
+    max_file_bytes: int | None = None, max_lines: int | None = None,
+    message_chars: int = K.MESSAGE_CHARS, raw_chars: int = K.RAW_LINE_CHARS,
 ) -> DataFrame:
     """Route every file to its reader by detected format and union the rows.
 
+    The limits (S13) are off but for the lengths: larger files are skipped, text and
+    JSON files are read up to ``max_lines``, messages and raw lines are cut.
+
     Text and JSON files are one scan, whose lines are told apart one by one.
     Only file names reach the driver, as they do for any file scan.  CSV files
     are read per header so that roles resolve file by file.
@@ -335,8 +351,10 @@ def read_logs(
     parts = []
     lines = by_format.get("text", []) + by_format.get("json", [])
     if lines or not found:  # empty files are not listed; they have no rows
-        parts.append(read_json_logs(spark, lines or paths, session_id, ingest_time))
-    parts += [read_csv_logs(spark, files, session_id, ingest_time) for files in same.values()]
+        parts.append(read_json_logs(
+            spark, lines or paths, session_id, ingest_time, max_file_bytes=max_file_bytes, max_lines=max_lines,
+            message_chars=message_chars, raw_chars=raw_chars))
+    parts += [read_csv_logs(spark, files, session_id, ingest_time, max_file_bytes, message_chars) for files in same.values()]
     columns = ["id", "session_id", "timestamp", "level", "source", "service", "message",
                "raw_line", "extra_fields"]
     return reduce(DataFrame.unionByName, [p.select(*columns) for p in parts])
