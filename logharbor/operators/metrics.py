@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from logharbor import constants as K
 from logharbor.functions import text as X
+from logharbor.session import cut_lineage
 
 
 def is_error() -> Column:
@@ -199,23 +200,96 @@ def events_timeline(
     )
 
 
+# Distinct values of a window that one task may gather, and bins into which larger ranges of values are counted.
+GATHERED_VALUES, VALUE_BINS = 1_000_000, 1024
+
+
 def latency_percentiles(samples: DataFrame, seconds: int, exact: bool = True) -> DataFrame:
     """p50/p95/p99 of ``ms`` per window.
 
-    Exact: equal values are counted first, so the group that reaches one task is
-    the window's distinct values and not its rows.  For latencies with unbounded
-    resolution use ``exact=False``, whose sketch has a fixed size.
+    Exact: equal values are counted first.  A window of at most ``GATHERED_VALUES``
+    distinct values is settled by one task; in larger ones the ranks are found by
+    ``select_ranks``, so that no task ever holds a window's values.  With
+    ``exact=False`` a sketch of fixed size answers in one pass.
     """
     start = window_start("ts", seconds).alias("window_start")
-    ranks = F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99))
-    if exact:
-        counted = samples.groupBy(start, "ms").agg(F.count("*").alias("n"))
-        out = counted.groupBy("window_start").agg(F.percentile("ms", ranks, F.col("n")).alias("p"))
-    else:
-        out = samples.groupBy(start).agg(F.percentile_approx("ms", ranks, 10000).alias("p"))
-    return out.select(
-        "window_start", *[F.col("p")[i].alias(n) for i, n in enumerate(("p50_ms", "p95_ms", "p99_ms"))]
-    )
+    ranks = (0.5, 0.95, 0.99)
+    columns = ("p50_ms", "p95_ms", "p99_ms")
+    if not exact:
+        out = samples.groupBy(start).agg(F.percentile_approx("ms", F.array(*map(F.lit, ranks)), 10000).alias("p"))
+        return out.select("window_start", *[F.col("p")[i].alias(n) for i, n in enumerate(columns)])
+    samples = samples.filter(F.col("ms").isNotNull())
+    counted = cut_lineage(samples.groupBy(start, F.col("ms").cast("double").alias("ms")).agg(F.count("*").alias("n")))
+    sizes = counted.groupBy("window_start").agg(F.count("*").alias("_values"))
+    large = cut_lineage(sizes.filter(F.col("_values") > GATHERED_VALUES).select("window_start"))
+    any_large = not large.isEmpty()
+    small = counted.join(large, "window_start", "left_anti") if any_large else counted
+    gathered = small.groupBy("window_start").agg(F.percentile("ms", F.array(*map(F.lit, ranks)), F.col("n")).alias("p"))
+    out = gathered.select("window_start", *[F.col("p")[i].alias(n) for i, n in enumerate(columns)])
+    if not any_large:
+        return out
+    found = percentiles_by_selection(counted.join(large, "window_start", "left_semi"), ranks)
+    one = [F.max(F.when(F.col("p") == p, F.col("value"))).alias(n) for p, n in zip(ranks, columns, strict=True)]
+    return out.unionByName(found.groupBy("window_start").agg(*one))
+
+
+def percentiles_by_selection(counted: DataFrame, ranks: tuple[float, ...]) -> DataFrame:
+    """``window_start``, ``p``, ``value``: interpolated percentiles of counted values ``ms``, ``n``."""
+    totals = counted.groupBy("window_start").agg(F.sum("n").alias("total"))
+    wanted = totals.select("window_start", "total", F.explode(F.array(*map(F.lit, ranks))).alias("p"))
+    place = F.col("p") * (F.col("total") - 1)
+    wanted = wanted.select("window_start", "p", place.alias("place"), F.explode(F.array_distinct(
+        F.array(F.floor(place), F.ceil(place)))).alias("rank"))
+    found = select_ranks(counted, wanted.select("window_start", "rank").distinct())
+    share = F.when(F.col("rank") == F.floor("place"), 1 - (F.col("place") - F.col("rank"))).otherwise(F.col("place") - F.floor("place"))
+    return wanted.join(found, ["window_start", "rank"]).groupBy("window_start", "p").agg(F.sum(share * F.col("ms")).alias("value"))
+
+
+def select_ranks(counted: DataFrame, wanted: DataFrame, bins: int = VALUE_BINS) -> DataFrame:
+    """``window_start``, ``rank``, ``ms``: the value of each wanted rank, counted from 0.
+
+    The range that holds a rank is cut into ``bins``, whose rows are counted with
+    their least and greatest value; the bin that holds the rank is the next range,
+    until it is a single value.  A window sends at most ``bins`` rows per task.
+    """
+    edges = counted.groupBy("window_start").agg(F.min("ms").alias("low"), F.max("ms").alias("high"))
+    open_ = cut_lineage(wanted.join(edges, "window_start").withColumn("below", F.lit(0).cast("long")))
+    done = None
+    while True:
+        settled = open_.filter("low = high").select("window_start", "rank", F.col("low").alias("ms"))
+        done = settled if done is None else done.unionByName(settled)
+        open_ = open_.filter("low < high")
+        if open_.isEmpty():
+            return done
+        ranges = open_.select("window_start", "low", "high", "below").distinct()
+        # rounding keeps the order of values; the least and greatest are in different bins, so every range shrinks
+        half = (F.col("ms") / 2 - F.col("low") / 2) / (F.col("high") / 2 - F.col("low") / 2)
+        inner = F.greatest(F.least(F.coalesce(F.floor(F.nanvl(half, F.lit(0.0)) * bins), F.lit(0)), F.lit(bins - 1)), F.lit(0))
+        at = F.when(F.col("ms") == F.col("low"), 0).when(F.col("ms") == F.col("high"), bins - 1).otherwise(inner)
+        inside = counted.join(ranges, "window_start").filter("ms >= low AND ms <= high")
+        cut = inside.groupBy("window_start", "low", "high", "below", at.alias("bin")).agg(
+            F.sum("n").alias("rows"), F.min("ms").alias("least"), F.max("ms").alias("most"))
+        order = Window.partitionBy("window_start", "low", "high").orderBy("bin")  # at most ``bins`` rows
+        cut = cut.withColumn("before", F.col("below") + F.sum("rows").over(order) - F.col("rows"))
+        cut = cut.drop("below")
+        open_ = cut_lineage(
+            open_.select("window_start", "rank", "low", "high").join(cut, ["window_start", "low", "high"])
+            .filter("rank >= before AND rank < before + rows")
+            .select("window_start", "rank", F.col("least").alias("low"), F.col("most").alias("high"), F.col("before").alias("below")))
+
+
+def latency_sketches(samples: DataFrame, seconds: int) -> DataFrame:
+    """A mergeable sketch of ``ms`` per window, from which longer windows are rolled up."""
+    return samples.groupBy(window_start("ts", seconds).alias("window_start")).agg(
+        F.kll_sketch_agg_double(F.col("ms").cast("double")).alias("sketch"), F.count("ms").alias("n"))
+
+
+def rolled_up_percentiles(sketches: DataFrame, seconds: int) -> DataFrame:
+    """Approximate p50/p95/p99 of longer windows, from sketches and not from samples."""
+    merged = sketches.groupBy(window_start("window_start", seconds).alias("window_start")).agg(
+        F.kll_merge_agg_double("sketch").alias("sketch"), F.sum("n").alias("n"))
+    return merged.select("window_start", "n", *[
+        F.kll_sketch_get_quantile_double("sketch", F.lit(p)).alias(c) for p, c in ((0.5, "p50_ms"), (0.95, "p95_ms"), (0.99, "p99_ms"))])
 
 
 def running_totals(batches: DataFrame, order: str, value: str) -> DataFrame:

@@ -18,6 +18,7 @@ from logharbor.plans.snippets import CLUSTERS, LOGS, PARSED, hits, sql
 from logharbor.session import new_folder
 from logharbor.sources import readers as R
 from logharbor.sources import sinks as W
+from logharbor.sources.log_table import LogTable
 from logharbor.streaming import jobs as J
 
 INGEST_TIME = datetime(2024, 2, 1, tzinfo=timezone.utc)
@@ -198,6 +199,86 @@ def line_cap(spark, sf_dir):
     return R.cap_lines(T.logs(spark, sf_dir), "session_id", "event_id", 100).select("session_id", "id")
 
 
+@query("s05_read_lines", """
+SELECT md5(concat(CAST(doc_id AS VARCHAR), ' ', translate(text, concat(chr(10), chr(13)), '  '), chr(65533))) AS digest, count(*) AS lines
+FROM documents GROUP BY 1
+""")
+def read_bad_lines(spark, sf_dir):
+    """Whole texts as lines of files, each with a byte that is no UTF-8."""
+    text = F.concat(F.col("doc_id").cast("string"), F.lit(" "), F.translate("text", "\n\r", "  "))
+    bad = F.concat(text.cast("binary"), F.unhex(F.lit("FF"))).cast("string")
+    folder = new_folder(spark, "bad-bytes")
+    T.table(spark, sf_dir, "documents").select(bad.alias("line")).write.text(folder)
+    return R.read_lines(spark, folder).groupBy(F.md5("line").alias("digest")).agg(F.count("*").alias("lines"))
+
+
+@query("s06_ingest_batch", sql(PARSED, """
+SELECT sha256(concat_ws('#', 'batch', CAST(event_id AS VARCHAR), l.raw_line)) AS id, p.timestamp, p.level, p.service, p.message
+FROM logs l JOIN parsed p USING (id) QUALIFY row_number() OVER (ORDER BY event_id) <= 10000
+"""))
+def ingest_batch(spark, sf_dir):
+    """A line batch with the cap of the feature, 10,000 lines."""
+    lines = T.logs(spark, sf_dir).select(F.col("event_id").alias("line_no"), F.col("raw_line").alias("line"))
+    return R.ingest_batch(lines, "batch", ingest_time(), K.MAX_BATCH_LINES).select("id", "timestamp", "level", "service", "message")
+
+
+@query("s13_file_line_cap", sql(LOGS, """
+SELECT session_id, (row_number() OVER w - 1)::BIGINT AS line_no, raw_line FROM logs
+WINDOW w AS (PARTITION BY session_id ORDER BY event_id) QUALIFY row_number() OVER w <= 100
+"""))
+def file_line_cap(spark, sf_dir):
+    """A file per session, read up to 100 lines each."""
+    folder = new_folder(spark, "capped")
+    lines = T.logs(spark, sf_dir).repartition("session_id").sortWithinPartitions("session_id", "event_id")
+    lines.select("session_id", "raw_line").write.partitionBy("session_id").text(folder)
+    session = F.regexp_extract("file", "session_id=([^/]+)", 1)
+    return R.read_numbered_lines(spark, folder, max_lines=100).select(session.alias("session_id"), "line_no", F.col("line").alias("raw_line"))
+
+
+@query("s03_split_csv", """
+SELECT doc_id, source, regexp_replace(text, '\r\n|\r', chr(10), 'g') AS text FROM documents
+""")
+def split_csv(spark, sf_dir):
+    """Whole texts with their quotes and line breaks as CSV, read from files that are split anywhere."""
+    folder = new_folder(spark, "split-csv")
+    T.table(spark, sf_dir, "documents").select("doc_id", "source", "text").repartition(2).write.csv(folder, header=True, escape='"', emptyValue="")
+    records = R.read_csv_records(spark, folder).filter("record_no > 0")
+    row = F.from_csv("record", "doc_id bigint, source string, text string", {"escape": '"', "maxCharsPerColumn": "-1"})
+    return records.select(row.alias("r")).select("r.doc_id", "r.source", F.coalesce("r.text", F.lit("")).alias("text"))
+
+
+def _merged(spark, sf_dir) -> LogTable:
+    """The log view written in overlapping halves, one of them twice."""
+    logs = T.logs(spark, sf_dir).select("id", "timestamp", "level", "service", "message", "event_id")
+    table = LogTable(spark, new_folder(spark, "log-table"))
+    for some in ("event_id % 3 < 2", "event_id % 3 < 2", "event_id % 3 > 0"):
+        table.merge(logs.filter(some))
+    return table
+
+
+@query("s08_merge_rows", sql(LOGS, "SELECT id, timestamp, level, service, message FROM logs"))
+def merge_rows(spark, sf_dir):
+    return _merged(spark, sf_dir).read().drop("event_id")
+
+
+@query("m03_expired_dates", sql(LOGS, "SELECT id, level FROM logs WHERE timestamp >= TIMESTAMP '2024-01-15 00:00:00'"))
+def expired_dates(spark, sf_dir):
+    table = _merged(spark, sf_dir)
+    table.expire(F.lit("2024-01-15 10:00:00").cast("timestamp"))
+    return table.read().select("id", "level")
+
+
+@query("m04_rewritten_rows", sql(LOGS, """
+SELECT id, CASE WHEN event_id % 7 = 1 THEN 'changed' ELSE message END AS message FROM logs WHERE event_id % 7 <> 0
+"""))
+def rewritten_rows(spark, sf_dir):
+    table = _merged(spark, sf_dir)
+    logs = T.logs(spark, sf_dir).select("id", "timestamp", "level", "service", "message", "event_id")
+    table.delete(logs.filter("event_id % 7 = 0"))
+    table.replace(logs.filter("event_id % 7 = 1").withColumn("message", F.lit("changed")))
+    return table.read().select("id", "message")
+
+
 # ---------------------------------------------------------------- parsing expressions
 
 @query("p01_timestamp", sql(LOGS, "SELECT id, date_trunc('second', timestamp) AS parsed FROM logs"))

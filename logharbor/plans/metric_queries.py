@@ -16,6 +16,7 @@ from logharbor.plans import tables as T
 from logharbor.plans.ingest_queries import DAILY_ALERTS, daily_alerts, ingest_time
 from logharbor.plans.registry import query
 from logharbor.plans.snippets import ALERTS, CLUSTERS, ERRORS, FLAGS, INCIDENTS, LABELS, LOGS, PARSED, hits, sql
+from logharbor.session import cut_lineage
 from logharbor.sources.readers import parse_lines
 
 
@@ -267,6 +268,33 @@ def latency_percentiles(spark, sf_dir):
     return out.select("window_start", *[F.round(c, 6).alias(c) for c in ("p50_ms", "p95_ms", "p99_ms")])
 
 
+@query("a15_percentiles_by_selection", """
+SELECT date_trunc('day', ts) AS window_start, round(quantile_cont(value, 0.5), 6) AS p50_ms,
+       round(quantile_cont(value, 0.95), 6) AS p95_ms, round(quantile_cont(value, 0.99), 6) AS p99_ms FROM events GROUP BY 1
+""")
+def percentiles_by_selection(spark, sf_dir):
+    """The way of windows with more values than a task may gather."""
+    samples = T._utc(T.table(spark, sf_dir, "events"))
+    counted = samples.groupBy(A.window_start("ts", 86400).alias("window_start"), F.col("value").alias("ms")).agg(F.count("*").alias("n"))
+    ranks = (0.5, 0.95, 0.99)
+    found = A.percentiles_by_selection(cut_lineage(counted), ranks)
+    return found.groupBy("window_start").agg(*[
+        F.round(F.max(F.when(F.col("p") == p, F.col("value"))), 6).alias(c) for p, c in zip(ranks, ("p50_ms", "p95_ms", "p99_ms"), strict=True)])
+
+
+@query("a15_rolled_up_sketches", """
+SELECT date_trunc('day', ts) AS window_start, count(*) AS n, true AS p50_close, true AS p95_close, true AS p99_close FROM events GROUP BY 1
+""")
+def rolled_up_sketches(spark, sf_dir):
+    """Daily percentiles from hourly sketches; close if their rank is within 5 % of the wanted one."""
+    samples = T._utc(T.table(spark, sf_dir, "events")).select("ts", F.col("value").alias("ms"))
+    rolled = A.rolled_up_percentiles(A.latency_sketches(samples, 3600), 86400)
+    joined = samples.select(A.window_start("ts", 86400).alias("window_start"), "ms").join(rolled, "window_start")
+    close = [((F.avg((F.col("ms") < F.col(c)).cast("int")) <= p + 0.05) & (F.avg((F.col("ms") <= F.col(c)).cast("int")) >= p - 0.05)).alias(
+        f"{c[:3]}_close") for p, c in ((0.5, "p50_ms"), (0.95, "p95_ms"), (0.99, "p99_ms"))]
+    return joined.groupBy("window_start", "n").agg(*close)
+
+
 @query("a16_running_totals", sql(LOGS, """
 SELECT batch, n, sum(n) OVER (ORDER BY batch)::BIGINT AS running_total
 FROM (SELECT date_trunc('hour', timestamp) AS batch, count(*) AS n FROM logs GROUP BY 1)

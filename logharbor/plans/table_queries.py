@@ -141,13 +141,15 @@ def affected_services(spark, sf_dir):
 
 
 @query("j05_vectors_for_ids", sql(LOGS, """
-SELECT l.id AS log_id, e.embedding[1]::DOUBLE AS first_value, len(e.embedding) AS dimension
+SELECT l.id AS log_id, len(e.embedding) AS dimension,
+       array_to_string(list_transform(e.embedding, lambda x: CAST(floor(x::DOUBLE * 1000000) AS BIGINT)), '|') AS vector
 FROM logs l JOIN embeddings e ON l.id = CAST(e.vec_id AS VARCHAR) WHERE l.level = 'ERROR'
 """))
 def vectors_for_ids(spark, sf_dir):
     ids = T.logs(spark, sf_dir).filter("level = 'ERROR'").select("id")
     found = J.vectors_for_ids(ids, T.embedding_records(spark, sf_dir))
-    return found.select("log_id", F.element_at("embedding", 1).alias("first_value"), F.size("embedding").alias("dimension"))
+    whole = F.array_join(F.transform("embedding", lambda x: F.floor(x.cast("double") * 1000000).cast("string")), "|")
+    return found.select("log_id", F.size("embedding").alias("dimension"), whole.alias("vector"))
 
 
 @query("j06_logs_for_ids", sql(LOGS, "SELECT id, level, message FROM logs WHERE id IN (SELECT CAST(doc_id AS VARCHAR) FROM labels)"))

@@ -123,13 +123,14 @@ def _cos(a: str, b: str) -> str:
 
 
 @query("v02_l2_normalise", """
-WITH n AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)
-SELECT vec_id, round(e[1] / sqrt(list_dot_product(e, e)), 6) AS first_value,
-       round(e[64] / sqrt(list_dot_product(e, e)), 6) AS last_value FROM n
+WITH n AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+u AS (SELECT vec_id, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS u FROM n)
+SELECT vec_id, array_to_string(list_transform(u, lambda x: CAST(floor(x * 1000000 + 0.5) AS BIGINT)), '|') AS unit FROM u
 """)
 def l2_normalise(spark, sf_dir):
+    """Whole unit vectors, in millionths."""
     unit = T.table(spark, sf_dir, "embeddings").withColumn("u", V.l2_normalise(F.col("embedding")))
-    return unit.select("vec_id", F.round(F.element_at("u", 1), 6).alias("first_value"), F.round(F.element_at("u", -1), 6).alias("last_value"))
+    return unit.select("vec_id", F.array_join(F.transform("u", lambda x: F.floor(x * 1000000 + 0.5).cast("string")), "|").alias("unit"))
 
 
 @query("v03_cosine", f"""

@@ -167,3 +167,24 @@ def test_context_without_store(spark):
     queries = spark.createDataFrame([("i1", "some text")], "id string, text string")
     store = spark.createDataFrame([], "id string, title string, text string")
     assert R.retrieval_context(queries, store).first().similar == "No similar past incidents found."
+
+
+def test_percentiles_of_large_windows_are_selected(spark, monkeypatch):
+    """Ties, negative, tiny, huge and infinite values; no window may be gathered."""
+    import random
+
+    import numpy as np
+
+    from logharbor.operators import metrics as M
+
+    rnd = random.Random(3)
+    values = [0.0, -1.5, 1e-300, 1e300, -1e300, float("inf"), 7.0, 7.0] + [rnd.expovariate(0.01) for _ in range(600)]
+    rows = [(T0 + timedelta(seconds=rnd.randrange(3 * 60)), rnd.choice(values)) for _ in range(2500)] + [(T0 + timedelta(hours=1), 4.25)]
+    samples = spark.createDataFrame(rows, "ts timestamp, ms double")
+    plain = {tuple(r)[0]: tuple(r)[1:] for r in M.latency_percentiles(samples, 60).collect()}
+    monkeypatch.setattr(M, "GATHERED_VALUES", 0)
+    monkeypatch.setattr(M, "VALUE_BINS", 4)
+    got = {tuple(r)[0]: tuple(r)[1:] for r in M.latency_percentiles(samples, 60).collect()}
+    assert got.keys() == plain.keys()
+    for k, v in got.items():
+        assert np.allclose(v, plain[k])
