@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logharbor import constants as K
-from logharbor.operators.detection import alert_rules
+from logharbor.operators.detection import alert_rules, queue_measures, threshold_alerts
 from logharbor.plans import tables as T
 from logharbor.plans.ingest_queries import ingest_time
 from logharbor.plans.registry import query
@@ -14,6 +14,8 @@ from logharbor.plans.snippets import CLUSTERS, ERRORS, FLAGS, LOGS, PARSED, hits
 from logharbor.session import new_folder
 from logharbor.streaming import jobs as J
 from logharbor.streaming.ingest import LiveTables, run_ingest
+from logharbor.sources.readers import parse_lines, read_lines
+from logharbor.streaming.run_metrics import backlog, drop_replays_within, run_counted, write_with_audit
 
 
 def events_stream(spark, sf_dir) -> DataFrame:
@@ -158,6 +160,53 @@ def timeline_shuffled(spark, sf_dir):
     return drained(J.timeline_stream(shuffled_logs_stream(spark, sf_dir)), "timeline", ["bucket"])
 
 
+@query("w06_expiring_replays", sql(LOGS, "SELECT id, level FROM logs"))
+def expiring_replays(spark, sf_dir):
+    """Every row twice, in dates order dealt to files and again in another order; only ten dates are remembered."""
+    twice = shuffled_logs_stream(spark, sf_dir).select("id", "timestamp", "level").union(
+        shuffled_logs_stream(spark, sf_dir, 5).select("id", "timestamp", "level"))
+    kept, aside = drop_replays_within(twice, *folders(spark, "expiring"), days=10)
+    return kept.unionByName(aside).select("id", "level")
+
+
+@query("r09_stream_backlog", sql(LOGS, """
+SELECT b.batch_id, b.total_lines, b.depth, b.depth >= 1000 AS firing FROM (
+  SELECT i AS batch_id, count(*) FILTER (event_id % 4 = i) AS total_lines, count(*) FILTER (event_id % 4 > i) AS depth
+  FROM logs, (SELECT unnest([0, 1, 2, 3])::BIGINT AS i) GROUP BY i) b
+"""))
+def stream_backlog(spark, sf_dir):
+    """Lines in four files, one a batch; the depth after each batch feeds the saturation rule."""
+    lines = T.logs(spark, sf_dir).select("event_id", F.col("raw_line").alias("line"))
+    folder, (out, state) = new_folder(spark, "backlog"), folders(spark, "backlog-out")
+    for i in range(4):
+        lines.filter(f"event_id % 4 = {i}").coalesce(1).write.mode("append").parquet(folder)
+    stream = J.file_stream(spark, folder, lines.schema, maxFilesPerTrigger=1)
+    rows = new_folder(spark, "backlog-rows")
+
+    def write(batch, batch_id):
+        parse_lines(batch, ingest_time()).write.mode("overwrite").parquet(J.batch_folder(rows, batch_id))
+
+    depths = backlog(run_counted(stream, write, out, state), lines.count())
+    fired = threshold_alerts(queue_measures(depths, ["batch_id"]).withColumn("at", F.timestamp_seconds("batch_id")), alert_rules(spark), "at", ["batch_id"])
+    return depths.join(fired.select("batch_id", F.lit(True).alias("firing")), "batch_id", "left").select(
+        "batch_id", "total_lines", "depth", F.coalesce("firing", F.lit(False)).alias("firing"))
+
+
+@query("s11_observed_audit", sql(LOGS, """
+SELECT 'run' AS id, 'file_upload' AS source, (count(*) + count(*) FILTER (event_id % 89 = 0))::BIGINT AS total_lines,
+  count(*) AS processed_lines, count(*) FILTER (event_id % 89 = 0) AS error_lines, 'completed' AS status FROM logs
+"""))
+def observed_audit(spark, sf_dir):
+    """The audit row of a file job, counted by the job itself."""
+    logs = T.logs(spark, sf_dir)
+    folder, out = new_folder(spark, "audited"), new_folder(spark, "audited-rows")
+    logs.select("raw_line").unionByName(logs.filter("event_id % 89 = 0").select(F.lit("  ").alias("raw_line"))).write.text(folder)
+    audit = write_with_audit(
+        read_lines(spark, folder), lambda lines: parse_lines(lines, ingest_time()).write.parquet(out), "run", "file_upload",
+        ingest_time(), ingest_time())
+    return audit.drop("started_at", "completed_at")
+
+
 # ---------------------------------------------------------------- the whole ingest job
 
 # Words that make the message of some lines their own, so that texts grow with the input and many stay alone.
