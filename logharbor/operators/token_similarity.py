@@ -18,7 +18,9 @@ shorter prefix).  Texts are therefore joined on prefix tokens only.
   ``i`` on takes part, and texts with the same size and the same suffix are one row
   in the join.  Lines of one template that differ in ids or hosts share the suffix
   made of the template's common words, so a template with a third of all texts
-  joins as one row instead of its square.
+  joins as one row instead of its square.  Different suffixes of a hot token are
+  joined on it and a second common token, which lies in a short prefix of both again:
+  only texts so small that one common token is enough need no second one.
 """
 
 from __future__ import annotations
@@ -147,17 +149,16 @@ def _cold_pairs(rows: DataFrame, ranked: DataFrame, threshold: tuple[int, int])
         left.join(right, "token")
         .filter(_sizes_fit(threshold) & (room >= needed))
         .filter("n_a < n_b OR ia < ib")
-        .select("ia", "ib").distinct()
+        .select("ia", "ib", "n_a", "n_b").distinct()
     )
-    a, b = (
-        ranked.select(F.col("id").alias(f"i{x}"), F.col("n").alias(f"n_{x}"),
-                      F.col("toks").alias(f"t{x}"), F.col("bits").alias(f"bits_{x}"))
-        for x in "ab"
-    )
-    possible = overlap_bound(n_a, n_b, F.col("bits_a"), F.col("bits_b")) >= needed
+    # signatures rule out most candidates before any token array moves
+    for x in "ab":
+        candidates = candidates.join(ranked.select(F.col("id").alias(f"i{x}"), F.col("bits").alias(f"bits_{x}")), f"i{x}")
+    possible = candidates.filter(overlap_bound(n_a, n_b, F.col("bits_a"), F.col("bits_b")) >= needed).drop("bits_a", "bits_b")
+    for x in "ab":
+        possible = possible.join(ranked.select(F.col("id").alias(f"i{x}"), F.col("toks").alias(f"t{x}")), f"i{x}")
     overlap = F.size(F.array_intersect("ta", "tb"))
-    checked = candidates.join(a, "ia").join(b, "ib").filter(possible & (overlap >= needed))
-    return checked.select("ia", "ib", "n_a", "n_b", overlap.alias("m"))
+    return possible.filter(overlap >= needed).select("ia", "ib", "n_a", "n_b", overlap.alias("m"))
 
 
 def _suffix_members(rows: DataFrame, ranked: DataFrame) -> DataFrame:
@@ -169,30 +170,49 @@ def _suffix_members(rows: DataFrame, ranked: DataFrame) -> DataFrame:
 
 
 def _suffix_nodes(members: DataFrame) -> DataFrame:
-    """Distinct suffixes with their smallest member id and member count."""
+    """Distinct suffixes with their smallest member id and member count.
+
+    Written, as the matches read them several times.
+    """
+    return cut_lineage(_grouped_suffixes(members))
+
+
+def _grouped_suffixes(members: DataFrame) -> DataFrame:
     return members.groupBy("node", "token", "n", "suffix", "short").agg(
         F.min("id").alias("rep"), F.count("*").alias("members")
     )
 
 
+def _second_tokens(nodes: DataFrame, overlap: Column, side: str) -> DataFrame:
+    """Tokens that can be the second common one of a suffix, given the least overlap its size allows."""
+    after = F.slice("suffix", F.lit(2), F.greatest(F.size("suffix") - overlap + 1, F.lit(0)))
+    return nodes.select("token", F.explode(after).alias("second"), F.col("node").alias(f"node_{side}"), F.col("n").alias(f"n_{side}"),
+                        F.size("suffix").alias(f"left_{side}"))
+
+
+def suffix_candidates(nodes: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """Pairs of suffixes of a hot token that share a possible second token and whose sizes fit."""
+    num, den = threshold
+    n_a, n_b = F.col("n_a"), F.col("n_b")
+    left = _second_tokens(nodes.filter("short"), _ceil_div(F.col("n") * num, den), "a")
+    right = _second_tokens(nodes, _ceil_div(F.col("n") * num * num, den * den), "b")
+    room = F.least("left_a", "left_b") >= least_overlap(n_a, n_b, threshold)
+    met = left.join(right, ["token", "second"]).filter(_sizes_fit(threshold) & room)
+    columns = ("token", "node_a", "node_b", "n_a", "n_b")
+    # texts so small that one common token makes them similar: all that meet here are results
+    tiny = nodes.filter(F.col("n") * (num * num) <= den * den)
+    a, b = (rows.select("token", F.col("node").alias(f"node_{x}"), F.col("n").alias(f"n_{x}")) for x, rows in (("a", tiny.filter("short")), ("b", tiny)))
+    alike = a.join(b, "token").filter(_sizes_fit(threshold) & (least_overlap(n_a, n_b, threshold) <= 1))
+    return met.select(*columns).unionByName(alike.select(*columns)).distinct()
+
+
 def _suffix_matches(nodes: DataFrame, threshold: tuple[int, int]) -> DataFrame:
     """Pairs of suffixes whose texts are similar, smaller text on the left."""
-    left = nodes.filter("short").select(
-        F.col("node").alias("node_a"), "token", F.col("n").alias("n_a"),
-        F.col("suffix").alias("suffix_a"), F.col("rep").alias("rep_a"),
-    )
-    right = nodes.select(
-        F.col("node").alias("node_b"), "token", F.col("n").alias("n_b"),
-        F.col("suffix").alias("suffix_b"), F.col("rep").alias("rep_b"),
-    )
-    n_a, n_b = F.col("n_a"), F.col("n_b")
-    needed = least_overlap(n_a, n_b, threshold)
-    room = F.least(F.size("suffix_a"), F.size("suffix_b")) >= needed
+    met = suffix_candidates(nodes, threshold)
+    for x in "ab":
+        met = met.join(nodes.select(F.col("node").alias(f"node_{x}"), F.col("suffix").alias(f"suffix_{x}"), F.col("rep").alias(f"rep_{x}")), f"node_{x}")
     overlap = F.size(F.array_intersect("suffix_a", "suffix_b"))
-    return (
-        left.join(right, "token").filter(_sizes_fit(threshold) & room & (overlap >= needed))
-        .select("token", "node_a", "rep_a", "node_b", "rep_b")
-    )
+    return met.filter(overlap >= least_overlap(F.col("n_a"), F.col("n_b"), threshold)).select("token", "node_a", "rep_a", "node_b", "rep_b")
 
 
 def _by_heat(

@@ -247,3 +247,22 @@ def test_top_k_scores_few_of_the_pairs_that_share_a_token(spark, k):
     (q_sets, _), (d_sets, _) = S._token_sets(q), S._token_sets(d)
     scored = S.near_sets(q_sets, d_sets, k).count()
     assert scored < q_sets.count() * d_sets.count() / 4, scored  # all pairs share "the"
+
+
+def test_hot_tokens_are_joined_on_pairs_of_tokens(spark):
+    """All tokens are hot and texts differ: candidates stay far below the pairs that share a token, links stay exact."""
+    rnd = random.Random(11)
+    texts = [(f"t{i:04d}", " ".join(f"w{x}" for x in rnd.sample(range(120), 9))) for i in range(1200)]
+    texts += [(f"u{i:04d}", texts[i][1] + " w5") for i in range(0, 100)] + [(f"s{i}", "w7") for i in range(150)]
+    frame = spark.createDataFrame(texts, "id string, text string")
+    ranked = S.rank_tokens(frame).cache()
+    cold, hot = S._by_heat(ranked, (3, 4), 20)
+    nodes = S._suffix_nodes(S._suffix_members(hot, ranked))
+    shared = nodes.alias("a").join(nodes.alias("b"), "token").count()
+    met = S.suffix_candidates(nodes, (3, 4)).count()
+    assert met < shared / 4, (met, shared)
+    got = {tuple(sorted((r.id_a, r.id_b))) for r in S.similar_pairs(ranked, hot_posting=20).collect()}
+    sets = {i: tokens(x) for i, x in texts}
+    want = {(a, b) for a, b in itertools.combinations(sorted(sets), 2)
+            if 16 * len(sets[a] & sets[b]) ** 2 >= 9 * len(sets[a]) * len(sets[b])}
+    assert got == want
