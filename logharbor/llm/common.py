@@ -6,7 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from logharbor.session import new_folder
 
@@ -43,6 +44,19 @@ def save(df: DataFrame, name: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(folder)
 
 
+def packed(docs: DataFrame, **columns: Column) -> DataFrame:
+    """The rows as a struct ``row`` beside the given columns, so that no column of the input clashes with them."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), *(c.alias(n) for n, c in columns.items()))
+
+
+def free_name(columns: list[str], name: str) -> str:
+    """The name, with a number if a column is called so already."""
+    taken, n, found = {c.lower() for c in columns}, 2, name
+    while found.lower() in taken:
+        found, n = f"{name}_{n}", n + 1
+    return found
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Finaliser of the public splitmix64 generator, on uint64."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

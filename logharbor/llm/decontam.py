@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logharbor.llm.common import save, table
+from logharbor.llm.common import packed, save, table
 
 #: Items of fewer words are matched whole.
 LEAST_WORDS = 10
@@ -97,8 +97,8 @@ def leaks(docs: DataFrame, items: DataFrame, stretch: int = STRETCH, agree: floa
 def without_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows into which no item has leaked, with all their columns."""
     bad = leaks(docs, items).select(F.col("doc_id").alias("bad_id"), F.col("text_key").alias("bad_key")).distinct()
-    on = docs.doc_id.eqNullSafe(bad.bad_id) & (F.xxhash64(docs.text) == bad.bad_key)
-    return docs.join(bad, on, "left_anti")
+    rows = packed(docs, id=F.col("doc_id"), key=F.xxhash64("text"))
+    return rows.join(bad, F.col("id").eqNullSafe(F.col("bad_id")) & (F.col("key") == F.col("bad_key")), "left_anti").select("row.*")
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

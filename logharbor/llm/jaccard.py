@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logharbor.llm.common import Words, mix, save, signed, slices, table
+from logharbor.llm.common import Words, mix, packed, save, signed, slices, table
 from logharbor.operators.components import connected_components
 
 SHINGLE = 5
@@ -70,14 +70,14 @@ def least_overlap(n):
 def _sets_task(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            doc, at, size, key = batch.column("doc_id"), [], [], []
+            at, size, key = [], [], []
             for row, _, tokens in token_sets(batch.column("text"), shingle):
                 at.append(row)
                 size.append(len(tokens))
                 key.append(set_key(tokens))
+            taken = [batch.column(c).take(pa.array(at, pa.int64())) for c in ("doc_id", "text_key")]
             yield pa.RecordBatch.from_arrays(
-                [doc.take(pa.array(at, pa.int64())), pa.array(size, pa.int64()), pa.array(key, pa.int64())],
-                ["doc_id", "n_shingles", "set_id"])
+                [*taken, pa.array(size, pa.int64()), pa.array(key, pa.int64())], ["doc_id", "text_key", "n_shingles", "set_id"])
     return run
 
 
@@ -332,13 +332,20 @@ def _joined(docs: DataFrame, ids: DataFrame, dealt: DataFrame, shingle: int, nam
 
     Sets travel as the texts they are made from, which compress; hashes do not.
     """
-    dealt = save(dealt.join(ids, "set_id").select("doc_id", "task", "role"), f"{name}_dealt")
+    dealt = dealt.join(ids, "set_id").select(F.col("doc_id").alias("dealt_id"), F.col("text_key").alias("dealt_key"), "task", "role")
+    dealt = save(dealt, f"{name}_dealt")
     few = dealt.count() <= BROADCAST_IDS
-    rows = docs.join(F.broadcast(dealt) if few else dealt, "doc_id").select("task", "role", "text")
+    on = (F.col("text_key") == F.col("dealt_key")) & F.col("doc_id").eqNullSafe(F.col("dealt_id"))
+    rows = docs.join(F.broadcast(dealt) if few else dealt, on).select("task", "role", "text")
     rows = rows.repartition("task").sortWithinPartitions("task", "role")
     return save(rows.mapInArrow(_blocks_task(shingle), "u bigint, v bigint"), name)
 
 
+def _first() -> F.Column:
+    """Orders documents by id, then text; those without an id come last."""
+    return F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")
+
+
 def jaccard_links(docs: DataFrame, sets: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """Links ``u``, ``v`` of set ids that connect exactly what all similar pairs connect."""
     found = save(_shared_tokens(docs, shingle, token_levels(docs, shingle)), "shared")
@@ -349,8 +356,9 @@ def jaccard_links(docs: DataFrame, sets: DataFrame, shingle: int = SHINGLE) -> D
     sizes = near.groupBy("hub").agg(F.count("*").alias("n"))
     blocks = save(near.join(sizes, "hub").select(
         "set_id", "hub", "n", F.expr(f"xxhash64(hub, pmod(xxhash64(set_id), ceil(n / {BLOCK_SETS})))").alias("block")), "blocks")
-    ids = sets.join(blocks.select("set_id"), "set_id", "left_semi").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
-    ids = save(ids, "ids")
+    # any document may stand for a set, also one without an id
+    ids = sets.join(blocks.select("set_id"), "set_id", "left_semi").groupBy("set_id").agg(F.min(_first()).alias("first"))
+    ids = save(ids.select("set_id", "first.doc_id", "first.text_key"), "ids")
     inner = _joined(docs, ids, blocks.filter("n > 1").select("set_id", F.col("block").alias("task"), F.lit(_MEMBER).alias("role")),
                     shingle, "inner")
 
@@ -391,6 +399,24 @@ def jaccard_links(docs: DataFrame, sets: DataFrame, shingle: int = SHINGLE) -> D
     return inner.unionByName(outer).unionByName(_joined(docs, ids, hosts.unionByName(guests), shingle, "met"))
 
 
+def _grouped(docs: DataFrame, shingle: int) -> DataFrame:
+    """``doc_id``, ``text_key``, ``n_shingles``, ``component_id`` and ``first``, the document that stands for the component."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
+    sets = save(docs.mapInArrow(_sets_task(shingle), "doc_id bigint, text_key bigint, n_shingles bigint, set_id bigint"), "sets")
+    filled = sets.filter("n_shingles > 0")
+    links = save(jaccard_links(docs, filled, shingle), "links")
+    roots = connected_components(links)
+    firsts = filled.groupBy("set_id").agg(F.min(_first()).alias("first"))
+    named = firsts.join(roots, firsts.set_id == roots.id, "left").select("set_id", "first", F.coalesce("root", "set_id").alias("root"))
+    named = save(named, "roots")
+    # written, so that the join below is not bound to the root's partition and can be split
+    least = save(named.groupBy("root").agg(F.min("first").alias("first")), "least")
+    named = save(named.select("set_id", "root").join(least, "root").select("set_id", "first"), "named")
+    part = filled.join(named, "set_id").select("doc_id", "text_key", "n_shingles", F.col("first.doc_id").alias("component_id"), "first")
+    rest = sets.filter("n_shingles = 0").select("doc_id", "text_key", "n_shingles", F.col("doc_id").alias("component_id"), _first().alias("first"))
+    return part.unionByName(rest)
+
+
 def jaccard_groups(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """``doc_id``, ``n_shingles``, ``component_id`` of every document.
 
@@ -406,33 +432,23 @@ def jaccard_groups(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     and only sets that are in different parts still visit each other's blocks.
 
     Null, empty and wordless texts have no shingles and are their own component.
-    A null id is a document of its own set, and never names a component unless
-    alone.  Repeated rows give repeated rows.  Other columns are ignored.  Sets and
+    A document without an id links like any other, but names no component unless
+    it has no other.  Repeated rows give repeated rows.  Other columns are ignored.  Sets and
     shingles are compared by 64-bit and 62-bit hashes.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sets = save(docs.mapInArrow(_sets_task(shingle), "doc_id bigint, n_shingles bigint, set_id bigint"), "sets")
-    filled = sets.filter("n_shingles > 0")
-    links = save(jaccard_links(docs, filled, shingle), "links")
-    roots = connected_components(links)
-    low = filled.groupBy("set_id").agg(F.min("doc_id").alias("low"))
-    named = low.join(roots, low.set_id == roots.id, "left").select(
-        "set_id", "low", F.coalesce("root", "set_id").alias("root"))
-    least = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = save(named.join(least, "root").select("set_id", "component_id"), "named")
-    part = filled.join(named, "set_id").select("doc_id", "n_shingles", "component_id")
-    rest = sets.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return part.unionByName(rest)
+    return _grouped(docs, shingle).select("doc_id", "n_shingles", "component_id")
 
 
 def one_per_group(docs: DataFrame) -> DataFrame:
-    """The rows of the document that names each component.
+    """One row of each component: of the smallest id, or of the smallest text hash where none has an id.
 
-    Of repeated rows one stays; rows without an id stay as they are.
+    Of repeated rows, the same in id and text, one stays.
     """
-    names = jaccard_groups(docs.filter("doc_id IS NOT NULL")).filter("doc_id = component_id").select("doc_id")
-    kept = docs.join(names.distinct(), "doc_id", "left_semi").dropDuplicates()
-    return kept.unionByName(docs.filter("doc_id IS NULL"))
+    first = _grouped(docs, SHINGLE).filter(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_key") == F.col("first.text_key")))
+    first = first.select(F.col("doc_id").alias("first_id"), F.col("text_key").alias("first_key")).distinct()
+    rows = packed(docs, id=F.col("doc_id").cast("long"), key=F.xxhash64("text"))
+    kept = rows.join(first, F.col("id").eqNullSafe(F.col("first_id")) & (F.col("key") == F.col("first_key")), "left_semi")
+    return kept.dropDuplicates(["id", "key"]).select("row.*")
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from logharbor.llm.common import save, table
+from logharbor.llm.common import free_name, packed, save, table
 
 #: Weights of the sources in order, repeating; the most copies of a document.
 WEIGHTS, MOST = (5, 2, 1), 3
@@ -84,16 +84,18 @@ def mixture(docs: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The documents of the mix with all their columns, each repeated ``copies`` times, and ``copy`` from 1."""
-    taken = mixture(docs).filter("copies > 0").select(F.col("doc_id").alias("mix_id"), F.col("text_key").alias("mix_key"), "copies")
-    taken = taken.groupBy("mix_id", "mix_key").agg(F.sort_array(F.collect_list("copies")).alias("mixed"))
-    same = Window.partitionBy("doc_id", "mix_text").orderBy(F.lit(1))
+    """The documents of the mix with all their columns, each repeated ``copies`` times, and ``copy`` from 1.
+
+    A column ``copy`` of the input stays as it is; the number is then ``copy_2``.
+    """
+    taken = mixture(docs).filter("copies > 0").groupBy(F.col("doc_id").alias("mix_id"), F.col("text_key").alias("mix_key")).agg(
+        F.sort_array(F.collect_list("copies")).alias("mixed"))
+    rows = packed(docs, id=F.col("doc_id"), key=F.xxhash64("text"))
     # equal rows share the list of their copies
-    rows = docs.withColumn("mix_text", F.xxhash64("text")).withColumn("mix_place", F.row_number().over(same))
-    on = rows.doc_id.eqNullSafe(taken.mix_id) & (rows.mix_text == taken.mix_key)
-    joined = rows.join(taken, on).filter(F.col("mix_place") <= F.size("mixed"))
-    copies = F.element_at("mixed", F.col("mix_place").cast("int")).cast("int")
-    return joined.select(*docs.columns, F.explode(F.sequence(F.lit(1), copies)).alias("copy"))
+    rows = rows.withColumn("place", F.row_number().over(Window.partitionBy("id", "key").orderBy(F.lit(1))))
+    joined = rows.join(taken, F.col("id").eqNullSafe(F.col("mix_id")) & (F.col("key") == F.col("mix_key"))).filter(F.col("place") <= F.size("mixed"))
+    copies = F.element_at("mixed", F.col("place").cast("int")).cast("int")
+    return joined.select("row", F.explode(F.sequence(F.lit(1), copies)).alias("n")).select("row.*", F.col("n").alias(free_name(docs.columns, "copy")))
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

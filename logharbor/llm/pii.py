@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logharbor.llm.common import Words, save, signed, slices, table
+from logharbor.llm.common import Words, free_name, packed, save, signed, slices, table
 
 KINDS = ("email", "ip", "card", "phone")
 #: Share of an entity's information content that a term must give away, and the
@@ -249,7 +249,7 @@ def _mask_task(names: list[str], column: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(column).to_pylist()
-            base, terms = batch.column("spans_base").to_pylist(), batch.column("spans_terms").to_pylist()
+            base, terms = (batch.column(len(names) + k).to_pylist() for k in range(2))
             for i, text in enumerate(texts):
                 cuts = [(s["a"], s["b"], f"[{KINDS[s['kind']].upper()}]") for s in base[i] or ()]
                 cuts += [(s["a"], s["b"], "[TERM]") for s in terms[i] or ()]
@@ -272,8 +272,8 @@ def sanitise(docs: DataFrame) -> DataFrame:
     Overlapping spans become one, named by the first.  A null text stays null.
     """
     found = find_personal_data(docs).filter("size(base) > 0").dropDuplicates(["doc_id", "text_key"])
-    found = found.select(F.col("doc_id").alias("span_id"), F.col("text_key").alias("span_key"),
-                         F.col("base").alias("spans_base"), F.col("terms").alias("spans_terms"))
-    on = docs.doc_id.cast("long").eqNullSafe(found.span_id) & (F.xxhash64(docs.text) == found.span_key)
-    joined = docs.join(found, on, "left").select(*(docs[c] for c in docs.columns), "spans_base", "spans_terms")
-    return joined.mapInArrow(_mask_task(docs.columns, docs.columns.index("text")), docs.schema)
+    found = found.select(F.col("doc_id").alias("span_id"), F.col("text_key").alias("span_key"), "base", "terms")
+    rows = packed(docs, id=F.col("doc_id").cast("long"), key=F.xxhash64("text"))
+    joined = rows.join(found, F.col("id").eqNullSafe(F.col("span_id")) & (F.col("key") == F.col("span_key")), "left")
+    spans = [F.col(n).alias(free_name(docs.columns, f"spans_{n}")) for n in ("base", "terms")]
+    return joined.select("row.*", *spans).mapInArrow(_mask_task(docs.columns, docs.columns.index("text")), docs.schema)

@@ -213,6 +213,13 @@ def test_terms_are_masked_wherever_they_stand(spark):
 def test_mix_meets_targets(spark, table):
     mix = mixing.mixture(table).collect()
     assert all(0 <= r.taken <= 3 * r.size for r in mix) and len(mix) == table.count()
+    words, target, most = {}, {}, {}
+    sources = {r.doc_id: r.source for r in table.collect()}
+    for r in mix:
+        source = sources[r.doc_id]
+        words[source] = words.get(source, 0) + r.taken
+        target[source], most[source] = r.target, max(most.get(source, 0), r.size)
+    assert all(abs(words[k] - target[k]) <= 0.1 * target[k] + 3 * most[k] for k in target)
     again = {(r.doc_id, r.taken) for r in mixing.mixture(table.repartition(5)).collect()}
     assert again == {(r.doc_id, r.taken) for r in mix}
 

@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import pytest
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from logharbor.llm import jaccard, pii, toxicity
 from tests.llm import brute
@@ -36,3 +39,50 @@ def test_stages_take_effect(spark):
 def test_run_is_the_stages(spark):
     got = corpus_pipeline.run(spark, DIR)
     assert got.columns[-1] == "copy" and got.count() > 0
+
+
+CLASHES = ("copy", "mixed", "mix_text", "mix_place", "mix_id", "spans_base", "spans_terms", "base", "terms", "row", "id", "key", "place", "n",
+           "bad_id", "bad_key", "text_key", "task", "role", "score", "first", "first_id", "set_id", "span_id", "hit_id")
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Null ids, texts and sources, empty and repeated rows, a long text, and columns named like those that stages use inside."""
+    words = " ".join(f"word{i}" for i in range(60))
+    rows = [(1, words, "a"), (2, words + " end", "a"), (None, words + " end two", None), (None, words, "b"), (None, None, None), (3, "", "a"),
+            (3, "", "a"), (4, None, "b"), (5, " ".join(f"w{i % 977}" for i in range(40_000)), "b"), (6, "write to ann@example.com today please", "a"),
+            (6, "write to ann@example.com today please", "a"), (7, "another short text", None)]
+    docs = spark.createDataFrame([(i, t, "en", s, 1) for i, t, s in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    return docs.select("*", *(F.lit(f"mine {c}").alias(c) for c in CLASHES), F.create_map(F.lit("k"), F.lit(1)).alias("map"))
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_stages_take_odd_rows_and_names(spark, odd, name):
+    stage = dict(corpus_pipeline.STAGES)[name]
+    got = stage(spark, odd, DIR)
+    assert got.columns[:len(odd.columns)] == odd.columns
+    for r in got.collect():
+        assert all(r[c] == f"mine {c}" for c in CLASHES) and r["map"] == {"k": 1}
+    assert stage(spark, odd.limit(0), DIR).count() == 0
+    if name == "near_duplicates":
+        # all near copies are one group, also through rows without an id
+        left = sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in got.collect())
+        assert [x[:2] for x in left] == [(False, 1), (False, 3), (False, 4), (False, 5), (False, 6), (False, 7), (True, 0)]
+    if name == "personal_data":
+        assert {r.text for r in got.filter("doc_id = 6").collect()} == {"write to [EMAIL] today please"} and got.count() == odd.count()
+    if name == "mixing":
+        assert got.columns[-1] == "copy_2"
+
+
+def test_all_stages_in_a_row_on_odd_rows(spark, odd):
+    at = odd
+    for _, stage in corpus_pipeline.STAGES:
+        at = stage(spark, at, DIR)
+    assert at.count() > 0 and set(odd.columns) < set(at.columns)
+
+
+def test_links_go_through_documents_without_an_id(spark):
+    words = [f"w{i}" for i in range(60)]
+    a, b, c = " ".join(words), " ".join([*words[6:], *(f"x{i}" for i in range(6))]), " ".join([*words[12:], *(f"x{i}" for i in range(12))])
+    got = jaccard.jaccard_groups(spark.createDataFrame([(1, a), (None, b), (2, c)], "doc_id bigint, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == {1: 1, 2: 1, None: 1}
