@@ -19,10 +19,14 @@ NUMERATOR, DENOMINATOR = 75, 100
 SIGNATURE_BITS, FANOUT, BLOCK_SETS = 2048, 8, 256
 #: Tokens beyond the prefix whose rarity is looked at, as a share of the prefix.
 EXTENSION = 0.25
+#: Tokens that a set must share with a block to visit it (fewer where the extension is shorter); steers the plan only.
+SHARED = 3
 #: Buckets in which the tokens of all documents are counted by hash.  A bucket's
 #: excess over the usual one gives its tokens one of four levels, rare to common;
 #: levels steer the plan only.
 COUNT_BUCKETS, COUNT_STRETCH, LEVEL_EDGES = 1 << 18, 1 << 18, (1, 8, 64)
+#: Parts in which the sets of a token of the highest level are looked through.
+SALTS = 4096
 
 #: Visitors of a block that one task takes; ids up to which a list of documents is broadcast (16 bytes each).
 GUESTS, BROADCAST_IDS = 512, 1 << 22
@@ -155,7 +159,9 @@ def _prefix_batch(rows: list[tuple[np.ndarray, int, int]]) -> pa.RecordBatch:
         pa.array(signed(np.concatenate([t for t, _, _ in rows]))),
         pa.array(np.repeat(np.array([k for _, k, _ in rows], np.int64), sizes)),
         pa.array(np.repeat(np.array([n for _, _, n in rows], np.int32), sizes)),
-    ], ["token", "set_id", "size"])
+        # tokens of the set that follow
+        pa.array(np.concatenate([np.arange(n - 1, n - 1 - len(t), -1, dtype=np.int32) for t, _, n in rows])),
+    ], ["token", "set_id", "size", "rest"])
 
 
 class Tree:
@@ -319,12 +325,21 @@ def _need(size: str) -> str:
 
 
 def _shared_tokens(docs: DataFrame, shingle: int, levels: np.ndarray) -> DataFrame:
-    """Prefix tokens held by two different sets at least; ``low`` is the smallest of the sets."""
-    rows = docs.mapInArrow(_prefix_task(shingle, levels), "token bigint, set_id bigint, size int")
-    # a partial aggregation cannot thin these rows, so one shuffle carries them
-    held = rows.selectExpr(
-        "*", "min(set_id) OVER (PARTITION BY token) AS low", "max(set_id) OVER (PARTITION BY token) AS high")
-    return held.filter("low <> high").select("token", "set_id", "size", "low").distinct()
+    """Prefix tokens held by two different sets at least; ``low`` is the smallest of the sets.
+
+    A partial aggregation cannot thin these rows, so one shuffle carries them.  Tokens
+    below the highest level have few sets; the sets of a common one are looked
+    through in parts, whose results are combined.
+    """
+    rows = docs.mapInArrow(_prefix_task(shingle, levels), "token bigint, set_id bigint, size int, rest int")
+    rows = rows.selectExpr("*", "shiftrightunsigned(token, 62) = 3 AS common")
+    rows = rows.selectExpr("*", f"IF(common, pmod(set_id, {SALTS}), 0L) AS salt")
+    held = rows.selectExpr("*", "min(set_id) OVER (PARTITION BY token, salt) AS low", "max(set_id) OVER (PARTITION BY token, salt) AS high")
+    held = save(held.filter("common OR low <> high").distinct(), "held")
+    ends = held.filter("common").groupBy("token").agg(F.min("low").alias("least"), F.max("high").alias("most"))
+    common = held.filter("common").join(ends.filter("least <> most"), "token")
+    columns = ["token", "set_id", "size", "rest"]
+    return held.filter("NOT common").select(*columns, "low").unionByName(common.select(*columns, F.col("least").alias("low")))
 
 
 def _joined(docs: DataFrame, ids: DataFrame, dealt: DataFrame, shingle: int, name: str) -> DataFrame:
@@ -375,19 +390,24 @@ def jaccard_links(docs: DataFrame, sets: DataFrame, shingle: int = SHINGLE) -> D
     led = save(led, "led")
 
     # sets not joined yet visit the blocks of others that share a token
-    placed = save(found.select("token", "set_id", "size").join(led, "set_id"), "placed")
+    placed = save(found.select("token", "set_id", "size", "rest").join(led, "set_id"), "placed")
     mixed = placed.groupBy("token").agg(F.min("leader").alias("low"), F.max("leader").alias("high")).filter("low <> high")
     placed = save(placed.join(mixed.select("token"), "token", "left_semi"), "placed")
     others = placed.groupBy("token", F.col("block").alias("other")).agg(
-        F.min("leader").alias("low"), F.max("leader").alias("high"), F.min("size").alias("least"), F.max("size").alias("most"))
+        F.min("leader").alias("low"), F.max("leader").alias("high"), F.min("size").alias("least"), F.max("size").alias("most"),
+        F.max("rest").alias("most_rest"))
     smallest = f"((size * {NUMERATOR} + {DENOMINATOR - 1}) div {DENOMINATOR})"
+    need = f"least({SHARED}, {_need(smallest)})"
+    # of what a similar pair shares, the k-th token has overlap - k after it in both sets
+    within = f"(least(rest, most_rest) + {need}) * {NUMERATOR + DENOMINATOR}L >= (size + greatest(least, {smallest})) * {NUMERATOR}L"
     visits = (placed.join(others, "token")
               # one of the two directions, evenly; parts not joined yet, sizes in range
               .filter("block <> other AND ((block < other) = ((block ^ other) & 1 = 0)) AND (low <> leader OR high <> leader)")
               .filter(f"most >= {smallest} AND size * {DENOMINATOR}L >= least * {NUMERATOR}L")
+              .filter(within)
               # a partner has the smallest size at least, and the pair shares what that size needs
               .groupBy("set_id", F.col("other").alias("block")).agg(F.count("*").alias("n"), F.max("size").alias("size"))
-              .filter(f"n >= {_need(smallest)}").select("set_id", "block"))
+              .filter(f"n >= {need}").select("set_id", "block"))
     visits = save(visits, "visits")
     # many visitors of one block are dealt out to tasks that each hold its members
     chunks = visits.groupBy("block").agg(F.ceil(F.count("*") / GUESTS).alias("chunks"))

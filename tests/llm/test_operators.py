@@ -117,6 +117,24 @@ def test_jaccard_chains_blocks_and_odd_rows(spark, odd, monkeypatch):
     assert jaccard.jaccard_groups(odd.limit(0)).count() == 0
 
 
+def test_jaccard_of_many_near_copies_with_common_tokens(spark, monkeypatch):
+    rnd = random.Random(11)
+    base, texts = [f"b{i}" for i in range(90)], []
+    for i in range(220):  # copies on both sides of the bound, of several lengths
+        words = base[: rnd.randrange(60, 91)]
+        for _ in range(rnd.randrange(5)):
+            words[rnd.randrange(len(words))] = f"n{i}_{rnd.randrange(9)}"
+        texts.append((i, " ".join(words), "s"))
+    want = brute.jaccard([(i, t) for i, t, _ in texts])
+    monkeypatch.setattr(jaccard, "BLOCK_SETS", 16)
+    monkeypatch.setattr(jaccard, "GUESTS", 16)
+    monkeypatch.setattr(jaccard, "SALTS", 4)
+    for edges in ((-1e9, -1e9, -1e9), jaccard.LEVEL_EDGES):  # every token common, then as counted
+        monkeypatch.setattr(jaccard, "LEVEL_EDGES", edges)
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_groups(frame(spark, texts)).collect()}
+        assert got == want
+
+
 def test_tree_bound_never_loses_a_link():
     rnd = np.random.default_rng(3)
     base = rnd.integers(0, 2**62, 300, dtype=np.uint64)
