@@ -16,6 +16,11 @@ MASKS = ("110111", "11100011", "10101101")
 STRETCH, AGREE = 20, 0.8
 #: Item windows up to which their table is broadcast (16 bytes each and overhead).
 BROADCAST_WINDOWS = 500_000
+#: Beyond that, places of documents are first looked up in a bit table of all seeds: bits for each window, and at most
+#: so many bits (64 MB).  It rules out seeds that no item has, at any size.
+WINDOW_BITS, MOST_BITS = 16, 1 << 29
+#: Hits of a document verified in one row; a document with more is read by several rows.
+HITS = 4096
 
 
 def words_of(text: Column) -> Column:
@@ -40,6 +45,23 @@ def seed_windows(rows: DataFrame, keys: list[str], masks=MASKS) -> DataFrame:
     return rows.select(*keys, F.posexplode("seeds").alias("place", "seed"))
 
 
+def seed_marks(windows: DataFrame, bits: int) -> DataFrame:
+    """``slot``, ``marks``: a table of ``bits`` bits, 64 numbers of 64 bits in a row, with the bit of every seed set."""
+    at = windows.selectExpr(f"pmod(seed, {bits}L) AS at").selectExpr("at div 4096 AS slot", "at % 4096 div 64 AS part", "int(at % 64) AS bit")
+    parts = at.groupBy("slot", "part").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("mark"))
+    # 64 parts of a slot at most
+    rows = parts.groupBy("slot").agg(F.map_from_entries(F.collect_list(F.struct("part", "mark"))).alias("m"))
+    return rows.selectExpr("slot", "transform(sequence(0L, 63L), i -> coalesce(m[i], 0L)) AS marks")
+
+
+def with_known_seeds(placed: DataFrame, windows: DataFrame, count: int) -> DataFrame:
+    """The places whose seed may be one of the ``count`` windows; most others are gone before they are shuffled."""
+    bits = min(MOST_BITS, max(4096, 1 << (WINDOW_BITS * count - 1).bit_length()))
+    at = f"pmod(seed, {bits}L)"
+    marked = placed.join(F.broadcast(seed_marks(windows, bits)), F.expr(f"{at} div 4096 = slot"))
+    return marked.filter(f"getbit(marks[int({at} % 4096 div 64)], int({at} % 64)) = 1").drop("slot", "marks")
+
+
 def leaks(docs: DataFrame, items: DataFrame, stretch: int = STRETCH, agree: float = AGREE) -> DataFrame:
     """``doc_id``, ``text_key``, ``item_id``, ``start``, ``compared``, ``agreeing`` for every leak of an item into a document.
 
@@ -64,15 +86,22 @@ def leaks(docs: DataFrame, items: DataFrame, stretch: int = STRETCH, agree: floa
     for size in short:  # nine sizes at most
         windows = windows.unionByName(seed_windows(sized.filter(F.col("n_item") == size), ["item_key", "n_item"], ["1" * size]))
     windows = save(windows.withColumnRenamed("place", "item_place").distinct(), "seeds")
-    few = windows.count() <= BROADCAST_WINDOWS
+    count = windows.count()
+    few = count <= BROADCAST_WINDOWS
     texts = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
     placed = seed_windows(texts.select("doc_id", "text_key", words_of(F.col("text")).alias("words")), ["doc_id", "text_key"],
                           [*MASKS, *("1" * size for size in short)])
+    if not few:
+        placed = with_known_seeds(placed, windows, count)
     hits = placed.join(F.broadcast(windows) if few else windows, "seed").select(
         F.col("doc_id").alias("hit_id"), F.col("text_key").alias("hit_key"),
         F.struct("item_key", "n_item", (F.col("place") - F.col("item_place")).alias("shift")).alias("hit"))
-    # a document's hits are bounded by its own words
-    hits = save(hits.groupBy("hit_id", "hit_key").agg(F.collect_set("hit").alias("hits")), "hits")
+    hits = save(hits.distinct(), "hits")
+    # common phrases of items make many hits; each row takes a bounded number of them
+    sizes = hits.groupBy("hit_id", "hit_key").agg(F.count("*").alias("n")).select(
+        F.col("hit_id").alias("id"), F.col("hit_key").alias("key"), F.ceil(F.col("n") / HITS).alias("rows"))
+    hits = hits.join(save(sizes, "sizes"), F.col("hit_id").eqNullSafe(F.col("id")) & (F.col("hit_key") == F.col("key")))
+    hits = hits.groupBy("hit_id", "hit_key", F.expr("pmod(xxhash64(hit), rows)").alias("row")).agg(F.collect_list("hit").alias("hits"))
     on = texts.doc_id.eqNullSafe(hits.hit_id) & (texts.text_key == hits.hit_key)
     found = texts.join(hits, on).select("doc_id", "text_key", "hits", words_of(F.col("text")).alias("words"))
     laid = found.select("doc_id", "text_key", F.explode(_once(

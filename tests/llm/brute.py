@@ -92,3 +92,27 @@ def repeats(rows, window: int = 20) -> dict:
             seen.add(run)
         out[i] = (len(words), len(gone), digest(" ".join(w for k, w in enumerate(words) if k not in gone)))
     return out
+
+
+def leaks(rows, items, stretch=20, agree=0.8, least=10) -> set:
+    """``(doc_id, item_id, start, compared, agreeing)``: every item laid on every place of every document."""
+    def words(text):
+        return [w for w in re.split(r"[\W_]+", (text or "").lower()) if w]
+    found = set()
+    for doc, text in rows:
+        have = words(text)
+        for item, content in items:
+            want = words(content)
+            n = len(want)
+            compared, best = min(stretch, n), None
+            for start in range(-n + 1, len(have)) if n else ():
+                same = [0 <= start + k < len(have) and have[start + k] == w for k, w in enumerate(want)]
+                most = run = sum(same[:compared])
+                for k in range(compared, n):
+                    run += same[k] - same[k - compared]
+                    most = max(most, run)
+                if most >= (agree if n >= least else 1) * compared:
+                    best = max(best or (0, 0), (most, -start))
+            if best:
+                found.add((doc, item, -best[1], compared, best[0]))
+    return found

@@ -317,6 +317,34 @@ def test_leaks_of_short_items_and_at_the_ends_of_documents(spark):
         (1, 0, -11, 20, 18), (2, 0, 0, 20, 16), (3, 0, -24, 20, 16), (5, 1, 1, 6, 6), (7, 2, 0, 1, 1), (8, 3, 0, 9, 9)}
 
 
+def test_leaks_against_every_place(spark, monkeypatch):
+    rnd = random.Random(7)
+    items = [(i, " ".join(rnd.choice("abcdefgh") * 3 + str(rnd.randrange(3)) for _ in range(rnd.choice([4, 9, 10, 13, 20, 31])))) for i in range(12)]
+    preface = " ".join(f"p{k}" for k in range(10))
+    items += [(100 + i, f"{preface} " + " ".join(f"i{i}w{k}" for k in range(12))) for i in range(30)]
+    docs = []
+    for i in range(60):
+        words = rnd.choice(items)[1].split()
+        words = [rnd.choice(words) if rnd.random() < 0.15 else w for w in words][rnd.randrange(4):]
+        docs.append((i, " ".join(["lead"] * rnd.randrange(4) + words + ["tail"] * rnd.randrange(9)), "s"))
+    docs += [(200, " ".join([preface] * 40), "s"), (201, f"{preface} {preface} {items[20][1]}", "s"), (None, items[3][1], "s"), (202, None, "s")]
+    want = brute.leaks([(i, t) for i, t, _ in docs], items)
+    assert len(want) > 30 and not any(d == 200 for d, *_ in want)
+    table = spark.createDataFrame(items, "item_id long, text string")
+    for windows, hits in ((decontam.BROADCAST_WINDOWS, decontam.HITS), (0, 7)):  # broadcast; shuffled, with several rows a document
+        monkeypatch.setattr(decontam, "BROADCAST_WINDOWS", windows)
+        monkeypatch.setattr(decontam, "HITS", hits)
+        got = decontam.leaks(frame(spark, docs), table).collect()
+        assert {(r.doc_id, r.item_id, r.start, r.compared, r.agreeing) for r in got} == want
+
+
+def test_marks_keep_every_seed_and_few_others(spark):
+    windows = spark.range(3000).selectExpr("xxhash64(id) AS seed")
+    places = spark.range(30_000).selectExpr("id", "xxhash64(id) AS seed")
+    kept = decontam.with_known_seeds(places, windows, 3000)
+    assert kept.columns == ["id", "seed"] and kept.filter("id < 3000").count() == 3000 and kept.count() < 6000
+
+
 # 8
 def test_vectors_against_all_pairs(spark, monkeypatch):
     monkeypatch.setattr(vectors, "INTERVAL", 100)
