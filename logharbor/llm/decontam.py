@@ -102,6 +102,8 @@ def leaks(docs: DataFrame, items: DataFrame, stretch: int = STRETCH, agree: floa
         F.col("hit_id").alias("id"), F.col("hit_key").alias("key"), F.ceil(F.col("n") / HITS).alias("rows"))
     hits = hits.join(save(sizes, "sizes"), F.col("hit_id").eqNullSafe(F.col("id")) & (F.col("hit_key") == F.col("key")))
     hits = hits.groupBy("hit_id", "hit_key", F.expr("pmod(xxhash64(hit), rows)").alias("row")).agg(F.collect_list("hit").alias("hits"))
+    # written, so that its size is known and texts are not shuffled for a small one
+    hits = save(hits, "hit_rows")
     on = texts.doc_id.eqNullSafe(hits.hit_id) & (texts.text_key == hits.hit_key)
     found = texts.join(hits, on).select("doc_id", "text_key", "hits", words_of(F.col("text")).alias("words"))
     laid = found.select("doc_id", "text_key", F.explode(_once(
