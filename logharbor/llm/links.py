@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,8 +11,10 @@ from logharbor.llm.common import save, table
 
 #: Rules as (verdict, host and path).
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
-#: Damping, rounds of propagation, and the surplus of distrust over trust from which a host is blocked.
-DAMPING, ROUNDS, THRESHOLD = 0.85, 12, 0.5
+#: Damping, what a score may lack at most, and the surplus of distrust over trust from which a host is blocked.
+DAMPING, TOLERANCE, THRESHOLD = 0.85, 0.001, 0.5
+#: Rounds whose parts of the scores are added up at once.
+FOLD = 16
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _HREF = r"""(?i)href\s*=\s*["']?((?:https?:)?//[^"'\s>]+)"""
 
@@ -58,43 +62,69 @@ def host_edges(pages: DataFrame) -> DataFrame:
             .groupBy("a", "b").agg(F.count("*").cast("double").alias("weight")))
 
 
-def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
+def _added(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts).groupBy("host").agg(F.sum("score").alias("score"))
+
+
+def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, rounds: int | None = None,
+              tolerance: float = TOLERANCE) -> DataFrame:
     """Personalised PageRank ``host``, ``score`` from seeds ``host``, ``seed`` along ``a`` -> ``b``.
 
-    Scores are in units of a seed, that is, PageRank over (1 - damping).  Every
-    round is a table in the shared folder.
+    Scores are in units of a seed, that is, PageRank over (1 - damping).  A round
+    hands on what arrived in the last one, and is a table in the shared folder.
+    Rounds go on until all that can still arrive, at all hosts together, is below
+    ``tolerance``: their number grows with the logarithm of the seeds.  ``rounds``
+    ends them earlier.
     """
     out = edges.groupBy("a").agg(F.sum("weight").alias("total"))
     shares = save(edges.join(out, "a").select("a", "b", (F.col("weight") / F.col("total")).alias("share")), "shares")
-    scores = seeds.select("host", F.col("seed").alias("score"))
+    step = seeds.groupBy("host").agg(F.sum("seed").alias("score"))
     if shares.isEmpty():
-        return scores
-    for _ in range(rounds):
-        moved = (shares.join(scores, shares.a == scores.host)
-                 .select(F.col("b").alias("host"), (F.col("score") * F.col("share") * damping).alias("score")))
-        scores = save(moved.unionByName(seeds.select("host", F.col("seed").alias("score")))
-                      .groupBy("host").agg(F.sum("score").alias("score")), "scores")
-    return scores
+        return step
+    parts, n = [step], 0
+    while n != rounds and (step.agg(F.sum("score")).first()[0] or 0.0) * damping >= tolerance * (1 - damping):
+        step = save(shares.join(step, shares.a == step.host).groupBy("b").agg(
+            F.sum(F.col("score") * F.col("share") * damping).alias("score")).withColumnRenamed("b", "host"), "step")
+        parts, n = [*parts, step], n + 1
+        if len(parts) >= FOLD:
+            parts = [save(_added(parts), "scores")]
+    return _added(parts)
+
+
+def judge_hosts(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, rounds: int | None = None,
+                threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
+    """``host``, ``trust``, ``distrust``, ``host_verdict`` of seeds ``host``, ``allowed``, ``blocked``.
+
+    Trust follows the edges, distrust runs against them.  Both are one propagation
+    over two copies of the hosts.
+    """
+    def side(sign: str, seed: str, a: str, b: str) -> tuple[DataFrame, DataFrame]:
+        mark = lambda c: F.concat(F.lit(sign), F.col(c))
+        return (seeds.select(mark("host").alias("host"), F.col(seed).alias("seed")),
+                edges.select(mark(a).alias("a"), mark(b).alias("b"), "weight"))
+
+    ahead, back = side("+", "allowed", "a", "b"), side("-", "blocked", "b", "a")
+    scores = save(propagate(ahead[0].unionByName(back[0]).filter("seed > 0"), ahead[1].unionByName(back[1]),
+                            damping, rounds, tolerance), "scores")
+    of = lambda sign, name: (scores.filter(F.col("host").startswith(sign))
+                             .select(F.expr("substring(host, 2)").alias("host"), F.col("score").alias(name)))
+    both = seeds.select("host").join(of("+", "trust"), "host", "left").join(
+        of("-", "distrust"), "host", "left").fillna(0.0, ["trust", "distrust"])
+    suspect = (F.col("host") != "") & (F.col("distrust") - F.col("trust") >= threshold)
+    return save(both.withColumn("host_verdict", F.when(suspect, "block").otherwise("allow")), "hosts")
 
 
-def host_verdicts(pages: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS, threshold: float = THRESHOLD) -> DataFrame:
+def host_verdicts(pages: DataFrame, damping: float = DAMPING, rounds: int | None = None, threshold: float = THRESHOLD,
+                  tolerance: float = TOLERANCE) -> DataFrame:
     """``host``, ``trust``, ``distrust``, ``host_verdict`` of every host of ruled pages.
 
     A host is a seed of trust in proportion to its pages that a rule allows, and of
-    distrust to those a rule blocks.  Trust follows links, distrust runs against
-    them: a host that links to blocked ones is suspect.
+    distrust to those a rule blocks.  A host that links to blocked ones is suspect.
     """
-    edges = save(host_edges(pages), "edges")
     seeds = save(pages.groupBy("host").agg(
         F.avg(F.coalesce((F.col("ruled") == "allow").cast("double"), F.lit(0.0))).alias("allowed"),
         F.avg(F.coalesce((F.col("ruled") == "block").cast("double"), F.lit(0.0))).alias("blocked")), "seeds")
-    trust = propagate(seeds.select("host", F.col("allowed").alias("seed")), edges, damping, rounds)
-    distrust = propagate(seeds.select("host", F.col("blocked").alias("seed")),
-                         edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight"), damping, rounds)
-    both = seeds.select("host").join(trust.withColumnRenamed("score", "trust"), "host", "left").join(
-        distrust.withColumnRenamed("score", "distrust"), "host", "left").fillna(0.0, ["trust", "distrust"])
-    suspect = (F.col("host") != "") & (F.col("distrust") - F.col("trust") >= threshold)
-    return save(both.withColumn("host_verdict", F.when(suspect, "block").otherwise("allow")), "hosts")
+    return judge_hosts(seeds, save(host_edges(pages), "edges"), damping, rounds, threshold, tolerance)
 
 
 def judge_pages(pages: DataFrame, rules=RULES) -> DataFrame:
@@ -116,8 +146,44 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_pages(table(spark, sf_dir, "pages"))
 
 
+def trust_of_trade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The propagation of ``op4`` over a table that holds links: suppliers and the parts they sell.
+
+    Either side links to the other, once per row of ``lineitem``.  Small parts
+    (``p_size`` 1) are trusted, large ones (50) distrusted.
+    """
+    sold = (table(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_partkey").agg(F.count("*").cast("double").alias("weight"))
+            .select(F.concat(F.lit("s"), "l_suppkey").alias("a"), F.concat(F.lit("p"), "l_partkey").alias("b"), "weight"))
+    edges = save(sold.unionByName(sold.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight")), "edges")
+    seed = lambda size: (F.col("p_size") == size).cast("double")
+    parts = table(spark, sf_dir, "part").select(
+        F.concat(F.lit("p"), "p_partkey").alias("host"), seed(1).alias("allowed"), seed(50).alias("blocked"))
+    suppliers = table(spark, sf_dir, "supplier").select(
+        F.concat(F.lit("s"), "s_suppkey").alias("host"), F.lit(0.0).alias("allowed"), F.lit(0.0).alias("blocked"))
+    return judge_hosts(parts.unionByName(suppliers), edges).select(
+        "host", F.round("trust", 5).alias("trust"), F.round("distrust", 5).alias("distrust"), "host_verdict")
+
+
+#: From ``seeds`` and ``edges`` to ``judged``: what arrives in a round is handed on in the next one.
+_JUDGED = f"""
+starts AS (SELECT '+' || host AS host, allowed AS seed FROM seeds WHERE allowed > 0
+           UNION ALL SELECT '-' || host, blocked FROM seeds WHERE blocked > 0),
+both_ways AS (SELECT '+' || a AS a, '+' || b AS b, weight FROM edges UNION ALL SELECT '-' || b, '-' || a, weight FROM edges),
+shares AS (SELECT a, b, weight / sum(weight) OVER (PARTITION BY a) AS share FROM both_ways),
+walk(n, host, score) AS (
+    SELECT 0, host, seed::DOUBLE FROM starts
+    UNION ALL
+    SELECT n + 1, b, sum(score * share * {DAMPING}) FROM (SELECT *, sum(score) OVER () AS mass FROM walk) JOIN shares ON a = host
+    WHERE mass * {DAMPING} >= {TOLERANCE} * (1 - {DAMPING}) GROUP BY n, b),
+scores AS (SELECT host, sum(score) AS score FROM walk GROUP BY host),
+judged AS (
+    SELECT s.host, coalesce(t.score, 0) AS trust, coalesce(d.score, 0) AS distrust,
+           CASE WHEN s.host <> '' AND coalesce(d.score, 0) - coalesce(t.score, 0) >= {THRESHOLD} THEN 'block' ELSE 'allow' END AS host_verdict
+    FROM seeds s LEFT JOIN scores t ON t.host = '+' || s.host LEFT JOIN scores d ON d.host = '-' || s.host)
+"""
+
 OP4_SQL = f"""
-WITH parts AS (
+WITH RECURSIVE parts AS (
     SELECT page_id, html, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 hosts AS (
     SELECT page_id, html, translate(regexp_extract(rest, '^[^/?#]*'), '{_UPPER}', '{_LOWER}') AS host,
@@ -134,18 +200,19 @@ edges AS (SELECT a, b, count(*)::DOUBLE AS weight FROM pairs WHERE a <> '' AND b
 seeds AS (
     SELECT host, avg(CASE WHEN rule IN ('example.net/en/', 'org/fr/') THEN 1.0 ELSE 0.0 END) AS allowed,
            avg(CASE WHEN rule IN ('net/', 'example.com/de/') THEN 1.0 ELSE 0.0 END) AS blocked FROM ruled GROUP BY host),
-ahead AS (SELECT a, b, weight / sum(weight) OVER (PARTITION BY a) AS share FROM edges),
-back AS (SELECT b AS a, a AS b, weight / sum(weight) OVER (PARTITION BY b) AS share FROM edges),
-t0 AS (SELECT host, allowed AS score FROM seeds), d0 AS (SELECT host, blocked AS score FROM seeds),
-""" + ",\n".join(
-    f"{k}{i} AS (SELECT host, sum(score) AS score FROM (SELECT b AS host, score * share * {DAMPING} AS score FROM {g} "
-    f"JOIN {k}{i - 1} ON a = host UNION ALL SELECT * FROM {k}0) GROUP BY host)"
-    for k, g in (("t", "ahead"), ("d", "back")) for i in range(1, ROUNDS + 1)) + f""",
-verdicts AS (
-    SELECT host, CASE WHEN host <> '' AND coalesce(d{ROUNDS}.score, 0) - coalesce(t{ROUNDS}.score, 0) >= {THRESHOLD}
-                      THEN 'block' ELSE 'allow' END AS host_verdict
-    FROM (SELECT host FROM seeds) LEFT JOIN t{ROUNDS} USING (host) LEFT JOIN d{ROUNDS} USING (host))
+{_JUDGED}
 SELECT page_id, host, path, rule,
        CASE WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' ELSE host_verdict END AS verdict
-FROM ruled LEFT JOIN verdicts USING (host)
+FROM ruled LEFT JOIN judged USING (host)
+"""
+
+TRADE_SQL = f"""
+WITH RECURSIVE sold AS (SELECT 's' || l_suppkey AS a, 'p' || l_partkey AS b, count(*)::DOUBLE AS weight FROM lineitem GROUP BY ALL),
+edges AS (SELECT a, b, weight FROM sold UNION ALL SELECT b, a, weight FROM sold),
+seeds AS (
+    SELECT 'p' || p_partkey AS host, CASE WHEN p_size = 1 THEN 1.0 ELSE 0.0 END AS allowed,
+           CASE WHEN p_size = 50 THEN 1.0 ELSE 0.0 END AS blocked FROM part
+    UNION ALL SELECT 's' || s_suppkey, 0.0, 0.0 FROM supplier),
+{_JUDGED}
+SELECT host, round(trust, 5) AS trust, round(distrust, 5) AS distrust, host_verdict FROM judged
 """

@@ -3,7 +3,14 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+import struct
+from collections import Counter
+
+import xxhash
+
+from logharbor.llm import common
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -116,3 +123,45 @@ def leaks(rows, items, stretch=20, agree=0.8, least=10) -> set:
             if best:
                 found.add((doc, item, -best[1], compared, best[0]))
     return found
+
+
+_ALL = 2**64 - 1
+
+
+def _mixed(h: int) -> int:
+    h = (h ^ (h >> 30)) * 0xBF58476D1CE4E5B9 & _ALL
+    h = (h ^ (h >> 27)) * 0x94D049BB133111EB & _ALL
+    return h ^ (h >> 31)
+
+
+def _power_sum(values, base: int) -> int:
+    return sum(v * pow(base, i, 2**64) for i, v in enumerate(values)) & _ALL
+
+
+def grams(text: str | None, buckets: int, longest: int) -> list[int]:
+    """Buckets of all runs of up to ``longest`` words, by the public word hash of the package."""
+    codes = [int(c) for c in common._CODES]
+    words = [_mixed(_power_sum([codes[c] for c in w.encode()], common._BYTES.base)) for w in WORD.findall(text or "")]
+    return [_mixed(_power_sum(words[k: k + n], common._WORDS.base) + n & _ALL) % buckets
+            for n in range(1, longest + 1) for k in range(len(words) - n + 1)]
+
+
+def resampled(rows, good: set, share: float, seed: int, buckets: int, longest: int) -> dict:
+    """``doc_id: (log weight, key)`` of the kept rows, for fewer good documents than the target model's bound."""
+    marks = {i: grams(t, buckets, longest) for i, t in rows}
+    raw, target = Counter(), Counter()
+    for i in marks:
+        raw.update(marks[i])
+        if i in good:
+            target.update(marks[i])
+    def model(counts, b):
+        return math.log((counts[b] + 1) / (counts.total() + buckets))
+    keyed = {}
+    for i, text in rows:
+        weight = math.fsum(model(target, b) - model(raw, b) for b in marks[i])
+        h = xxhash.xxh64_intdigest(struct.pack("<q", i), seed=42)
+        h = xxhash.xxh64_intdigest(struct.pack("<Q", xxhash.xxh64_intdigest(text.encode(), seed=42)), seed=h)
+        h = xxhash.xxh64_intdigest(struct.pack("<i", seed), seed=h)
+        keyed[i] = (weight, weight - math.log(-math.log((h % 2**52 + 0.5) / 2**52)))
+    first = sorted(keyed, key=lambda i: (-keyed[i][1], i))[:round(share * len(rows))]
+    return {i: keyed[i] for i in first}

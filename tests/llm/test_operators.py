@@ -82,6 +82,18 @@ def test_resampling_keeps_good_text(spark, table):
     assert np.mean([r.doc_id in kept for r in marks if r.quality == 0]) < 0.4
 
 
+def test_resampling_against_plain_version(spark):
+    folder = "/root/testdata/sf0.001"
+    marks = {r.doc_id: r.quality for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{folder}/documents.parquet").collect()]
+    good = {i for i, q in marks.items() if q == 1}
+    assert len(good) < quality.TARGET_SAMPLE and all(t is not None for _, t in rows)
+    want = brute.resampled(rows, good, len(good) / len(marks), quality.SEED, quality.BUCKETS, quality.LONGEST)
+    got = {r.doc_id: (r.log_weight, r.sample_key) for r in quality.op2_quality_resampling(spark, folder).collect()}
+    assert got.keys() == want.keys() and 0 < len(want) < len(rows)
+    assert np.allclose([got[i] for i in want], list(want.values()), rtol=0, atol=1e-6)
+
+
 def test_top_k_and_odd_rows(spark, odd):
     keys = spark.range(30_000).select("id", (F.col("id") % 7000).cast("double").alias("k"))
     got = quality.top_k(keys, "k", "id", 25_001)
@@ -177,6 +189,19 @@ def test_propagation_is_pagerank(spark):
     assert np.allclose([got["a"], got["b"], got["c"]], want, atol=0.01)
 
 
+def test_propagation_goes_on_until_nothing_is_left(spark):
+    # 400 hosts that hand their seeds down a chain of 30, beyond any few rounds
+    edges = [(f"c{i}", f"c{i + 1}", 1.0) for i in range(30)] + [(f"s{i}", "c0", 2.0) for i in range(400)]
+    seeds = [(f"s{i}", 1.0) for i in range(400)]
+    got = {r.host: r.score for r in links.propagate(spark.createDataFrame(seeds, "host string, seed double"),
+                                                    spark.createDataFrame(edges, "a string, b string, weight double")).collect()}
+    assert abs(got["c0"] - 340) < 1e-6 and abs(got["c30"] - 400 * 0.85**31) < 1e-6 and got["s0"] == 1
+    circle = spark.createDataFrame([("a", "b", 1.0), ("b", "a", 3.0)], "a string, b string, weight double")
+    start = spark.createDataFrame([("a", 1000.0)], "host string, seed double")
+    round_trip = {r.host: r.score for r in links.propagate(start, circle).collect()}
+    assert 0 <= 1000 / (1 - 0.85**2) - round_trip["a"] < links.TOLERANCE
+
+
 # 5
 def test_personal_data_against_patterns(spark, rows):
     parts = ["a", "b.c", "@", ".com", "-", "+", "1", "255", "256", ".", " ", "(", "4111111111111111", "4111 1111 1111 1111", "+1 555", "é", "x" * 70]
@@ -430,4 +455,5 @@ def test_queries_with_sql(spark, name):
 
 
 def test_every_operator_is_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    numbers = [int(n[2:].split("_")[0]) for n in queries.QUERIES if n.startswith("op")]
+    assert sorted(numbers) == list(range(1, 14))
