@@ -241,7 +241,7 @@ SELECT doc_id, source, regexp_replace(text, '\r\n|\r', chr(10), 'g') AS text FRO
 def split_csv(spark, sf_dir):
     """Whole texts with their quotes and line breaks as CSV, read from files that are split anywhere."""
     folder = new_folder(spark, "split-csv")
-    T.table(spark, sf_dir, "documents").select("doc_id", "source", "text").repartition(2).write.csv(folder, header=True, escape='"', emptyValue="")
+    T.table(spark, sf_dir, "documents").select("doc_id", "source", "text").write.csv(folder, header=True, escape='"', emptyValue="")
     records = R.read_csv_records(spark, folder).filter("record_no > 0")
     row = F.from_csv("record", "doc_id bigint, source string, text string", {"escape": '"', "maxCharsPerColumn": "-1"})
     return records.select(row.alias("r")).select("r.doc_id", "r.source", F.coalesce("r.text", F.lit("")).alias("text"))
