@@ -35,6 +35,15 @@ def shuffled_logs_stream(spark, sf_dir, parts: int = 6) -> DataFrame:
     return T.logs_of(J.file_stream(spark, folder, events.schema, maxFilesPerTrigger=1))
 
 
+# Lines of a file of a test stream; a batch of more lines comes in several files, which tasks share.
+FILE_LINES = 50_000
+
+
+def files_per_batch(lines: int, batches: int) -> int:
+    """Files that ``lines`` dealt to ``batches`` are written to, for each batch."""
+    return max(1, lines // (batches * FILE_LINES))
+
+
 def folders(spark, name: str) -> tuple[str, str]:
     return new_folder(spark, name), new_folder(spark, f"{name}-state")
 
@@ -235,14 +244,15 @@ def live_tables(spark, sf_dir) -> LiveTables:
 
 
 def drained_ingest(spark, sf_dir, parts: int = 5) -> LiveTables:
-    """Lines in shuffled files, a batch each; the third batch is lost before its ledger row and replayed."""
+    """Lines in shuffled files, dealt to batches; the third batch is lost before its ledger row and replayed."""
     events = T.logs(spark, sf_dir).withColumn("line", F.expr(f"concat(raw_line, {_OWN.replace('{str}', 'STRING')})"))
     blank = events.filter("event_id % 97 = 0").select(F.concat(F.lit("blank"), "id").alias("id"), F.lit(" ").alias("line"))
     lines = events.select("id", "line").unionByName(blank)
     folder, state = folders(spark, "live-lines")
-    lines.repartition(parts, F.xxhash64("id")).write.parquet(folder)
+    files = files_per_batch(events.count(), parts)
+    lines.repartition(parts * files, F.xxhash64("id")).write.parquet(folder)
     tables = LiveTables(spark, new_folder(spark, "live"), seconds=3600, alert_seconds=86400)
-    stream = J.file_stream(spark, folder, lines.schema, maxFilesPerTrigger=1)
+    stream = J.file_stream(spark, folder, lines.schema, maxFilesPerTrigger=files)
     write, lost = tables._write, []
 
     def failing(name, part, batch_id):
