@@ -184,18 +184,21 @@ SELECT b.batch_id, b.total_lines, b.depth, b.depth >= 1000 AS firing FROM (
   FROM logs, (SELECT unnest([0, 1, 2, 3])::BIGINT AS i) GROUP BY i) b
 """))
 def stream_backlog(spark, sf_dir):
-    """Lines in four files, one a batch; the depth after each batch feeds the saturation rule."""
+    """Lines in files of one remainder each, a remainder a batch; the depth after each batch feeds the saturation rule."""
     lines = T.logs(spark, sf_dir).select("event_id", F.col("raw_line").alias("line"))
     folder, (out, state) = new_folder(spark, "backlog"), folders(spark, "backlog-out")
+    dealt = {r["part"]: r["n"] for r in lines.groupBy((F.col("event_id") % 4).alias("part")).agg(F.count("*").alias("n")).collect()}
+    # every batch must have as many files: no more than the smallest one fills
+    files = files_per_batch(min(dealt.get(i, 0) for i in range(4)), 1)
     for i in range(4):
-        lines.filter(f"event_id % 4 = {i}").coalesce(1).write.mode("append").parquet(folder)
-    stream = J.file_stream(spark, folder, lines.schema, maxFilesPerTrigger=1)
+        lines.filter(f"event_id % 4 = {i}").repartition(files).write.mode("append").parquet(folder)
+    stream = J.file_stream(spark, folder, lines.schema, maxFilesPerTrigger=files)
     rows = new_folder(spark, "backlog-rows")
 
     def write(batch, batch_id):
         parse_lines(batch, ingest_time()).write.mode("overwrite").parquet(J.batch_folder(rows, batch_id))
 
-    depths = backlog(run_counted(stream, write, out, state), lines.count())
+    depths = backlog(run_counted(stream, write, out, state), sum(dealt.values()))
     fired = threshold_alerts(queue_measures(depths, ["batch_id"]).withColumn("at", F.timestamp_seconds("batch_id")), alert_rules(spark), "at", ["batch_id"])
     return depths.join(fired.select("batch_id", F.lit(True).alias("firing")), "batch_id", "left").select(
         "batch_id", "total_lines", "depth", F.coalesce("firing", F.lit(False)).alias("firing"))
