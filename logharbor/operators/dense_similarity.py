@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +20,8 @@ from logharbor.operators.lookups import first_per_group, metadata_filter
 from logharbor.session import cut_lineage
 
 BLOCK_ROWS = 2048
+# Left rows of a block that are compared, and whose hits leave the task, at once.
+TILE = 128
 # Queries that travel with the tasks; beyond that, queries of a block, corpus rows
 # of a chunk, and queries compared at once inside a task.
 BROADCAST_QUERIES, QUERY_BLOCK, CORPUS_CHUNK, QUERY_SLICE = 1024, 8192, 16384, 256
@@ -162,9 +165,7 @@ def _assign_cells(distinct: DataFrame, threshold: float, pivots: int) -> DataFra
     reach = 2 * math.acos(max(-1.0, min(1.0, threshold))) + 1e-6
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if not len(pdf):
-                continue
+        for pdf in (batch.iloc[at:at + BLOCK_ROWS] for batch in batches for at in range(0, len(batch), BLOCK_ROWS)):
             angle = np.arccos(np.clip(_unit(pdf["embedding"]) @ centre.T, -1, 1))
             home = angle.argmin(axis=1)
             near = angle[np.arange(len(pdf)), home]
@@ -214,18 +215,27 @@ def _block_tasks(cells: DataFrame, block_rows: int) -> DataFrame:
     return rows.withColumn("t", task).select("cell", "t.kind", "t.i", "t.j", "t.side", "id", "weight", "embedding")
 
 
-def _block_hits(pdf: pd.DataFrame, threshold: float):
-    """Left ids, right ids, cosines and the hit mask of one block pair."""
-    left = pdf[pdf["side"] == 0]
-    same = bool((pdf["kind"].iloc[0] == "home") and (pdf["i"].iloc[0] == pdf["j"].iloc[0]))
-    right = left if same else pdf[pdf["side"] == 1]
-    if not len(left) or not len(right):
-        return None
-    cos = _unit(left["embedding"]) @ _unit(right["embedding"]).T
-    hit = cos >= threshold
-    if same:
-        hit = np.triu(hit, 1)
-    return left, right, cos, hit
+def _block_hits(batches: Iterator[pa.RecordBatch], threshold: float) -> tuple[pa.Array, Iterator[tuple]]:
+    """Ids of a block pair, and its hits as left and right numbers and cosines, ``TILE`` left rows at a time."""
+    table = pa.Table.from_batches(list(batches))
+    vectors = pa.concat_arrays(table.column("embedding").chunks)
+    unit = _unit(vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(vectors), -1))
+    side = table.column("side").to_numpy()
+    first = table.slice(0, 1).to_pylist()[0]
+    left = np.flatnonzero(side == 0)
+    same = first["kind"] == "home" and first["i"] == first["j"]
+    right = left if same else np.flatnonzero(side == 1)
+
+    def tiles():
+        for start in range(0, len(left), TILE):
+            cos = unit[left[start:start + TILE]] @ unit[right].T
+            hit = cos >= threshold
+            if same:
+                hit = np.triu(hit, start + 1)
+            r, c = np.nonzero(hit)
+            yield left[start + r], right[c], cos[r, c]
+
+    return pa.concat_arrays(table.column("id").chunks), tiles()
 
 
 def _blocks(vectors: DataFrame, threshold: float, pivots: int, block_rows: int) -> DataFrame:
@@ -239,20 +249,18 @@ def similar_vector_pairs(
 ) -> DataFrame:
     """All pairs of distinct vectors with cosine >= threshold, id_a < id_b (J9, dense)."""
 
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = _block_hits(pdf, threshold)
-        if found is None:
-            return pd.DataFrame({"id_a": [], "id_b": [], "cosine": []}).astype({"id_a": str, "id_b": str})
-        left, right, cos, hit = found
-        r, c = np.nonzero(hit)
-        a, b = left["id"].to_numpy()[r], right["id"].to_numpy()[c]
-        flip = a > b
-        return pd.DataFrame({
-            "id_a": np.where(flip, b, a), "id_b": np.where(flip, a, b), "cosine": cos[r, c],
-        })
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, tiles = _block_hits(batches, threshold)
+        rank = np.empty(len(ids), np.int64)
+        rank[np.argsort(np.array(ids.to_pylist(), object))] = np.arange(len(ids))
+        for a, b, cos in tiles:
+            flip = rank[a] > rank[b]
+            yield pa.RecordBatch.from_arrays(
+                [ids.take(pa.array(np.where(flip, b, a))), ids.take(pa.array(np.where(flip, a, b))), pa.array(cos)],
+                ["id_a", "id_b", "cosine"])
 
     tasks = _blocks(vectors, threshold, pivots, block_rows)
-    return tasks.applyInPandas(compare, "id_a string, id_b string, cosine double")
+    return tasks.applyInArrow(compare, "id_a string, id_b string, cosine double")
 
 
 def vector_links(
@@ -264,14 +272,9 @@ def vector_links(
     one edge per vector in the block instead of all its pairs.
     """
 
-    def forest(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = _block_hits(pdf, threshold)
-        if found is None:
-            return pd.DataFrame({"u": [], "v": []}).astype(str)
-        left, right, _, hit = found
-        li, ri = left["id"].to_numpy(), right["id"].to_numpy()
-        ids = np.unique(np.concatenate([li, ri]))
-        parent = {x: x for x in ids}
+    def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, tiles = _block_hits(batches, threshold)
+        parent = list(range(len(ids)))
 
         def root(x):
             while parent[x] != x:
@@ -280,16 +283,16 @@ def vector_links(
             return x
 
         edges = []
-        for row in np.flatnonzero(hit.any(axis=1)):
-            a = root(li[row])
-            for x in ri[np.flatnonzero(hit[row])]:
-                b = root(x)
+        for lefts, rights, _ in tiles:
+            for x, y in zip(lefts.tolist(), rights.tolist(), strict=True):
+                a, b = root(x), root(y)
                 if a != b:
-                    edges.append((li[row], x))
+                    edges.append((x, y))
                     parent[b] = a
-        return pd.DataFrame(edges, columns=["u", "v"]).astype(str)
+        u, v = np.array(edges, np.int64).reshape(-1, 2).T
+        yield pa.RecordBatch.from_arrays([ids.take(pa.array(u)), ids.take(pa.array(v))], ["u", "v"])
 
-    return _blocks(vectors, threshold, pivots, block_rows).applyInPandas(forest, "u string, v string")
+    return _blocks(vectors, threshold, pivots, block_rows).applyInArrow(forest, "u string, v string")
 
 
 def cluster_vectors(

@@ -287,3 +287,18 @@ def test_long_texts_are_joined_directly(spark, monkeypatch, broadcast):
     links = {(r.u, r.v) for r in S.similarity_links(ranked, (3, 4), 3).collect()}
     ids = [i for i, _ in texts]
     assert components_of(ids, links) == components_of(ids, [p[:2] for p in want])
+
+
+def test_hits_of_a_block_leave_in_tiles(monkeypatch):
+    """A block whose vectors are all alike has the square of its rows as hits; only a tile of them is held."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(D, "TILE", 4)
+    n = 50
+    batch = pa.record_batch({
+        "kind": ["home"] * n, "i": [0] * n, "j": [0] * n, "side": [0] * n, "id": [f"v{i:02d}" for i in range(n)],
+        "embedding": pa.array([[1.0, i / 1000] for i in range(n)], pa.list_(pa.float32()))})
+    ids, tiles = D._block_hits(iter([batch.slice(0, 20), batch.slice(20)]), 0.9)
+    tiles = [list(zip(a.tolist(), b.tolist(), strict=True)) for a, b, _ in tiles]
+    assert max(map(len, tiles)) <= 4 * n and ids.to_pylist() == [f"v{i:02d}" for i in range(n)]
+    assert sorted(sum(tiles, [])) == list(itertools.combinations(range(n), 2))
