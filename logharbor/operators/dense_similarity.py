@@ -6,7 +6,7 @@ Numpy runs inside tasks on bounded blocks; Spark partitions and shuffles them.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -19,7 +19,9 @@ from logharbor.functions import vectors as V
 from logharbor.operators.lookups import first_per_group, metadata_filter
 from logharbor.session import cut_lineage
 
-BLOCK_ROWS = 2048
+# Rows of a block that is assigned or compared at once; bytes of the larger blocks that rows travel in, and how many
+# of them all rows make at least: a row travels to each block it may have partners in.
+BLOCK_ROWS, BLOCK_BYTES, LEAST_BLOCKS = 2048, 32 << 20, 16
 # Left rows of a block that are compared, and whose hits leave the task, at once.
 TILE = 128
 # Queries that travel with the tasks; beyond that, queries of a block, corpus rows
@@ -153,6 +155,12 @@ def distinct_vectors(vectors: DataFrame) -> DataFrame:
     )
 
 
+def distinct_rows(vectors: DataFrame) -> DataFrame:
+    """Equal rows once with their number as weight; equal vectors of other ids stay rows of their own."""
+    named = vectors.filter(F.col("id").isNotNull() & (V.norm(F.col("embedding")) > 0))
+    return named.groupBy("id", "embedding").agg(F.count("*").alias("weight"))
+
+
 def _assign_cells(distinct: DataFrame, threshold: float, pivots: int) -> DataFrame:
     """Every vector in its nearest pivot's cell, plus the cells its partners may call home.
 
@@ -177,10 +185,11 @@ def _assign_cells(distinct: DataFrame, threshold: float, pivots: int) -> DataFra
             out = pdf.iloc[row].reset_index(drop=True)
             out["cell"] = cell.astype(np.int32)
             out["home"] = cell == home[row]
-            yield out[["id", "weight", "embedding", "cell", "home"]]
+            yield out[[*kept, "cell", "home"]]
 
-    schema = "id string, weight long, embedding array<float>, cell int, home boolean"
-    return distinct.select("id", "weight", "embedding").mapInPandas(run, schema)
+    kept = ["id", "weight", "embedding", *(["core"] if "core" in distinct.columns else [])]
+    schema = "id string, weight long, embedding array<float>" + ", core boolean" * (len(kept) > 3) + ", cell int, home boolean"
+    return distinct.select(*kept).mapInPandas(run, schema)
 
 
 def _block_tasks(cells: DataFrame, block_rows: int) -> DataFrame:
@@ -194,7 +203,7 @@ def _block_tasks(cells: DataFrame, block_rows: int) -> DataFrame:
         F.ceil(F.count_if(~F.col("home")) / block_rows).alias("visits"),
     )
     rows = cells.join(sizes, "cell")  # one row per pivot on the right
-    number = F.pmod(F.xxhash64("id"), F.when(F.col("home"), F.col("homes")).otherwise(F.col("visits")))
+    number = F.pmod(F.xxhash64("id", "embedding"), F.when(F.col("home"), F.col("homes")).otherwise(F.col("visits")))
     rows = rows.withColumn("b", number)
     last_home, last_visit = F.col("homes") - 1, F.col("visits") - 1
 
@@ -212,59 +221,130 @@ def _block_tasks(cells: DataFrame, block_rows: int) -> DataFrame:
     none = F.array().cast("array<struct<kind:string,i:bigint,j:bigint,side:int>>")
     at_home = F.concat(as_left, F.coalesce(as_right, none), F.coalesce(to_visits, none))
     task = F.explode(F.when(F.col("home"), at_home).otherwise(visiting))
-    return rows.withColumn("t", task).select("cell", "t.kind", "t.i", "t.j", "t.side", "id", "weight", "embedding")
+    kept = [c for c in cells.columns if c not in ("cell", "home")]
+    return rows.withColumn("t", task).select("cell", "t.kind", "t.i", "t.j", "t.side", *kept)
+
 
+def _column(table: pa.Table, name: str) -> pa.Array:
+    return pa.concat_arrays(table.column(name).chunks)
 
-def _block_hits(batches: Iterator[pa.RecordBatch], threshold: float) -> tuple[pa.Array, Iterator[tuple]]:
-    """Ids of a block pair, and its hits as left and right numbers and cosines, ``TILE`` left rows at a time."""
+
+def _block_hits(batches: Iterable[pa.RecordBatch], threshold: float) -> tuple[pa.Array, Iterator[tuple]]:
+    """Ids of a block pair, and its hits as left and right numbers and cosines.
+
+    ``TILE`` left rows are compared with ``BLOCK_ROWS`` right ones at a time.
+    """
     table = pa.Table.from_batches(list(batches))
-    vectors = pa.concat_arrays(table.column("embedding").chunks)
-    unit = _unit(vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(vectors), -1))
+    vectors = _column(table, "embedding")
+    unit = vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(vectors), -1).astype(np.float64)
+    length = np.linalg.norm(unit, axis=1, keepdims=True)
+    unit /= np.where(length == 0, 1, length)
     side = table.column("side").to_numpy()
-    first = table.slice(0, 1).to_pylist()[0]
+    first = table.select(["kind", "i", "j"]).slice(0, 1).to_pylist()[0]
     left = np.flatnonzero(side == 0)
     same = first["kind"] == "home" and first["i"] == first["j"]
     right = left if same else np.flatnonzero(side == 1)
 
     def tiles():
         for start in range(0, len(left), TILE):
-            cos = unit[left[start:start + TILE]] @ unit[right].T
-            hit = cos >= threshold
-            if same:
-                hit = np.triu(hit, start + 1)
-            r, c = np.nonzero(hit)
-            yield left[start + r], right[c], cos[r, c]
+            rows = left[start:start + TILE]
+            for at in range(start // BLOCK_ROWS * BLOCK_ROWS if same else 0, len(right), BLOCK_ROWS):
+                columns = right[at:at + BLOCK_ROWS]
+                cos = unit[rows] @ unit[columns].T
+                hit = cos >= threshold
+                if same and at <= start + TILE:
+                    hit = np.triu(hit, start - at + 1)
+                r, c = np.nonzero(hit)
+                yield rows[r], columns[c], cos[r, c]
+
+    return _column(table, "id"), tiles()
+
+
+class _Forest:
+    """Sets of row numbers, joined along hits; the hits that joined two sets are a spanning forest."""
+
+    def __init__(self, rows: int):
+        self.parent, self.edges = np.arange(rows), []
+
+    def _root(self, x: int) -> int:
+        parent = self.parent
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    def join(self, a: np.ndarray, b: np.ndarray) -> None:
+        before = len(self.edges)
+        apart = self.parent[a] != self.parent[b]  # the others are in one set already
+        for x, y in zip(a[apart].tolist(), b[apart].tolist(), strict=True):
+            p, q = self._root(x), self._root(y)
+            if p != q:
+                self.edges.append((x, y))
+                self.parent[q] = p
+        if len(self.edges) > before:
+            self.roots()
+
+    def roots(self) -> np.ndarray:
+        while not np.array_equal(up := self.parent[self.parent], self.parent):
+            self.parent = up
+        return self.parent
+
+
+def _blocks(distinct: DataFrame, threshold: float, pivots: int, block_rows: int | None):
+    """Rows of every pair of blocks, as groups.  Blocks grow with the rows, as each is sent to all it may match."""
+    if block_rows is None:
+        rows, width = distinct.agg(F.count("*"), F.max(F.size("embedding"))).first()
+        block_rows = min(max(BLOCK_ROWS, -(-rows // LEAST_BLOCKS)), max(BLOCK_ROWS, BLOCK_BYTES // (8 * (width or 1))))
+    cells = cut_lineage(_assign_cells(distinct, threshold, pivots))
+    return _block_tasks(cells, block_rows).groupBy("cell", "kind", "i", "j")
 
-    return pa.concat_arrays(table.column("id").chunks), tiles()
 
+def _pairs_task(threshold: float):
+    """Hits of a block pair, smaller id on the left; rows of one id are no pair."""
 
-def _blocks(vectors: DataFrame, threshold: float, pivots: int, block_rows: int) -> DataFrame:
-    distinct = cut_lineage(distinct_vectors(vectors))
-    cells = cut_lineage(_assign_cells(distinct, threshold, pivots))
-    return _block_tasks(cells, block_rows).groupBy("cell", "kind", "i", "j")
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches))
+        ids, tiles = _block_hits(table.to_batches(), threshold)
+        weight = _column(table, "weight")
+        rank = np.unique(np.array(ids.to_pylist(), object), return_inverse=True)[1]
+        for a, b, cos in tiles:
+            a, b = np.where(rank[a] > rank[b], b, a), np.where(rank[a] > rank[b], a, b)
+            other = rank[a] != rank[b]
+            a, b = pa.array(a[other]), pa.array(b[other])
+            yield pa.RecordBatch.from_arrays(
+                [ids.take(a), ids.take(b), pa.array(cos[other]), weight.take(a), weight.take(b)],
+                ["id_a", "id_b", "cosine", "weight_a", "weight_b"])
+
+    return compare
+
+
+PAIR = "id_a string, id_b string, cosine double, weight_a long, weight_b long"
 
 
 def similar_vector_pairs(
-    vectors: DataFrame, threshold: float, pivots: int = 16, block_rows: int = BLOCK_ROWS
+    vectors: DataFrame, threshold: float, pivots: int = 16, block_rows: int | None = None
 ) -> DataFrame:
     """All pairs of distinct vectors with cosine >= threshold, id_a < id_b (J9, dense)."""
+    tasks = _blocks(cut_lineage(distinct_vectors(vectors)), threshold, pivots, block_rows)
+    return tasks.applyInArrow(_pairs_task(threshold), PAIR).select("id_a", "id_b", "cosine")
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, tiles = _block_hits(batches, threshold)
-        rank = np.empty(len(ids), np.int64)
-        rank[np.argsort(np.array(ids.to_pylist(), object))] = np.arange(len(ids))
-        for a, b, cos in tiles:
-            flip = rank[a] > rank[b]
-            yield pa.RecordBatch.from_arrays(
-                [ids.take(pa.array(np.where(flip, b, a))), ids.take(pa.array(np.where(flip, a, b))), pa.array(cos)],
-                ["id_a", "id_b", "cosine"])
 
-    tasks = _blocks(vectors, threshold, pivots, block_rows)
-    return tasks.applyInArrow(compare, "id_a string, id_b string, cosine double")
+def similar_row_pairs(
+    vectors: DataFrame, threshold: float, pivots: int = 16, block_rows: int | None = None
+) -> DataFrame:
+    """All pairs of rows with cosine >= threshold and id_a < id_b, those of equal vectors too (J9, dense).
+
+    Equal rows are compared once and give as many pairs as they are.
+    """
+    tasks = _blocks(cut_lineage(distinct_rows(vectors)), threshold, pivots, block_rows)
+    pairs = tasks.applyInArrow(_pairs_task(threshold), PAIR)
+    for x in "ab":
+        pairs = pairs.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col(f"weight_{x}")))).drop("copy")
+    return pairs.select("id_a", "id_b", "cosine")
 
 
 def vector_links(
-    vectors: DataFrame, threshold: float, pivots: int = 16, block_rows: int = BLOCK_ROWS
+    vectors: DataFrame, threshold: float, pivots: int = 16, block_rows: int | None = None
 ) -> DataFrame:
     """Edges ``u``, ``v`` that connect exactly what similarity connects (V6, dense).
 
@@ -274,25 +354,13 @@ def vector_links(
 
     def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, tiles = _block_hits(batches, threshold)
-        parent = list(range(len(ids)))
-
-        def root(x):
-            while parent[x] != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-
-        edges = []
-        for lefts, rights, _ in tiles:
-            for x, y in zip(lefts.tolist(), rights.tolist(), strict=True):
-                a, b = root(x), root(y)
-                if a != b:
-                    edges.append((x, y))
-                    parent[b] = a
-        u, v = np.array(edges, np.int64).reshape(-1, 2).T
+        sets = _Forest(len(ids))
+        for a, b, _ in tiles:
+            sets.join(a, b)
+        u, v = np.array(sets.edges, np.int64).reshape(-1, 2).T
         yield pa.RecordBatch.from_arrays([ids.take(pa.array(u)), ids.take(pa.array(v))], ["u", "v"])
 
-    return _blocks(vectors, threshold, pivots, block_rows).applyInArrow(forest, "u string, v string")
+    return _blocks(cut_lineage(distinct_vectors(vectors)), threshold, pivots, block_rows).applyInArrow(forest, "u string, v string")
 
 
 def cluster_vectors(

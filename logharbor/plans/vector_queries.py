@@ -191,7 +191,7 @@ FROM embeddings a JOIN embeddings b ON CAST(a.vec_id AS VARCHAR) < CAST(b.vec_id
 WHERE {_cos('a.embedding', 'b.embedding')} >= {COSINE}
 """)
 def dense_pairs(spark, sf_dir):
-    pairs = D.similar_vector_pairs(T.vectors(spark, sf_dir), COSINE)
+    pairs = D.similar_row_pairs(T.vectors(spark, sf_dir), COSINE)
     return pairs.withColumn("cosine", F.round("cosine", 6))
 
 

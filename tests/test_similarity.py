@@ -182,6 +182,18 @@ def test_dense_pairs_and_clusters(spark, seed, threshold, pivots, block):
     assert {r.id: r.cluster_id for r in clusters.collect()} == expected
 
 
+@pytest.mark.parametrize("block", [None, 8])
+def test_pairs_of_rows_hold_copies(spark, block):
+    """Equal vectors of other ids pair with each other and with all the others; equal rows count as often as they are."""
+    rows = random_vectors(6, 40) + [("v000", random_vectors(6, 40)[0][1]), ("w", [0.0] * 6), (None, [1.0] * 6), ("x", None)]
+    df = spark.createDataFrame(rows, "id string, embedding array<float>").repartition(3)
+    known = [(i, np.array(v) / np.linalg.norm(v)) for i, v in rows if i and v and any(v)]
+    want = sorted((a, b) for a, x in known for b, y in known if a < b and x @ y >= 0.75)
+    assert ("v000", "v040") in want and len(want) > len(set(want))
+    got = D.similar_row_pairs(df, 0.75, 4, block).collect()
+    assert sorted((r.id_a, r.id_b) for r in got) == want
+
+
 def test_top_k_vectors(spark, monkeypatch):
     rows = random_vectors(9)
     df = spark.createDataFrame(rows, "id string, embedding array<float>").repartition(4)
