@@ -363,18 +363,89 @@ def vector_links(
     return _blocks(cut_lineage(distinct_vectors(vectors)), threshold, pivots, block_rows).applyInArrow(forest, "u string, v string")
 
 
+def _weights_around(points: DataFrame, threshold: float, pivots: int, block_rows: int | None) -> DataFrame:
+    """``id``, ``around``: weight of the other points that are similar, for points that have any.
+
+    A block pair sums the weights of its hits, so no pair leaves a task.
+    """
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches))
+        ids, tiles = _block_hits(table.to_batches(), threshold)
+        weight, around = _column(table, "weight").to_numpy(), np.zeros(len(ids), np.int64)
+        for a, b, _ in tiles:
+            np.add.at(around, a, weight[b])
+            np.add.at(around, b, weight[a])
+        some = np.flatnonzero(around)
+        yield pa.RecordBatch.from_arrays(
+            [ids.take(pa.array(some)), pa.array(around[some])], ["id", "around"])
+
+    sums = _blocks(points, threshold, pivots, block_rows).applyInArrow(total, "id string, around long")
+    return sums.groupBy("id").agg(F.sum("around").alias("around"))
+
+
+def _core_links(points: DataFrame, threshold: float, pivots: int, block_rows: int | None) -> DataFrame:
+    """Edges ``u``, ``v`` that connect core points as similarity does, and ``border`` ones from a point that is not core to core ones.
+
+    ``points`` has a column ``core``.  A block pair reports a spanning forest of its core points, and one edge from
+    any other point to each tree it touches: fewer than the samples that would make it core.
+    """
+
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches))
+        ids, tiles = _block_hits(table.to_batches(), threshold)
+        core, sets = _column(table, "core").to_numpy(zero_copy_only=False), _Forest(len(ids))
+        outer = [np.empty((2, 0), np.int64)]
+        for a, b, _ in tiles:
+            sets.join(a[core[a] & core[b]], b[core[a] & core[b]])
+            a, b = np.where(core[a], b, a), np.where(core[a], a, b)
+            mixed = core[b] & ~core[a]
+            outer.append(np.stack([a[mixed], b[mixed]]))
+        inner, (x, y) = np.array(sets.edges, np.int64).reshape(-1, 2).T, np.concatenate(outer, axis=1)
+        once = np.unique(np.stack([x, sets.roots()[y]]), axis=1, return_index=True)[1]
+        u, v = np.concatenate([inner[0], x[once]]), np.concatenate([inner[1], y[once]])
+        border = np.arange(len(u)) >= inner.shape[1]
+        yield pa.RecordBatch.from_arrays([ids.take(pa.array(u)), ids.take(pa.array(v)), pa.array(border)], ["u", "v", "border"])
+
+    return _blocks(points, threshold, pivots, block_rows).applyInArrow(links, "u string, v string, border boolean")
+
+
+def density_labels(
+    points: DataFrame, threshold: float, min_samples: int, pivots: int = 16, block_rows: int | None = None
+) -> DataFrame:
+    """``id``, ``cluster_id`` of distinct vectors ``points`` by general density clustering, as ``cluster_by_density``.
+
+    Vectors are compared twice, for the weights around them and for the links of core points, so that pairs are
+    never written: what is written stays linear in the vectors of the block pairs.
+    """
+    from logharbor.operators.components import connected_components
+
+    around = _weights_around(points, threshold, pivots, block_rows)
+    total = F.col("weight") + F.coalesce("around", F.lit(0).cast("long"))
+    marked = points.join(around, "id", "left").withColumn("core", total >= min_samples)
+    # a point without neighbours is in no link
+    marked = cut_lineage(marked.filter("core OR around > 0").drop("around"))
+    core = marked.filter("core").select("id")
+    links = cut_lineage(_core_links(marked, threshold, pivots, block_rows))
+    roots = connected_components(links.filter("NOT border").select("u", "v"))
+    labels = cut_lineage(core.join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("cluster_id")))
+    border = (
+        links.filter("border").join(labels.withColumnRenamed("id", "v"), "v")
+        .groupBy(F.col("u").alias("id")).agg(F.min("cluster_id").alias("cluster_id"))
+    )
+    return labels.unionByName(border)
+
+
 def cluster_vectors(
     vectors: DataFrame, threshold: float, min_samples: int = K.MIN_SAMPLES, **options
 ) -> DataFrame:
     """Density clusters of dense vectors: ``id``, ``cluster_id`` for every clustered row (V6)."""
-    from logharbor.operators.clustering import cluster_by_density, cluster_points
+    from logharbor.operators.clustering import cluster_points
 
     distinct = cut_lineage(distinct_vectors(vectors))
-    points = distinct.select("id", "weight")
     if min_samples <= 2:
-        labels = cluster_points(points, vector_links(vectors, threshold, **options), min_samples)
+        labels = cluster_points(distinct.select("id", "weight"), vector_links(vectors, threshold, **options), min_samples)
     else:
-        pairs = similar_vector_pairs(vectors, threshold, **options).select("id_a", "id_b")
-        labels = cluster_by_density(points, pairs, min_samples)
+        labels = density_labels(distinct, threshold, min_samples, **options)
     by_vector = distinct.join(labels, "id").select("embedding", "cluster_id")
     return vectors.join(by_vector, "embedding").select("id", "cluster_id")

@@ -194,6 +194,22 @@ def test_pairs_of_rows_hold_copies(spark, block):
     assert sorted((r.id_a, r.id_b) for r in got) == want
 
 
+@pytest.mark.parametrize("seed, threshold, min_samples, block", [(1, 0.9, 3, 8), (2, 0.97, 4, 16), (3, 0.95, 6, None), (4, 0.8, 12, 8)])
+def test_dense_density_clusters(spark, monkeypatch, seed, threshold, min_samples, block):
+    """Weights, core points and borders against brute force; pairs are never listed."""
+    rows = random_vectors(seed)
+    df = spark.createDataFrame(rows, "id string, embedding array<float>").repartition(3)
+    monkeypatch.setattr(D, "similar_vector_pairs", None)
+    unit = {i: np.array(v) / np.linalg.norm(v) for i, v in rows}
+    near = {a: {b for b in unit if unit[a] @ unit[b] >= threshold} for a in unit}  # with itself
+    core = {a for a in unit if len(near[a]) >= min_samples}
+    assert core and core != set(unit)
+    root = components_of(sorted(core), [(a, b) for a in core for b in near[a] & core])
+    want = {a: root[a] for a in core} | {a: min(root[b] for b in near[a] & core) for a in set(unit) - core if near[a] & core}
+    got = D.cluster_vectors(df, threshold, min_samples, pivots=4, block_rows=block).collect()
+    assert len(got) == len(want) and {r.id: r.cluster_id for r in got} == want
+
+
 def test_top_k_vectors(spark, monkeypatch):
     rows = random_vectors(9)
     df = spark.createDataFrame(rows, "id string, embedding array<float>").repartition(4)
