@@ -56,7 +56,8 @@ def distinct_documents(spark, sf_dir):
 SELECT id_a, id_b, overlap::BIGINT AS overlap, size_a::BIGINT AS size_a, size_b::BIGINT AS size_b FROM near
 """))
 def similar_documents(spark, sf_dir):
-    return S.similar_pairs(cut_lineage(S.rank_tokens(distinct_documents(spark, sf_dir))))
+    texts = cut_lineage(distinct_documents(spark, sf_dir))
+    return S.similar_pairs(cut_lineage(S.rank_tokens(texts)))
 
 
 @query("v06_document_clusters", sql(DOCS + """,

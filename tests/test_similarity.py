@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import random
+from collections import Counter
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -317,6 +318,29 @@ def test_long_texts_are_joined_directly(spark, monkeypatch, broadcast):
     assert components_of(ids, links) == components_of(ids, [p[:2] for p in want])
 
 
+def test_long_texts_are_compared_in_blocks(spark, monkeypatch):
+    """Sizes on both sides of the bound and of several signature widths; only short texts meet on prefix tokens."""
+    rnd = random.Random(8)
+    base = [rnd.sample(range(1500), rnd.choice([40, 60, 70, 130, 300, 700])) for _ in range(60)]
+    texts = [(f"b{i:03d}", " ".join(f"w{x}" for x in b)) for i, b in enumerate(base)]
+    texts += [(f"c{i:03d}", " ".join(f"w{x}" for x in b[: len(b) - rnd.randrange(len(b) // 2)] + rnd.sample(range(1500, 1900), rnd.randrange(30))))
+              for i, b in enumerate(base * 2)]
+    texts += [("s", "w7 w8"), ("e", "--")]
+    frame = spark.createDataFrame(texts, "id string, text string").repartition(3)
+    ranked = S.rank_tokens(frame).cache()
+    df = Counter(w for _, t in texts for w in tokens(t))
+    rows = {r.id: r.toks for r in ranked.collect()}
+    assert rows == {i: sorted(tokens(t), key=lambda w: (df[w], w)) for i, t in texts if i != "e"}
+    monkeypatch.setattr(S, "BLOCK_SETS", 20)
+    monkeypatch.setattr(S, "CHECKED_SETS", 8)
+    meeting, met = S._cold_pairs, []
+    monkeypatch.setattr(S, "_cold_pairs", lambda cold, sets, threshold: met.append(sets) or meeting(cold, sets, threshold))
+    want = brute_pairs(sorted((i, t) for i, t in texts if i != "e"), 3, 4)
+    got = [tuple(r) for r in S.similar_pairs(ranked).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and any(min(p[3:]) < 64 <= max(p[3:]) for p in want)
+    assert len(met) == 1 and all(m.agg(F.max("n")).first()[0] < S.LONG_TEXT for m in met)
+
+
 def test_hits_of_a_block_leave_in_tiles(monkeypatch):
     """A block whose vectors are all alike has the square of its rows as hits; only a tile of them is held."""
     import pyarrow as pa
