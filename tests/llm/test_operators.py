@@ -228,6 +228,26 @@ def test_propagation_sums_rounds_that_only_repeat(spark, monkeypatch):
     assert saved.count("step") < 35, "the plain loop takes over 70 rounds"
 
 
+def test_edges_both_ways_carry_both_scores_once(spark, monkeypatch):
+    rnd = np.random.default_rng(4)
+    pairs = {(f"s{rnd.integers(4)}", f"p{rnd.integers(40)}"): float(rnd.integers(1, 4)) for _ in range(150)}
+    edges = [(a, b, w) for (a, b), w in pairs.items()] + [(b, a, w) for (a, b), w in pairs.items()]
+    frame_of = lambda rows: spark.createDataFrame(rows, "a string, b string, weight double")
+    assert links._both_ways(frame_of(edges)) and not links._both_ways(frame_of(edges[1:]))
+    assert not links._both_ways(frame_of([*edges[1:], (*edges[0][:2], 9.0)]))
+    seeds = spark.createDataFrame([(f"p{i}", float(i < 9), float(i > 33)) for i in range(41)] + [("s1", 0.0, 0.0), ("s1", 0.0, 0.0), ("", 0.0, 0.0)],
+                                  "host string, allowed double, blocked double")
+    handed, adjacency = [], links._adjacency
+    monkeypatch.setattr(links, "_adjacency", lambda e: handed.append(e.count()) or adjacency(e))
+    monkeypatch.setattr(links, "LIST", 5)
+    monkeypatch.setattr(links, "HUB", 20)  # suppliers are hubs, parts are not
+    got = sorted(tuple(r) for r in links.judge_hosts(seeds, frame_of(edges)).collect())
+    monkeypatch.setattr(links, "_both_ways", lambda e: False)
+    want = sorted(tuple(r) for r in links.judge_hosts(seeds, frame_of(edges)).collect())
+    assert handed == [len(edges), 2 * len(edges)] and len(got) == 44 and {r[3] for r in want} == {"allow", "block"}
+    assert all(g[0] == w[0] and g[3] == w[3] and np.allclose(g[1:3], w[1:3], atol=1e-7) for g, w in zip(got, want, strict=True))
+
+
 # 5
 def test_personal_data_against_patterns(spark, rows):
     parts = ["a", "b.c", "@", ".com", "-", "+", "1", "255", "256", ".", " ", "(", "4111111111111111", "4111 1111 1111 1111", "+1 555", "é", "x" * 70]
